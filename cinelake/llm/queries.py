@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm import clusters, neighbours
+from cinelake.llm import clusters, neighbours, pairs, topn
 from cinelake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,17 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return p1_neighbours(spark, directory).select("detection_id", "face_id")
 
 
+def p2_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    """Every pair of tags and creators with at least five common videos, with its counts and lift."""
+    tag = table(spark, directory, "video_tags").select("video_id", F.concat(F.lit("t"), F.col("tag_id")).alias("item"))
+    creator = table(spark, directory, "video_creators").select("video_id", F.concat(F.lit("c"), F.col("creator_id")).alias("item"))
+    return pairs.together(tag.unionByName(creator), "video_id", "item", least=5)
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p2_pairs(spark, directory).filter(F.col("n_both") * F.col("baskets") >= 4 * F.col("n_a") * F.col("n_b")).select("item_a", "item_b")
+
+
 def _unsettled(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "video_face_detections").select("id", "embedding", "match_status")
     return rows.filter(F.lower(F.trim("match_status")).isin("pending", "no_match")).select("id", "embedding")
@@ -38,4 +49,14 @@ def p3_groups(spark: SparkSession, directory: str) -> DataFrame:
     return clusters.describe(rows, clusters.groups(rows)).withColumnRenamed("member_id", "detection_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p3_found, p3_groups)}
+def p6_top(spark: SparkSession, directory: str) -> DataFrame:
+    """The three best detections of every video with score and rank."""
+    best = topn.top_n(table(spark, directory, "video_face_detections"), 3, "video_id", "det_score", "id", "timestamp_seconds", 0.0, 1.0)
+    return best.select(F.col("group_id").alias("video_id"), F.col("item_id").alias("detection_id"), F.col("score").alias("det_score"), "rank")
+
+
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p6_top(spark, directory).select("video_id", "detection_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pairs, p3_found, p3_groups, p6_found, p6_top)}

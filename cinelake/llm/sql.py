@@ -10,7 +10,25 @@ t AS (SELECT detection_id, face_id, round(c, 6) AS similarity,
       CAST(row_number() OVER (PARTITION BY detection_id ORDER BY round(c, 6) DESC, face_id) AS INTEGER) AS rank FROM s WHERE c >= 0.85)
 """
 
+P2 = """
+WITH i AS (SELECT DISTINCT video_id AS v, 't' || tag_id AS x FROM video_tags UNION SELECT DISTINCT video_id, 'c' || creator_id FROM video_creators),
+n AS (SELECT x, count(*) AS n FROM i GROUP BY x),
+p AS (SELECT a.x AS item_a, b.x AS item_b, count(*) AS n_both FROM i a JOIN i b ON a.v = b.v AND a.x < b.x GROUP BY ALL HAVING count(*) >= 5),
+t AS (SELECT item_a, item_b, n_both, na.n AS n_a, nb.n AS n_b, (SELECT count(DISTINCT v) FROM i) AS baskets
+      FROM p JOIN n na ON na.x = item_a JOIN n nb ON nb.x = item_b)
+"""
+
+P6 = """
+WITH d AS (SELECT DISTINCT id, video_id, det_score, timestamp_seconds FROM video_face_detections WHERE det_score BETWEEN 0 AND 1 AND NOT isnan(det_score)),
+t AS (SELECT video_id, id AS detection_id, det_score,
+      CAST(row_number() OVER (PARTITION BY video_id ORDER BY det_score DESC, timestamp_seconds, id) AS INTEGER) AS rank FROM d)
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": P2 + "SELECT item_a, item_b FROM t WHERE n_both * baskets >= 4 * n_a * n_b",
+    "p2_pairs": P2 + "SELECT *, CAST(n_both AS DOUBLE) * baskets / (CAST(n_a AS DOUBLE) * n_b) AS lift FROM t",
+    "p6_found": P6 + "SELECT video_id, detection_id FROM t WHERE rank <= 3",
+    "p6_top": P6 + "SELECT video_id, detection_id, det_score, rank FROM t WHERE rank <= 3",
     "p1_found": P1 + "SELECT detection_id, face_id FROM t WHERE rank <= 3",
     "p1_neighbours": P1 + "SELECT detection_id, face_id, similarity, rank FROM t WHERE rank <= 3",
     "p3_found": f"""
