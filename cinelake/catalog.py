@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from cinelake.operators import data_quality_queries
+
+_MODULES = (data_quality_queries,)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL: dict = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
