@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm import clusters, neighbours, pairs, topn
+from cinelake.llm import clusters, names, neighbours, pairs, topn
 from cinelake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,20 @@ def p3_groups(spark: SparkSession, directory: str) -> DataFrame:
     return clusters.describe(rows, clusters.groups(rows)).withColumnRenamed("member_id", "detection_id")
 
 
+_NAMED = (("creator", "creators", "person"), ("studio", "studios", "organisation"))
+
+
+def p4_entities(spark: SparkSession, directory: str) -> DataFrame:
+    """The entity of every creator and studio whose name is a variant of another's, named by its smallest id."""
+    parts = [names.link(table(spark, directory, t), how)[0].withColumn("kind", F.lit(kind)) for kind, t, how in _NAMED]
+    return parts[0].unionByName(parts[1]).select("kind", "id", "entity")
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    parts = [names.pairs(names.link(table(spark, directory, t), how)[0]).withColumn("kind", F.lit(kind)) for kind, t, how in _NAMED]
+    return parts[0].unionByName(parts[1]).select("kind", "id_a", "id_b")
+
+
 def p6_top(spark: SparkSession, directory: str) -> DataFrame:
     """The three best detections of every video with score and rank."""
     best = topn.top_n(table(spark, directory, "video_face_detections"), 3, "video_id", "det_score", "id", "timestamp_seconds", 0.0, 1.0)
@@ -59,4 +73,4 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return p6_top(spark, directory).select("video_id", "detection_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pairs, p3_found, p3_groups, p6_found, p6_top)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pairs, p3_found, p3_groups, p4_found, p4_entities, p6_found, p6_top)}
