@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinelake.llm import clusters, names, neighbours, pairs, topn
+from cinelake.llm import clusters, leaks, mixing, moderation, names, neighbours, pairs, topn
+from cinelake.plans.scratch import checkpoint
 from cinelake.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,4 +74,59 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return p6_top(spark, directory).select("video_id", "detection_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pairs, p3_found, p3_groups, p4_found, p4_entities, p6_found, p6_top)}
+def p8_passages(spark: SparkSession, directory: str) -> DataFrame:
+    """Every passage of an evaluation item in a document, with its place in folded words and its score."""
+    return leaks.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return p8_passages(spark, directory).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, directory: str) -> DataFrame:
+    """Spans of documents to remove."""
+    return leaks.removal_spans(p8_passages(spark, directory))
+
+
+def _mix(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    source = mixing.source_key(F.col("source")).alias("source")
+    sized = checkpoint(mixing.tokens(table(spark, directory, "documents"), "doc_id", "text", [source]))
+    return sized, checkpoint(mixing.rates(sized, table(spark, directory, "mix_targets")))
+
+
+def p9_selection(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document used, with its tokens and how often it is used."""
+    return mixing.select(*_mix(spark, directory)).withColumnRenamed("id", "doc_id")
+
+
+def p9_report(spark: SparkSession, directory: str) -> DataFrame:
+    """Target and reached share of every source with a target."""
+    sized, rate = _mix(spark, directory)
+    return mixing.report(mixing.select(sized, rate), rate)
+
+
+def _moderated(spark: SparkSession, directory: str) -> DataFrame:
+    source = mixing.source_key(F.col("source")).alias("source")
+    harmless = table(spark, directory, "moderation_samples").filter("label = 'none'")
+    return moderation.scores(table(spark, directory, "documents"), keep=(source,), harmless=harmless).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, directory: str) -> DataFrame:
+    return _moderated(spark, directory).filter("flagged").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """Score, worst sentence and kind of every document."""
+    return _moderated(spark, directory)
+
+
+def p10_rates(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents to be reviewed and their rate, by source."""
+    return moderation.rates(_moderated(spark, directory), "source")
+
+
+_ALL = (
+    p1_found, p1_neighbours, p2_found, p2_pairs, p3_found, p3_groups, p4_found, p4_entities, p6_found, p6_top,
+    p8_found, p8_passages, p8_spans, p9_selection, p9_report, p10_found, p10_scores, p10_rates,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
