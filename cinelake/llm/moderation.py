@@ -25,7 +25,7 @@ from cinelake.plans.layout import spread
 LEXICON = {
     "abusive": {
         1.0: (
-            """idiot* moron* imbecile* cretin* halfwit* dimwit* nitwit* bastard* bitch* cunt* whore* slut* wanker* asshole* arsehole* dickhead* scumbag* motherfuck* loser* douchebag* prick twat* retard* jackass* fuck* shithead* shitbag*
+            """idiot* moron* imbecile* cretin* halfwit* dimwit* nitwit* bastard* bitch* cunt* whore* slut* wanker* asshole* arsehole* dickhead* scumbag* motherfuck* loser* douchebag* tosser* pillock* dipshit* dirtbag* numbskull* knobhead* bellend* skank* cnut cnt prick twat* retard* jackass* fuck* shithead* shitbag*
             arschloch* wichser* schlampe* drecksau* hurensohn* hure fotze* missgeburt* spast* trottel* vollpfosten* dummkopf* versager* miststuck* penner* vollidiot* dumpfbacke* imbecil* gilipollas* puta* zorra* cabron* pendejo* payaso* subnormal* maricon* capullo* mamon* tocapelotas
             connard* connasse* salope* salaud* encule* batard* pute ordure* cretine* abruti* debile* bouffon* tocard* raclure* poufiasse* babaca* otario* vagabund* desgracad* arrombad* viado* cuzao* trouxa* corno""",
             """halt die fresse, halts maul, halt dein maul, verpiss dich, du nichts, dumme kuh, dumme sau, hijo de puta, hija de puta, a la mierda, de mierda, gordo cerdo, cerdo asqueroso, que asco das, espece de, pauvre con, sale con, gros con, quel con, petit con, ferme ta gueule, ta gueule, va te faire, nique ta,
@@ -36,7 +36,7 @@ LEXICON = {
             je sais ou tu habites, casser la gueule, je vais te tuer, personne ne te regretterait, si tu disparaissais, sei onde voce mora, quebrar a sua cara, quebrar sua cara, vou te matar, tomara que te mat*, tomara que voce morra, sentiria sua falta, sentiria a sua falta, se voce sumisse""",
         ),
         0.6: (
-            """clown pig pigs swine liar scum trash dick arse jerk git creep maggot freak coward hag useless filthy worthless brainless pathetic disgusting greasy shitty dumbass cow schwein* sau depp deppen nichtsnutz* spinner* ratte cerdo* cerda* asqueros* inutil* feo fea
+            """clown pig pigs swine liar scum trash dick arse jerk git creep maggot freak coward hag useless filthy worthless brainless pathetic disgusting greasy shitty dumbass cow schwein* sau depp deppen nichtsnutz* spinner* cerdo* cerda* asqueros* inutil* feo fea
             nul minable* porc* lixo feio feia nojent* palhaco* porco* estupid*""",
             """stop whining, delete your account, losch dich, borra tu cuenta, supprime ton compte, apaga a conta, change my mind, learn to hold a camera, aprende a filmar, apprends a filmer, aprenda a filmar, nobody cares about your, everyone here knows it,
             todos lo saben, jeder weiss es, todo mundo sabe, tout le monde le sait, next time i see you, your mother is, cannot focus one, would tag it like that, taggt so etwas, etiqueta asi, mettrait ce mot, que subio esto, marca assim, on the way home i know, lives and i will""",
