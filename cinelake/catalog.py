@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from cinelake.operators import data_quality_queries
+import importlib
 
-_MODULES = (data_quality_queries,)
-QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
-SQL: dict = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
+_MODULES = ("quality", "browsing", "statistics", "entities", "pipelines", "documented")
+QUERIES: dict = {}
+SQL: dict = {}
+for _name in _MODULES:
+    try:
+        _module = importlib.import_module(f"cinelake.queries.{_name}")
+    except ModuleNotFoundError as e:
+        if e.name != f"cinelake.queries.{_name}":
+            raise
+        continue
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
