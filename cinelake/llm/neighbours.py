@@ -178,7 +178,9 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int = 3, least: float
         lists = rows["v"].combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         unit, good = matrix(lists, dim) if len(ids) else (np.zeros((0, dim), np.float32), np.zeros(0, int))
-        sent = spark.sparkContext.broadcast((ids[good], raw(lists, good, dim).astype(np.float32) if len(good) else unit))
+        stored = raw(lists, good, dim).astype(np.float32) if len(good) else unit
+        _, once = np.unique(np.concatenate([ids[good, None].view(np.int32), np.ascontiguousarray(stored).view(np.int32)], axis=1), axis=0, return_index=True)
+        sent = spark.sparkContext.broadcast((ids[good][once], stored[once]))  # repeated rows go, lest they fill a query's places
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             all_ids, stored = sent.value
