@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 import xxhash
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Bytes from which a file is fingerprinted by three samples, and the bytes of a sample.
 LARGE, SAMPLE = 10 << 20, 4 << 20
@@ -21,6 +22,6 @@ def fingerprint(content: bytes) -> str:
     return h.hexdigest()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fingerprints(content: pd.Series) -> pd.Series:
     return content.map(lambda c: None if c is None else fingerprint(bytes(c)))
