@@ -44,12 +44,13 @@ TRADE = {
 }
 TRADE_WORDS = set(TRADE) | {s for x in TRADE.values() for s in x.split()}
 
-#: A word that at least this part of the rows has is a common part (a first name, a second word of organisations).
-COMMON_SHARE = 1 / 1000
+#: A word that goes with this many different longest other words, as a part of the names and at least, is a common
+#: part (a first name, a second word of organisations); a surname goes with few, however often it occurs.
+COMMON_SHARE, COMMON_LEAST = 1 / 1000, 5
 SHORTEST = 6
 
 _BRACKETS = re.compile(r"[\(\[\{<][^\)\]\}>]*[\)\]\}>]")
-_HUMP = re.compile(r"(?<=[a-zß-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
+_HUMP = re.compile(r"(?<=[a-zß-öø-ÿ]{2})(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{2})")
 _DOTTED = re.compile(r"\b(?:[a-z]\.){2,}(?=\W|$)")
 _LEGAL_TAIL = re.compile(r"\b(?:a/s|s/a)\s*$")
 
@@ -149,18 +150,22 @@ READERS = {"person": person, "organisation": organisation}
 
 
 def _common(rows: DataFrame, kind: str) -> Common:
-    """Words that at least ``COMMON_SHARE`` of the rows have: at most words per row / COMMON_SHARE of them."""
+    """The common parts; at most words per name / COMMON_SHARE of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: list[str] = []
+            others: list[str] = []
             for name in batch.column(0).to_pylist():
                 front, back = parts(name)
-                words += {w for w in front + back if len(w) > 1 and (kind == "person" or w not in LEGAL and not _trade(w))}
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
-
-    least = max(2, int(rows.count() * COMMON_SHARE))
-    found = rows.select("name").mapInArrow(run, "word string").groupBy("word").count().filter(F.col("count") >= max(3, least))
+                here = [w for w in front + back if len(w) > 1 and (kind == "person" or w not in LEGAL and not _trade(w))]
+                for k, w in enumerate(here):
+                    if rest := here[:k] + here[k + 1 :]:
+                        words.append(w), others.append(max(rest, key=len))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(others, pa.string())], ["word", "other"])
+
+    least = max(COMMON_LEAST, int(rows.count() * COMMON_SHARE))
+    found = rows.select("name").mapInArrow(run, "word string, other string").distinct().groupBy("word").count().filter(F.col("count") >= least)
     return Common([r[0] for r in found.select("word").toLocalIterator()])
 
 

@@ -66,10 +66,7 @@ class CollisionIndex:
             low = np.searchsorted(self.below[i], at[:, i] - half, "left")  # the widest prefix that is all below the window
             high = np.searchsorted(self.above[i], at[:, i] + half, "right")  # the shortest that holds all up to its end
             _add(waiting, 0, self.prefix[i][high] ^ self.prefix[i][low])
-        planes = [_one(waiting, k) for k in range(len(waiting))]
-        while len(planes) < len(waiting):  # a last carry may open one more plane
-            planes.append(_one(waiting, len(planes)))
-        reached = _at_least(planes, collisions)
+        reached = _at_least(_planes(waiting), collisions)
         q, word = np.nonzero(reached)
         bits = np.unpackbits(reached[q, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         hit, bit = np.nonzero(bits)
@@ -91,13 +88,16 @@ def _add(waiting: list[list[np.ndarray]], k: int, plane: np.ndarray) -> None:
         _add(waiting, k + 1, a)
 
 
-def _one(waiting: list[list[np.ndarray]], k: int) -> np.ndarray | None:
-    while len(waiting[k]) > 1:
-        a, b = waiting[k][:2]
-        carry = a & b
-        waiting[k] = [a ^ b, *waiting[k][2:]]
-        _add(waiting, k + 1, carry)
-    return waiting[k][0] if waiting[k] else None
+def _planes(waiting: list[list[np.ndarray]]) -> list[np.ndarray | None]:
+    """One bit plane of each weight; a last carry may open one more."""
+    k = 0
+    while k < len(waiting):
+        while len(waiting[k]) > 1:
+            a, b = waiting[k][:2]
+            waiting[k] = [a ^ b, *waiting[k][2:]]
+            _add(waiting, k + 1, a & b)
+        k += 1
+    return [w[0] if w else None for w in waiting]
 
 
 def _at_least(planes: list[np.ndarray | None], least: int) -> np.ndarray:
