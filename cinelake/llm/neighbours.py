@@ -33,7 +33,7 @@ RADII = (0.7, 1.0)
 #: Vectors of one index block; its bitmaps take about 6 MB.
 BLOCK = 16_384
 #: Most vectors sent to all executors at once (64 x 4 bytes each); more are served in several passes.
-BROADCAST_ROWS = 65_536
+BROADCAST_ROWS = 131_072
 GRID = 128
 QUERIES = 128
 
