@@ -271,3 +271,58 @@ def j21_product(lib):
 @_query("SELECT s.user_id, s.video_id, v.codec FROM v_video_stats s JOIN v_videos v ON v.id = s.video_id WHERE s.play_count > 1")
 def j12_stats_videos(lib):
     return lib.video_stats.filter("play_count > 1").join(lib.videos.select(F.col("id").alias("video_id"), "codec"), "video_id").select("user_id", "video_id", "codec")
+
+
+@_query("SELECT id FROM v_playlists WHERE id IN (10, 20, 30, 40, 50, 60) AND user_id = (SELECT user_id FROM v_playlists WHERE id = 30)")
+def f25_owned(lib):
+    """Of the playlists asked for, those of the owner of one of them."""
+    owner = lib.playlists.filter("id = 30").select("user_id").limit(1)
+    return lib.playlists.filter(F.col("id").isin(10, 20, 30, 40, 50, 60)).join(F.broadcast(owner), "user_id", "left_semi").select("id")  # one row
+
+
+@_query("""WITH b AS (SELECT codec, count(*) AS n FROM v_videos GROUP BY 1), o AS (SELECT coalesce(codec, 'Unknown') AS codec, n FROM b)
+SELECT (SELECT count(*) FROM v_videos) AS total_videos, '[' || string_agg('{"codec":"' || codec || '","count":' || n || '}', ',' ORDER BY codec, n) || ']' AS codecs FROM o""")
+def pipe12_snapshot(lib):
+    """The row of a library snapshot: a total, and the codec breakdown as JSON text."""
+    by = lib.videos.groupBy("codec").agg(F.count(F.lit(1)).alias("count")).select(F.coalesce("codec", F.lit("Unknown")).alias("codec"), "count")
+    return by.agg(F.sum("count").alias("total_videos"), F.to_json(F.sort_array(F.collect_list(F.struct("codec", "count")))).alias("codecs"))
+
+
+@_query("SELECT c_mktsegment AS filter_key, CASE WHEN c_mktsegment LIKE '%A%' THEN count(*) ELSE 0 END AS processed FROM customer GROUP BY 1 UNION ALL SELECT 'NEW', 1")
+def pipe16_progress(lib):
+    """Progress by filter, set where it was sent anew and kept where not."""
+    keys = lib.raw("customer").groupBy(F.col("c_mktsegment").alias("filter_key")).agg(F.count(F.lit(1)).alias("n"))
+    sent = keys.filter("filter_key like '%A%'").select("filter_key", F.col("n").alias("processed"))
+    sent = sent.unionByName(keys.limit(1).select(F.lit("NEW").alias("filter_key"), F.lit(1).cast("long").alias("processed")))
+    return M.upsert(keys.select("filter_key", F.lit(0).cast("long").alias("processed")), sent, ["filter_key"])
+
+
+@_query("SELECT id, CASE id % 4 WHEN 0 THEN 29.97 WHEN 1 THEN 25.0 WHEN 2 THEN 24.0 END AS fps FROM v_videos")
+def u9_frame_rates(lib):
+    text = F.element_at(F.array(F.lit("30000/1001"), F.lit("25/1"), F.lit("24"), F.lit("0/0")), (F.col("id") % 4 + 1).cast("int"))
+    return lib.videos.select("id", X.frames_per_second(text).alias("fps"))
+
+
+@_query("SELECT id, CASE lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) WHEN 'mp4' THEN 'video/mp4' WHEN 'mkv' THEN 'video/x-matroska' WHEN 'avi' THEN 'video/x-msvideo' WHEN 'mov' THEN 'video/quicktime' WHEN 'wmv' THEN 'video/x-ms-wmv' WHEN 'flv' THEN 'video/x-flv' WHEN 'webm' THEN 'video/webm' WHEN 'm4v' THEN 'video/x-m4v' WHEN 'mpg' THEN 'video/mpeg' WHEN 'mpeg' THEN 'video/mpeg' ELSE 'application/octet-stream' END AS media_type FROM v_videos")
+def u13_media_types(lib):
+    return lib.videos.select("id", X.media_type(F.col("file_path")).alias("media_type"))
+
+
+@_query("SELECT user_id, video_id, CAST(least(99, floor(100e0 * total_watch_seconds / 300 + 0.5e0)) AS BIGINT) AS percent FROM v_video_stats")
+def u11_progress(lib):
+    return lib.video_stats.select("user_id", "video_id", X.progress(F.col("total_watch_seconds"), F.lit(300.0)).alias("percent"))
+
+
+@_query("SELECT batch_id, min(CASE WHEN status = 'pending' THEN id END) AS first_pending FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, status ORDER BY created_at, id) AS k FROM v_jobs) WHERE k = 1 AND status = 'pending' GROUP BY 1")
+def s16_next_in_queue(lib):
+    from cinelake.sources.exchange import runnable
+
+    return runnable(lib.jobs, 1, "batch_id").select("batch_id", F.col("id").alias("first_pending"))
+
+
+@_query("SELECT e.vec_id AS id, CAST(len(embedding) AS INTEGER) AS n FROM embeddings e")
+def v5_stored_vectors(lib):
+    """Vectors through their JSON text and back."""
+    text = F.to_json(F.struct(F.col("embedding").alias("v")))
+    back = F.from_json(text, "v array<float>")["v"]
+    return lib.raw("embeddings").filter(back == F.col("embedding")).select(F.col("vec_id").alias("id"), F.size(back).alias("n"))
