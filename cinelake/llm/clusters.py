@@ -23,12 +23,12 @@ from cinelake.llm.components import components
 from cinelake.llm.vectors import DIM, matrix, raw, sized
 from cinelake.plans.layout import spread
 
-BUCKETS = 256
+BUCKETS = 4096
 #: Rows aimed at in a cell, cells a vector takes part in, and rows beyond which a cell is split into blocks.
-CELL, COPIES, SPLIT = 768, 3, 6_000
+CELL, COPIES, SPLIT = 512, 3, 6_000
 #: Bounds of the fit: cells (a broadcast of at most 8 MB) and rows of the sample that centroids are fitted on.
 MOST_CELLS, SAMPLE_PER_CELL, MOST_SAMPLE = 32_768, 48, 262_144
-ROUNDS = 2
+ROUNDS = 3
 
 
 def feature_axes(names: list[str], buckets: int = BUCKETS) -> np.ndarray:
