@@ -36,6 +36,8 @@ BLOCK = 16_384
 BROADCAST_ROWS = 131_072
 GRID = 128
 QUERIES = 128
+#: A radius at which less than this part of the queries of the first PROBED groups is done is left out for later groups.
+WORTH, PROBED = 1 / 3, 4
 
 
 class CollisionIndex:
@@ -124,9 +126,12 @@ def search(indexes: list[CollisionIndex], exact: list[np.ndarray], queries: np.n
     """(query row, id, similarity) of the up to ``k`` most similar vectors with at least ``least``."""
     radius = float(np.sqrt(2 - 2 * least))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    tried, done = dict.fromkeys(RADII, 0), dict.fromkeys(RADII, 0)
     for start in range(0, len(queries), QUERIES):
         left = np.arange(start, min(start + QUERIES, len(queries)))
         for part in RADII:
+            if part != RADII[-1] and tried[part] >= PROBED * QUERIES and done[part] < WORTH * tried[part]:
+                continue  # as many queries as here would have to widen their windows anyway
             found_q, found_id, found_s = [], [], []
             for index, vectors64 in zip(indexes, exact):
                 q, v = index.candidates(queries[left], WIDTH * radius * part, COLLISIONS)
@@ -139,6 +144,8 @@ def search(indexes: list[CollisionIndex], exact: list[np.ndarray], queries: np.n
             if part != RADII[-1]:
                 inside = 1 - (radius * part) ** 2 / 2
                 full = np.bincount(np.searchsorted(left, q[s > inside]), minlength=len(left)) >= k
+                tried[part] += len(left)
+                done[part] += int(full.sum())
                 out.append(tuple(x[full[np.searchsorted(left, q)]] for x in (q, i, s)))
                 left = left[~full]
             else:
