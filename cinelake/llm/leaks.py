@@ -13,6 +13,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ PHRASE, PASSAGE, EDITS = 3, 12, 2
 SURVIVING = PASSAGE - PHRASE + 1 - EDITS * PHRASE
 #: Words of a shard; every so many suffix positions is kept.
 SHARD_WORDS, SAMPLE = 200_000, 8
+#: Most items sent to all tasks at once; more are searched for in several passes.
+MOST_ITEMS = 20_000
 
 _TAG = re.compile(r"<[^<>]{0,200}>|&[a-zA-Z]{2,8};|&#\d{1,6};")
 _WORD = re.compile(r"[0-9a-z]+")
@@ -261,12 +264,17 @@ def _passages(items: Items, text: list[str], places: list[tuple[int, int, int, i
             score, first, last, edits = align(items.texts[k], text[start : min(high, start + 400 + 2 * len(items.texts[k]))])
             if score and edits <= EDITS * min(PASSAGE, len(items.texts[k])) / PASSAGE:
                 done.append((k, start + first, start + last, score))
-    best = []
-    for x in sorted(set(done), key=lambda d: -d[3]):
-        k, first, last, score = x
+    return [(items.ids[k], *rest) for k, *rest in _best(done)]
+
+
+def _best(passages: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(item, first, last, score) of passages that no better one overlaps by half."""
+    best: list[tuple[int, int, int, int]] = []
+    for x in sorted(set(passages), key=lambda d: (-d[3], d)):
+        _, first, last, score = x
         if not any(s > score and min(last, l2) - max(first, f2) >= 0.5 * (last - first) for _, f2, l2, s in best):
             best.append(x)
-    return [(items.ids[k], first, last, score) for k, first, last, score in best]
+    return best
 
 
 def leaks(documents: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -276,24 +284,42 @@ def leaks(documents: DataFrame, items: DataFrame, id: str = "doc_id", text: str
     replaced, added, dropped or broken. Case, accents, punctuation, spacing, markup, invisible characters and
     look-alike letters make no difference. Where items share a wording, a stretch of text counts for those it fits best.
 
-    Items are the stated, small side (a few hundred texts) and are sent to all tasks; documents are indexed shard by
-    shard as they stream through a task, whole texts only, and nothing is shuffled. Null or empty texts and null
+    Items are the stated, small side and are sent to all tasks, at most ``MOST_ITEMS`` at a time; documents are indexed
+    shard by shard as they stream through a task, whole texts only, and no text is shuffled. Null or empty texts and null
     ids hold nothing; repeated documents come out once; empty tables give no rows.
     """
     spark = documents.sparkSession
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").distinct()
-    sent = spark.sparkContext.broadcast(prepare([(r.i, r.t) for r in rows.toLocalIterator()]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [words(t) for t in batch.column(1).to_pylist()]
-            found = [(ids[k], *x) for k, *x in scan(sent.value, texts)]
-            cols = list(zip(*found)) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "first_word", "last_word", "score"])
-
-    docs = documents.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    return spread(docs).mapInArrow(run, "doc_id long, item_id long, first_word long, last_word long, score long").distinct()
+    docs = spread(documents.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null"))
+    names = ["doc_id", "item_id", "first_word", "last_word", "score"]
+    passes = max(1, -(-rows.count() // MOST_ITEMS))
+
+    def one(part: int) -> DataFrame:
+        mine = rows.filter(F.pmod(F.xxhash64("i"), F.lit(passes)) == part)
+        sent = spark.sparkContext.broadcast(prepare([(r.i, r.t) for r in mine.toLocalIterator()]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                texts = [words(t) for t in batch.column(1).to_pylist()]
+                found = [(ids[k], *x) for k, *x in scan(sent.value, texts)]
+                yield _batch(found, names)
+
+        return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+    found = reduce(DataFrame.unionByName, map(one, range(passes))).distinct()
+    if passes == 1:
+        return found
+
+    def settle(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        best = _best([(r["item_id"], r["first_word"], r["last_word"], r["score"]) for r in part.to_pylist()])
+        return pa.Table.from_batches([_batch([(key[0].as_py(), *x) for x in best], names)])
+
+    return found.groupBy("doc_id").applyInArrow(settle, found.schema)
+
+
+def _batch(rows: list[tuple[int, ...]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names)
 
 
 def removal_spans(found: DataFrame) -> DataFrame:

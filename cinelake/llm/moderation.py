@@ -70,6 +70,8 @@ EXCEPTIONS = """viewers idiots, other viewers, comments that call, call other, w
 NEAR = 3
 #: A word that this part of the documents has (and LEAST of them) is an ordinary word, not a slip in another.
 ORDINARY_SHARE, LEAST = 1 / 2000, 5
+#: Most labelled harmless rows whose words are taken as ordinary.
+HARMLESS_ROWS = 100_000
 
 #: Everyday words one slip away from a lexicon word.
 EVERYDAY = set(
@@ -236,7 +238,7 @@ def ordinary_words(df: DataFrame, text: str = "text", harmless: DataFrame | None
     """Words near lexicon words that are ordinary in these documents, counted over all of them.
 
     Only words one slip away from the lexicon are counted, so what comes back is bounded by the lexicon. All words
-    of ``harmless`` (a small labelled table of harmless texts) are ordinary as well.
+    of ``harmless`` (labelled harmless texts, at most ``HARMLESS_ROWS`` of them) are ordinary as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +258,7 @@ def ordinary_words(df: DataFrame, text: str = "text", harmless: DataFrame | None
     least = max(LEAST, int(df.count() * ORDINARY_SHARE))
     found = {r.word for r in texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toLocalIterator()}
     if harmless is not None:
-        found |= {squeeze(w) for r in harmless.select(F.col(text).alias("t")).toLocalIterator() for w in re.findall("[a-z]+", fold(r.t or ""))}
+        found |= {squeeze(w) for r in harmless.select(F.col(text).alias("t")).limit(HARMLESS_ROWS).toLocalIterator() for w in re.findall("[a-z]+", fold(r.t or ""))}
     return frozenset(w for w in found if w not in lexicon().slips.values())
 
 

@@ -43,6 +43,13 @@ def test_no_items_or_documents(spark):
     assert leaks.leaks(docs.limit(0), items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_items_in_passes(spark, monkeypatch):
+    texts = [FILL + BODY1 + FILL, ITEMS[1][1], ITEMS[2][1] + FILL + BODY1]
+    want = found(spark, texts)
+    monkeypatch.setattr(leaks, "MOST_ITEMS", 1)
+    assert found(spark, texts) == want == {(0, 1), (1, 2), (2, 1), (2, 3)}
+
+
 def test_spans_are_merged(spark):
     df = spark.createDataFrame([(1, 1, 0, 9), (1, 2, 5, 14), (1, 3, 15, 20), (1, 1, 40, 50), (2, 1, 3, 4)], "doc_id long, item_id long, first_word long, last_word long")
     assert sorted(map(tuple, leaks.removal_spans(df).select("doc_id", "first_word", "last_word", "items").collect())) == [(1, 0, 20, 3), (1, 40, 50, 1), (2, 3, 4, 1)]
