@@ -24,8 +24,11 @@ from cinelake.llm.vectors import DIM, matrix, raw, sized
 from cinelake.plans.layout import spread
 
 BUCKETS = 4096
-#: Rows aimed at in a cell, cells a vector takes part in, and rows beyond which a cell is split into blocks.
-CELL, COPIES, SPLIT = 512, 3, 6_000
+#: Rows aimed at in a cell, and rows beyond which a cell is split into blocks.
+CELL, SPLIT = 512, 6_000
+#: A vector takes part in this many nearest cells, and in up to so many that are hardly farther than the nearest: a vector
+#: near its centroid finds its like there, one far from all centroids needs more cells.
+COPIES, MOST_COPIES, HARDLY = 2, 6, 0.1
 #: Bounds of the fit: cells (a broadcast of at most 8 MB) and rows of the sample that centroids are fitted on.
 MOST_CELLS, SAMPLE_PER_CELL, MOST_SAMPLE = 32_768, 48, 262_144
 ROUNDS = 3
@@ -165,7 +168,7 @@ def _local(vectors: np.ndarray, least: float) -> np.ndarray:
 def links(rows: DataFrame, least: float = 0.85, dim: int = DIM) -> DataFrame:
     """(a, b) edges, a > b, whose connected components are those of all pairs with cosine similarity ``least`` or more.
 
-    ``rows``: id long, v array. Each vector goes to its ``COPIES`` nearest cells; a cell's task links its rows
+    ``rows``: id long, v array. Each vector goes to its nearest cells; a cell's task links its rows
     blockwise and returns stars only, never pairs. Equal vectors of a batch travel once. Cells with more than
     ``SPLIT`` estimated rows are split into blocks, and every pair of blocks is a task of its own.
     """
@@ -190,10 +193,14 @@ def links(rows: DataFrame, least: float = 0.85, dim: int = DIM) -> DataFrame:
             rep = np.fromiter((seen.setdefault(p, i) for i, p in enumerate(payload)), np.int64, len(payload))
             here = np.flatnonzero(rep == np.arange(len(rep)))
             x = _unit(unit[here] @ axes)
-            copies = min(COPIES, len(centres))
+            top = min(MOST_COPIES, len(centres))
             s = x @ centres.T
-            cells = np.argpartition(-s, copies - 1, axis=1)[:, :copies] if copies < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(x), 1))
-            who, cell = np.repeat(here, copies), cells.ravel().astype(np.int64)
+            cells = np.argpartition(-s, top - 1, axis=1)[:, :top]
+            near = np.take_along_axis(s, cells, axis=1)
+            order = np.argsort(-near, axis=1, kind="stable")
+            cells, near = np.take_along_axis(cells, order, axis=1), np.take_along_axis(near, order, axis=1)
+            taken = (near >= near[:, :1] - HARDLY) | (np.arange(top) < COPIES)
+            who, cell = here[np.nonzero(taken)[0]], cells[taken].astype(np.int64)
             many = blocks[cell]
             split = np.flatnonzero(many > 1)
             keys, rows_ = [cell[many == 1] * 1_000_000], [who[many == 1]]
