@@ -29,6 +29,8 @@ CELL, SPLIT = 512, 6_000
 #: A vector takes part in this many nearest cells, and in up to so many that are hardly farther than the nearest: a vector
 #: near its centroid finds its like there, one far from all centroids needs more cells.
 COPIES, MOST_COPIES, HARDLY = 2, 6, 0.1
+#: Tasks that links between equal vectors are spread over; they need no comparing, and one vector may have very many.
+REPEATS = 256
 #: Bounds of the fit: cells (a broadcast of at most 8 MB) and rows of the sample that centroids are fitted on.
 MOST_CELLS, SAMPLE_PER_CELL, MOST_SAMPLE = 32_768, 48, 262_144
 ROUNDS = 3
@@ -211,8 +213,7 @@ def links(rows: DataFrame, least: float = 0.85, dim: int = DIM) -> DataFrame:
                 rows_.append(np.full(len(other), who[i]))
             key, who = np.concatenate(keys), np.concatenate(rows_)
             again = np.flatnonzero((rep != np.arange(len(rep))) & (ids != ids[rep]))
-            home = dict(zip(who.tolist(), key.tolist()))
-            key = np.concatenate([key, [home[i] for i in rep[again].tolist()]]).astype(np.int64)
+            key = np.concatenate([key, -1 - ids[again] % REPEATS]).astype(np.int64)
             vectors = pa.array(payload, pa.binary()).take(pa.array(who))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int64()), pa.array(np.concatenate([ids[who], ids[again]])), pa.array([None] * len(who) + ids[rep[again]].tolist(), pa.int64()), pa.concat_arrays([vectors, pa.nulls(len(again), pa.binary())])],
