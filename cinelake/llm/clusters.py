@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from cinelake.llm.components import components
 from cinelake.llm.vectors import DIM, matrix, raw, sized
-from cinelake.plans.layout import spread
 
 BUCKETS = 4096
 #: Rows aimed at in a cell, and rows beyond which a cell is split into blocks.
@@ -34,6 +33,10 @@ REPEATS = 256
 #: Bounds of the fit: cells (a broadcast of at most 8 MB) and rows of the sample that centroids are fitted on.
 MOST_CELLS, SAMPLE_PER_CELL, MOST_SAMPLE = 32_768, 48, 262_144
 ROUNDS = 3
+#: Centroids this alike are one; equal ones would fill up the nearest cells of a vector.
+EQUAL = 1 - 1e-6
+#: Distinct vectors a task of the placing has at least.
+LEAST_PLACED = 2_000
 
 
 def feature_axes(names: list[str], buckets: int = BUCKETS) -> np.ndarray:
@@ -71,20 +74,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]).astype(np.float32)
 
 
+def _apart(centres: np.ndarray) -> np.ndarray:
+    """The rows of ``centres`` that no earlier one equals."""
+    kept = np.ones(len(centres), bool)
+    for at in range(0, len(centres), 1024):
+        s = centres[at : at + 1024] @ centres[: at + 1024].T >= EQUAL
+        kept[at : at + 1024] = ~np.tril(s, at - 1).any(axis=1)
+    return np.flatnonzero(kept)
+
+
 def fit_cells(rows: DataFrame, n: int, dim: int, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centroids in feature space and the estimated rows of each cell.
 
-    ``rows`` has id and v. The fit sees a hash sample of at most ``MOST_SAMPLE`` rows (``SAMPLE_PER_CELL`` for each
-    cell). Seeds: half drawn evenly, so that dense regions get cells in proportion; half in parallel rounds
+    ``rows`` has id and v, ``n`` is about the number of different vectors. The fit sees a hash sample of these, each once
+    however many rows have it, of at most ``MOST_SAMPLE`` (``SAMPLE_PER_CELL`` for each cell). Seeds: half drawn evenly, so that dense regions get cells in proportion; half in parallel rounds
     with a chance proportional to the squared distance from the nearest seed so far (the rows with the
-    smallest exponential draws over their distance, merged from all tasks). Then ``ROUNDS`` rounds of k-means.
+    smallest exponential draws over their distance, merged from all tasks). Then ``ROUNDS`` rounds of k-means. Equal
+    centroids count once, among the seeds and in the end.
     """
     k = int(min(MOST_CELLS, max(1, -(-n // CELL))))
     if k == 1:
         return np.zeros((1, axes.shape[1]), np.float32), np.array([n])
     spark, want = rows.sparkSession, min(MOST_SAMPLE, SAMPLE_PER_CELL * k)
     part = min(1.0, want / n)
-    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).persist(StorageLevel.DISK_ONLY)
+    sample = rows.filter(F.pmod(F.xxhash64("v", F.lit("fit")), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    sample = sample.groupBy("v").agg(F.min("id").alias("id")).select("id", "v").persist(StorageLevel.DISK_ONLY)
 
     def draw(centres: np.ndarray | None, many: int, seed: int) -> np.ndarray:
         sent = spark.sparkContext.broadcast(centres)
@@ -109,6 +123,7 @@ def fit_cells(rows: DataFrame, n: int, dim: int, axes: np.ndarray) -> tuple[np.n
     centres = draw(None, k - k // 2, 1)
     for step in range(2):
         centres = np.concatenate([centres, draw(centres, k // 4 + (k // 2) % 2 * step, 2 + step)])
+    centres = centres[_apart(centres)]
     size = np.zeros(len(centres))
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(centres)
@@ -138,7 +153,9 @@ def fit_cells(rows: DataFrame, n: int, dim: int, axes: np.ndarray) -> tuple[np.n
         centres[at] = _unit(got["x"].combine_chunks().flatten().to_numpy().reshape(-1, axes.shape[1]))
         size[at] = got["n"].to_numpy()
     sample.unpersist()
-    return centres, size * (n / max(1.0, size.sum()))
+    kept = _apart(centres)
+    size = np.bincount((centres @ centres[kept].T).argmax(axis=1), size, len(kept)) if len(kept) < len(centres) else size
+    return centres[kept], size * (n / max(1.0, size.sum()))
 
 
 def _local(vectors: np.ndarray, least: float) -> np.ndarray:
@@ -170,53 +187,74 @@ def _local(vectors: np.ndarray, least: float) -> np.ndarray:
 def links(rows: DataFrame, least: float = 0.85, dim: int = DIM) -> DataFrame:
     """(a, b) edges, a > b, whose connected components are those of all pairs with cosine similarity ``least`` or more.
 
-    ``rows``: id long, v array. Each vector goes to its nearest cells; a cell's task links its rows
-    blockwise and returns stars only, never pairs. Equal vectors of a batch travel once. Cells with more than
-    ``SPLIT`` estimated rows are split into blocks, and every pair of blocks is a task of its own.
+    ``rows``: id long, v array. Equal vectors are brought together first, those of a batch before the shuffle; one of
+    them takes part and the others are linked to it. It goes to its nearest cells; a cell's task links its rows
+    blockwise and returns stars only, never pairs. Cells with more than ``SPLIT`` estimated rows are split into
+    blocks, and every pair of blocks is a task of its own.
     """
     rows = rows.select("id", "v")
-    n = rows.count()
+    n = rows.agg(F.approx_count_distinct(F.xxhash64("v"), 0.02)).first()[0]
     axes = feature_axes([f"v{j}" for j in range(dim)])
     centres, size = fit_cells(rows, n, dim, axes)
     blocks = np.minimum(1000, np.maximum(1, np.ceil(size / SPLIT))).astype(np.int64)
     sent = rows.sparkSession.sparkContext.broadcast((centres, blocks))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, blocks = sent.value
+    def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit, good = matrix(batch.column(1), dim)
-            if not len(good):
-                continue
+            good = matrix(batch.column(1), dim)[1]
             ids = batch.column(0).to_numpy()[good]
             payload, _ = pack(raw(batch.column(1), good, dim))
             seen: dict[bytes, int] = {}
             rep = np.fromiter((seen.setdefault(p, i) for i, p in enumerate(payload)), np.int64, len(payload))
             here = np.flatnonzero(rep == np.arange(len(rep)))
-            x = _unit(unit[here] @ axes)
-            top = min(MOST_COPIES, len(centres))
-            s = x @ centres.T
-            cells = np.argpartition(-s, top - 1, axis=1)[:, :top]
-            near = np.take_along_axis(s, cells, axis=1)
-            order = np.argsort(-near, axis=1, kind="stable")
-            cells, near = np.take_along_axis(cells, order, axis=1), np.take_along_axis(near, order, axis=1)
-            taken = (near >= near[:, :1] - HARDLY) | (np.arange(top) < COPIES)
-            who, cell = here[np.nonzero(taken)[0]], cells[taken].astype(np.int64)
-            many = blocks[cell]
-            split = np.flatnonzero(many > 1)
-            keys, rows_ = [cell[many == 1] * 1_000_000], [who[many == 1]]
-            for i in split:
-                mine = xxhash.xxh64_intdigest(int(ids[who[i]]).to_bytes(8, "little", signed=True)) % int(many[i])
-                other = np.arange(many[i])
-                keys.append(cell[i] * 1_000_000 + np.minimum(mine, other) * 1000 + np.maximum(mine, other))
-                rows_.append(np.full(len(other), who[i]))
-            key, who = np.concatenate(keys), np.concatenate(rows_)
             again = np.flatnonzero((rep != np.arange(len(rep))) & (ids != ids[rep]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([ids[here], ids[again]])), pa.array([None] * len(here) + ids[rep[again]].tolist(), pa.int64()), pa.array([payload[i] for i in here] + [None] * len(again), pa.binary())],
+                ["id", "same_as", "v"],
+            )
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, blocks = sent.value
+        last, first = None, 0  # the vector of the row before and the first id that has it
+        for batch in batches:
+            ids, same_as, payload = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            here = []
+            for i, p in enumerate(payload):
+                if p is None:
+                    continue
+                if p == last:
+                    same_as[i] = first
+                else:
+                    last, first = p, int(ids[i])
+                    here.append(i)
+            again = [i for i, x in enumerate(same_as) if x is not None and x != ids[i]]
+            vectors = batch.column(2)
+            here = np.array(here, np.int64)
+            key = who = np.zeros(0, np.int64)
+            if len(here):
+                x = _unit(unpack(vectors.take(pa.array(here)), dim) @ axes)
+                top = min(MOST_COPIES, len(centres))
+                s = x @ centres.T
+                cells = np.argpartition(-s, top - 1, axis=1)[:, :top]
+                near = np.take_along_axis(s, cells, axis=1)
+                order = np.argsort(-near, axis=1, kind="stable")
+                cells, near = np.take_along_axis(cells, order, axis=1), np.take_along_axis(near, order, axis=1)
+                taken = (near >= near[:, :1] - HARDLY) | (np.arange(top) < COPIES)
+                who, cell = here[np.nonzero(taken)[0]], cells[taken].astype(np.int64)
+                many = blocks[cell]
+                split = np.flatnonzero(many > 1)
+                keys, rows_ = [cell[many == 1] * 1_000_000], [who[many == 1]]
+                for i in split:
+                    mine = xxhash.xxh64_intdigest(int(ids[who[i]]).to_bytes(8, "little", signed=True)) % int(many[i])
+                    other = np.arange(many[i])
+                    keys.append(cell[i] * 1_000_000 + np.minimum(mine, other) * 1000 + np.maximum(mine, other))
+                    rows_.append(np.full(len(other), who[i]))
+                key, who = np.concatenate(keys), np.concatenate(rows_)
             key = np.concatenate([key, -1 - ids[again] % REPEATS]).astype(np.int64)
-            vectors = pa.array(payload, pa.binary()).take(pa.array(who))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(np.concatenate([ids[who], ids[again]])), pa.array([None] * len(who) + ids[rep[again]].tolist(), pa.int64()), pa.concat_arrays([vectors, pa.nulls(len(again), pa.binary())])],
+                [pa.array(key, pa.int64()), pa.array(np.concatenate([ids[who], ids[again]])), pa.array([None] * len(who) + [same_as[i] for i in again], pa.int64()), pa.concat_arrays([vectors.take(pa.array(who)), pa.nulls(len(again), pa.binary())])],
                 ["cell", "id", "same_as", "v"],
             )
 
@@ -229,7 +267,9 @@ def links(rows: DataFrame, least: float = 0.85, dim: int = DIM) -> DataFrame:
         x, y = np.concatenate([ids[star], same["id"].to_numpy()]), np.concatenate([ids[label[star]], same["same_as"].to_numpy()])
         return pa.table({"a": pa.array(np.maximum(x, y), pa.int64()), "b": pa.array(np.minimum(x, y), pa.int64())})
 
-    return spread(rows).mapInArrow(place, "cell long, id long, same_as long, v binary").groupBy("cell").applyInArrow(link, "a long, b long")
+    tasks = max(1, min(-(-n // LEAST_PLACED), max(3 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())))
+    once = rows.mapInArrow(bring, "id long, same_as long, v binary").repartition(tasks, "v", "same_as").sortWithinPartitions("v", "id")
+    return once.mapInArrow(place, "cell long, id long, same_as long, v binary").groupBy("cell").applyInArrow(link, "a long, b long")
 
 
 def groups(df: DataFrame, least: float = 0.85, smallest: int = 3, id: str = "id", column: str = "embedding", dim: int = DIM) -> DataFrame:

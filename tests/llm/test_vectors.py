@@ -141,3 +141,20 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_one_vector_with_very_many_copies(spark, monkeypatch, scaled):
+    rng = np.random.default_rng(6)
+    hot = vectors.unit64(rng.standard_normal((1, 64)))
+    aside = rng.standard_normal((300, 64))
+    aside = vectors.unit64(aside - (aside @ hot.T) * hot)
+    alike = 0.88 * hot + np.sqrt(1 - 0.88**2) * aside  # each alike to the hot vector, hardly any to one another
+    x = np.concatenate([np.repeat(hot, 1000, axis=0), alike, rng.standard_normal((1700, 64))]).astype(np.float32)
+    if scaled:
+        x[:1000] *= rng.uniform(0.1, 30, (1000, 1)).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    monkeypatch.setattr(clusters, "CELL", 5)
+    got = {(r.group_id, r.member_id) for r in clusters.groups(frame(spark, list(enumerate(x))).coalesce(1)).collect()}
+    want = brute_groups(list(enumerate(x)))
+    assert len(want) >= 1290 and got <= want and len(got) >= 0.99 * len(want)
