@@ -15,6 +15,7 @@ from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ EXCEPTIONS = """viewers idiots, other viewers, comments that call, call other, w
     encode is garbage, preset is plain, plain stupid, dumb terminal, dick whittle, whittle, sperm whale, naked eye, breast cancer, sex education, nude study, gallery tour, slave drive, master drive, kill the process, stale jobs, execute the batch, as villains do, villain shouts, bloody red,
     terrible ending, joke made me, spill my tea, mata el proceso, tuez le processus, mate o processo, tote den prozess, morderisch gut, bloder codec, datei ist schrott, fin nulle, final ruim, in the barnyard, feathers and all"""
 NEAR = 3
-#: A word that this part of the documents has (and LEAST of them) is an ordinary word, not a slip in another.
+#: A word in as many different sentences as this part of the different texts (and LEAST) is an ordinary word, not a slip in another.
 ORDINARY_SHARE, LEAST = 1 / 2000, 5
 #: Most labelled harmless rows whose words are taken as ordinary.
 HARMLESS_ROWS = 100_000
@@ -234,29 +235,52 @@ class Scorer:
         return round(100 * total / count, 4) if count else 0.0, round(worst, 4), kind
 
 
+class _All:
+    """Has every word: a scorer with it takes no word for a slip."""
+
+    def __contains__(self, word: str) -> bool:
+        return True
+
+
 def ordinary_words(df: DataFrame, text: str = "text", harmless: DataFrame | None = None) -> frozenset[str]:
     """Words near lexicon words that are ordinary in these documents, counted over all of them.
 
-    Only words one slip away from the lexicon are counted, so what comes back is bounded by the lexicon. All words
-    of ``harmless`` (labelled harmless texts, at most ``HARMLESS_ROWS`` of them) are ordinary as well.
+    A word counts once for each different sentence, however many copies that has, and not where the sentence has lexicon
+    weight without it. Where there are fewer than LEAST different texts, LEAST rows and as many different sentences as
+    texts (2 at least) do. Only words one slip away from the lexicon are counted, so what comes back is bounded by the
+    lexicon. All words of ``harmless`` (labelled harmless texts, at most ``HARMLESS_ROWS`` of them) are ordinary as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = lexicon()
+        lex, bare = lexicon(), Scorer(_All())
         known: dict[str, bool] = {}
+
+        def near(folded: str) -> set[str]:
+            words = {squeeze(w) for w in re.findall("[a-z]+", folded)}
+            for w in words:
+                if w not in known:
+                    known[w] = bool(lex.near(w))
+            return {w for w in words if known[w]}
+
         for batch in batches:
-            count: Counter[str] = Counter()
+            count: Counter[tuple[str, int]] = Counter()
             for t in batch.column(0).to_pylist():
-                for w in {squeeze(w) for w in re.findall("[a-z]+", fold(t or ""))}:
-                    if w not in known:
-                        known[w] = bool(lex.near(w))
-                    if known[w]:
-                        count[w] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+                if not near(fold(t or "")):
+                    continue
+                for s in sentences(t):
+                    folded = fold(s)
+                    some = near(folded)
+                    if some and not bare.sentence(s)[0]:
+                        key = xxhash.xxh64_intdigest(" ".join(re.findall("[a-z0-9]+", folded))) - (1 << 63)
+                        count.update((w, key) for w in some)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in count], pa.string()), pa.array([k for _, k in count], pa.int64()), pa.array(list(count.values()), pa.int64())], ["word", "sentence", "n"])
 
     texts = spread(df.select(F.col(text).alias("text")))
-    least = max(LEAST, int(df.count() * ORDINARY_SHARE))
-    found = {r.word for r in texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toLocalIterator()}
+    many = df.select(F.countDistinct(F.xxhash64(text))).first()[0]
+    least = max(min(LEAST, max(2, many)), int(many * ORDINARY_SHARE))
+    once = texts.mapInArrow(run, "word string, sentence long, n long").groupBy("word", "sentence").agg(F.sum("n").alias("n"))
+    words = once.groupBy("word").agg(F.count(F.lit(1)).alias("sentences"), F.sum("n").alias("n"))
+    found = {r.word for r in words.filter((F.col("sentences") >= least) & (F.col("n") >= LEAST)).toLocalIterator()}
     if harmless is not None:
         found |= {squeeze(w) for r in harmless.select(F.col(text).alias("t")).limit(HARMLESS_ROWS).toLocalIterator() for w in re.findall("[a-z]+", fold(r.t or ""))}
     return frozenset(w for w in found if w not in lexicon().slips.values())

@@ -111,3 +111,12 @@ def test_frequent_words_are_no_slips(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert "picks" in moderation.ordinary_words(df)
     assert moderation.scores(df).filter("flagged").count() == 0
+
+
+def test_copies_do_not_make_a_slip_ordinary(spark):
+    texts = [f"The crew shot scene {i} at dawn." for i in range(100)]
+    copied = [f"Note {i % 40}. That man is a bastrd." for i in range(60)]
+    other = [f"You moron of part {i}, you wortless man." for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts + copied + other)), "doc_id long, text string")
+    assert not {"bastrd", "wortles"} & moderation.ordinary_words(df)
+    assert {r.id for r in moderation.scores(df).filter("flagged").collect()} == set(range(100, 180))
