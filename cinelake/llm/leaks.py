@@ -145,10 +145,10 @@ def prepare(rows: list[tuple[int, str]], shared: int = 3) -> Items:
 
 
 def align(item: list[str], text: list[str]) -> tuple[int, int, int, int]:
-    """(score, first, last, least edits of a passage) of the best local alignment of an item with a stretch of text.
+    """(score, first, last, least excess of a passage) of the best local alignment of an item with a stretch of text.
 
-    An equal word counts 2, a replaced, added, dropped or broken one -1. A passage is PASSAGE words of the item (or
-    all of a shorter one); least edits is PASSAGE where the alignment holds none.
+    An equal word counts 2, a replaced, added, dropped or broken one -1. A passage is PASSAGE or more words of the item
+    (or all of a shorter one); its excess is PASSAGE x edits - EDITS x words, above 0 where too much was changed.
     """
     n, m = len(item), len(text)
     score = [[0] * (m + 1) for _ in range(n + 1)]
@@ -189,7 +189,8 @@ def align(item: list[str], text: list[str]) -> tuple[int, int, int, int]:
             i, j = i - 2, j - 1
     span = min(PASSAGE, n)
     total = np.concatenate([[0], np.cumsum(edits)])
-    return top, j, last, int((total[span:] - total[:-span]).min())
+    over = PASSAGE * total - EDITS * np.arange(n + 1)
+    return top, j, last, int((over[span:] - np.maximum.accumulate(over)[:-span]).min())
 
 
 def _shards(texts: list[list[str]]) -> Iterator[list[int]]:
@@ -261,8 +262,8 @@ def _passages(items: Items, text: list[str], places: list[tuple[int, int, int, i
         slack = len(items.texts[k]) // PASSAGE + 6
         low, high = max(0, a - PASSAGE - slack), min(len(text), b + 1 + PASSAGE + slack)
         for start in range(low, high, 400):  # very long gatherings in overlapping pieces
-            score, first, last, edits = align(items.texts[k], text[start : min(high, start + 400 + 2 * len(items.texts[k]))])
-            if score and edits <= EDITS * min(PASSAGE, len(items.texts[k])) / PASSAGE:
+            score, first, last, excess = align(items.texts[k], text[start : min(high, start + 400 + 2 * len(items.texts[k]))])
+            if score and excess <= 0:
                 done.append((k, start + first, start + last, score))
     return [(items.ids[k], *rest) for k, *rest in _best(done)]
 
@@ -280,8 +281,8 @@ def _best(passages: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
 def leaks(documents: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, last_word, score): every passage of an item in a document, in folded words.
 
-    A passage is PASSAGE consecutive words of the item (without a shared opening line) with at most EDITS of them
-    replaced, added, dropped or broken. Case, accents, punctuation, spacing, markup, invisible characters and
+    A passage is PASSAGE or more consecutive words of the item (without a shared opening line) with at most EDITS in PASSAGE
+    of them replaced, added, dropped or broken. Case, accents, punctuation, spacing, markup, invisible characters and
     look-alike letters make no difference. Where items share a wording, a stretch of text counts for those it fits best.
 
     Items are the stated, small side and are sent to all tasks, at most ``MOST_ITEMS`` at a time; documents are indexed

@@ -120,3 +120,10 @@ def test_copies_do_not_make_a_slip_ordinary(spark):
     df = spark.createDataFrame(list(enumerate(texts + copied + other)), "doc_id long, text string")
     assert not {"bastrd", "wortles"} & moderation.ordinary_words(df)
     assert {r.id for r in moderation.scores(df).filter("flagged").collect()} == set(range(100, 180))
+
+
+def test_longer_passage_with_edits_in_its_middle(spark):
+    w = BODY1.split()[9:27]
+    for k in (6, 8, 11):  # every 12 of the 18 words hold all three edits
+        w[k] = "cat"
+    assert found(spark, [FILL + " ".join(w) + " " + FILL]) == {(0, 1)}
