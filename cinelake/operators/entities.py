@@ -25,13 +25,13 @@ def with_counts(entities: DataFrame, *parts: tuple[DataFrame, str, str]) -> Data
 
 def creators_overview(lib: Library) -> DataFrame:
     """Creators with linked counts, missing parts and whether they are complete (picture, an account, a video)."""
-    rows = with_counts(lib.creators.select("id", "name", "profile_picture_path"), (lib.video_creators, "creator_id", "video_count"), (lib.creator_platforms, "creator_id", "platform_count"), (lib.social_links, "creator_id", "social_count"))
+    rows = with_counts(lib.rows("creators", "name", "profile_picture_path").select("id", "name", "profile_picture_path"), (lib.video_creators, "creator_id", "video_count"), (lib.creator_platforms, "creator_id", "platform_count"), (lib.social_links, "creator_id", "social_count"))
     return _complete(rows, {"picture": F.col("profile_picture_path").isNull(), "account": F.col("platform_count") + F.col("social_count") == 0, "videos": F.col("video_count") == 0})
 
 
 def studios_overview(lib: Library) -> DataFrame:
     """Studios with linked counts; complete with a picture and any link."""
-    rows = with_counts(lib.studios.select(F.col("id").cast("long").alias("id"), "name", "profile_picture_path"), (lib.video_studios, "studio_id", "video_count"), (lib.creator_studios, "studio_id", "creator_count"))
+    rows = with_counts(lib.rows("studios", "name", "profile_picture_path").select(F.col("id").cast("long").alias("id"), "name", "profile_picture_path"), (lib.video_studios, "studio_id", "video_count"), (lib.creator_studios, "studio_id", "creator_count"))
     return _complete(rows, {"picture": F.col("profile_picture_path").isNull(), "links": F.col("video_count") + F.col("creator_count") == 0})
 
 
@@ -49,7 +49,7 @@ def search(entities: DataFrame, accounts: DataFrame, text: str) -> DataFrame:
 
 def linked_videos(lib: Library, links: DataFrame, key: str, value: int) -> DataFrame:
     ids = links.filter(F.col(key) == value).select(F.col("video_id").alias("id"))
-    return lib.videos.join(ids, "id", "left_semi")
+    return lib.rows("videos").join(ids, "id", "left_semi")
 
 
 def covers(lib: Library) -> DataFrame:

@@ -92,12 +92,15 @@ def divide(links: DataFrame, key: str, ids: Sequence[int]) -> DataFrame:
     return links.filter(F.col(key).isin(*wanted)).groupBy("video_id").agg(F.count_distinct(key).alias("n")).filter(F.col("n") == len(wanted)).select("video_id")
 
 
-def apply(lib: Library, f: VideoFilter, videos: DataFrame | None = None) -> DataFrame:
-    """Videos that pass ``f``; one row each unless ``dedupe`` is off, where an any-of facet repeats a video per link."""
-    out = (lib.videos if videos is None else videos).filter(F.lit(True))
+def apply(lib: Library, f: VideoFilter, *columns: str) -> DataFrame:
+    """id and ``columns`` of the videos that pass ``f``; one row each unless ``dedupe`` is off, where an any-of facet repeats a video per link.
+
+    Conditions on a video's own columns come before repeated rows are dropped, so they reach the scan, and no other column is read.
+    """
+    out = lib.raw("videos")
     for c in conditions(f):
         out = out.filter(c)
-    kept = out.withColumn("video_id", F.col("id"))
+    kept = out.select("id", *(c for c in dict.fromkeys(columns) if c != "id")).distinct().withColumn("video_id", F.col("id"))
 
     def exists(df: DataFrame, links: DataFrame, yes: bool) -> DataFrame:
         return df.join(links.select("video_id"), "video_id", "left_semi" if yes else "left_anti")

@@ -7,15 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinelake.functions.scalars import iso
-from cinelake.operators.filters import VideoFilter, apply, order
+from cinelake.operators.filters import SORTS, VideoFilter, apply, order
 from cinelake.sources.library import Library
 
 
-def page(lib: Library, f: VideoFilter, sort: str = "created_at", descending: bool = True, number: int = 1, size: int = 20) -> DataFrame:
-    """One page, as a top-k rather than a full sort."""
+def page(lib: Library, f: VideoFilter, sort: str = "created_at", descending: bool = True, number: int = 1, size: int = 20, columns: tuple[str, ...] = ()) -> DataFrame:
+    """One page of id, the sort column and ``columns``, as a top-k rather than a full sort."""
     if not 1 <= size <= 100 or number < 1:
         raise ValueError("pages have 1 to 100 rows and count from 1")
-    return apply(lib, f).orderBy(*order(sort, descending)).offset((number - 1) * size).limit(size)
+    by = sort if sort in SORTS else "created_at"
+    return apply(lib, f, by, *columns).orderBy(*order(sort, descending)).offset((number - 1) * size).limit(size)
 
 
 def envelope(filtered: DataFrame, size: int = 20) -> DataFrame:

@@ -71,7 +71,7 @@ def suggestions(lib: Library, limit: int = 20, offset: int = 0, most: int = 200,
     Takes the min(3 * limit, most) largest, as a top-k, then scores these only.
     """
     use = lib.video_stats.groupBy("video_id").agg(F.sum("play_count").alias("plays"), F.sum("total_watch_seconds").alias("seconds"), F.max("last_played_at").alias("last"))
-    large = lib.videos.filter("is_available").orderBy(F.desc("file_size_bytes"), "id").offset(offset).limit(min(3 * limit, most))
+    large = lib.rows("videos", "codec", "file_size_bytes", "bitrate", "height", "fps", "is_available").filter("is_available").orderBy(F.desc("file_size_bytes"), "id").offset(offset).limit(min(3 * limit, most))
     rows = large.join(use, large["id"] == use["video_id"], "left")
     plays, seconds = F.coalesce("plays", F.lit(0)), F.coalesce("seconds", F.lit(0.0))
     codec, gib, kbps, height = F.lower(F.coalesce("codec", F.lit(""))), F.col("file_size_bytes") / float(1 << 30), F.col("bitrate") / 1000, F.col("height")

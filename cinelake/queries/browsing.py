@@ -66,7 +66,7 @@ def j2_any_studio_fanout(lib):
 @_query("SELECT directory_id, count(*) AS videos, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM v_video_tags t WHERE t.video_id = v.id)) AS tagged FROM v_videos v GROUP BY 1")
 def j15_exists_by_directory(lib):
     tagged = lib.video_tags.select(F.col("video_id").alias("id")).distinct().withColumn("t", F.lit(1))
-    return lib.videos.join(tagged, "id", "left").groupBy("directory_id").agg(F.count(F.lit(1)).alias("videos"), F.count("t").alias("tagged"))
+    return lib.rows("videos", "directory_id").join(tagged, "id", "left").groupBy("directory_id").agg(F.count(F.lit(1)).alias("videos"), F.count("t").alias("tagged"))
 
 
 @_query("SELECT id, file_size_bytes FROM v_videos WHERE is_available ORDER BY file_size_bytes DESC NULLS FIRST, id DESC LIMIT 20 OFFSET 20")
@@ -87,7 +87,7 @@ def a25_envelope(lib):
 @_query("""SELECT v.id, v.file_name, CASE WHEN t.id IS NOT NULL THEN '/api/thumbnails/' || t.id || '/image' END AS thumbnail_url, f.video_id IS NOT NULL AS is_favorite, strftime(v.created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created_iso
     FROM v_videos v LEFT JOIN v_thumbnails t ON t.video_id = v.id LEFT JOIN v_favorites f ON f.video_id = v.id AND f.user_id = 3""")
 def f23_presented(lib):
-    return listing.presented(lib, lib.videos, 3)
+    return listing.presented(lib, lib.rows("videos", "file_name", "created_at"), 3)
 
 
 _NEXT = """WITH l AS (SELECT id, {c} AS v FROM v_videos WHERE is_available), h AS (SELECT v FROM l WHERE id = {i}),
@@ -97,45 +97,45 @@ SELECT id, NOT after AS has_wrapped, greatest((SELECT count(*) FROM a WHERE afte
 
 @_query(_NEXT.format(c="created_at", i=10, op="<", way="DESC"))
 def t2_next(lib):
-    return listing.neighbour(filters.apply(lib, VideoFilter()), 10, "created_at", True)
+    return listing.neighbour(filters.apply(lib, VideoFilter(), "created_at"), 10, "created_at", True)
 
 
 @_query("""WITH m AS (SELECT id FROM v_videos WHERE is_available ORDER BY file_size_bytes DESC, id DESC LIMIT 1), l AS (SELECT id, file_size_bytes AS v FROM v_videos WHERE is_available)
 SELECT id, true AS has_wrapped, CAST(0 AS BIGINT) AS remaining, (SELECT count(*) FROM l) AS total FROM m WHERE id <> (SELECT id FROM l ORDER BY v, id LIMIT 1)""")
 def t2_wraps(lib):
-    rows = filters.apply(lib, VideoFilter())
+    rows = filters.apply(lib, VideoFilter(), "file_size_bytes")
     last = rows.agg(F.min_by("id", F.struct("file_size_bytes", "id")).alias("id")).first()[0]  # the end of the list, one row
     return listing.neighbour(rows, last if last is not None else -1, "file_size_bytes", True)
 
 
 @_query("SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM v_videos WINDOW w AS (PARTITION BY directory_id ORDER BY created_at, id)")
 def w6_neighbours(lib):
-    return listing.neighbours_of_all(lib.videos, F.col("directory_id"), "created_at")
+    return listing.neighbours_of_all(lib.rows("videos", "directory_id", "created_at"), F.col("directory_id"), "created_at")
 
 
 @_query("SELECT id FROM v_videos v WHERE is_available AND NOT EXISTS (SELECT 1 FROM v_video_tags t WHERE t.video_id = v.id) ORDER BY created_at, id LIMIT 1000")
 def t3_untagged_queue(lib):
-    return filters.apply(lib, VideoFilter(has_tags=False)).orderBy(*filters.order("created_at", False)).limit(1000).select("id")
+    return filters.apply(lib, VideoFilter(has_tags=False), "created_at").orderBy(*filters.order("created_at", False)).limit(1000).select("id")
 
 
 @_query("")
 def t4_random(lib):
-    return listing.random_row(lib.videos, 11).select("id", "file_name")
+    return listing.random_row(lib.rows("videos", "file_name"), 11).select("id", "file_name")
 
 
 @_query("SELECT id, created_at FROM v_creators ORDER BY created_at DESC, id DESC LIMIT 10")
 def t5_recent_creators(lib):
-    return listing.recent(lib.creators).select("id", "created_at")
+    return listing.recent(lib.rows("creators", "created_at")).select("id", "created_at")
 
 
 @_query("SELECT id, name FROM v_creators WHERE name ILIKE '%an%' ORDER BY name, id LIMIT 10")
 def t6_autocomplete(lib):
-    return listing.autocomplete(lib.creators, " an ")
+    return listing.autocomplete(lib.rows("creators", "name"), " an ")
 
 
 @_query("SELECT id, name FROM v_studios WHERE name LIKE '%Films%' ORDER BY name, id LIMIT 10")
 def f20_case_sensitive(lib):
-    return listing.autocomplete(lib.studios, "Films", ignore_case=False)
+    return listing.autocomplete(lib.rows("studios", "name"), "Films", ignore_case=False)
 
 
 @_query("SELECT id, video_id, timestamp_seconds FROM v_bookmarks WHERE user_id = 5 ORDER BY timestamp_seconds, id")
@@ -145,4 +145,4 @@ def t11_bookmarks(lib):
 
 @_query("SELECT id, CASE WHEN regexp_extract(file_path, '\\.([^./]+)$', 1) <> '' THEN lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) ELSE '' END AS extension, lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) IN ('mp4','mkv','avi','mov','wmv','flv','webm','m4v','mpg','mpeg') AS is_video FROM v_videos")
 def s4_is_video(lib):
-    return lib.videos.select("id", scalars.extension(F.col("file_path")).alias("extension"), scalars.is_video(F.col("file_path")).alias("is_video"))
+    return lib.rows("videos", "file_path").select("id", scalars.extension(F.col("file_path")).alias("extension"), scalars.is_video(F.col("file_path")).alias("is_video"))

@@ -23,12 +23,12 @@ def _query(sql_text: str):
 
 @_query("SELECT is_available, count(*) AS videos, CAST(sum(file_size_bytes) AS BIGINT) AS bytes, round(sum(file_size_bytes) / 1073741824e0, 4) AS gib, round(avg(file_size_bytes) / 1048576e0, 4) AS mean_mib FROM v_videos GROUP BY 1")
 def q1_storage(lib):
-    return lib.videos.groupBy("is_available").agg(F.count(F.lit(1)).alias("videos"), F.sum("file_size_bytes").alias("bytes"), F.round(F.sum("file_size_bytes") / float(1 << 30), 4).alias("gib"), F.round(F.avg("file_size_bytes") / float(1 << 20), 4).alias("mean_mib"))
+    return lib.rows("videos", "is_available", "file_size_bytes").groupBy("is_available").agg(F.count(F.lit(1)).alias("videos"), F.sum("file_size_bytes").alias("bytes"), F.round(F.sum("file_size_bytes") / float(1 << 30), 4).alias("gib"), F.round(F.avg("file_size_bytes") / float(1 << 20), 4).alias("mean_mib"))
 
 
 @_query("SELECT id, file_name, file_size_bytes // 1048576 AS mib FROM v_videos ORDER BY file_size_bytes DESC, id LIMIT 10")
 def q2_largest(lib):
-    return lib.videos.orderBy(F.desc("file_size_bytes"), "id").limit(10).select("id", "file_name", F.expr("file_size_bytes div 1048576").alias("mib"))
+    return lib.rows("videos", "file_name", "file_size_bytes").orderBy(F.desc("file_size_bytes"), "id").limit(10).select("id", "file_name", F.expr("file_size_bytes div 1048576").alias("mib"))
 
 
 @_query("SELECT round(avg(epoch_us(completed_at) - epoch_us(started_at)) / 1e6, 4) AS seconds, round(avg(files_found), 4) AS found, round(avg(files_added), 4) AS added FROM v_scan_logs WHERE completed_at IS NOT NULL")
@@ -44,7 +44,7 @@ def q4_failed_scans(lib):
 
 @_query("SELECT id FROM v_scan_logs WHERE directory_id NOT IN (SELECT id FROM v_directories)")
 def q5_scans_without_directory(lib):
-    return lib.scan_logs.join(lib.directories.select(F.col("id").alias("directory_id")), "directory_id", "left_anti").select("id")
+    return lib.scan_logs.join(lib.rows("watched_directories").select(F.col("id").alias("directory_id")), "directory_id", "left_anti").select("id")
 
 
 _LINKS = (("video_tags", "video_id", "videos"), ("video_creators", "video_id", "videos"), ("video_creators", "creator_id", "creators"), ("video_studios", "studio_id", "studios"), ("playlist_videos", "video_id", "videos"), ("favorites", "video_id", "videos"))
@@ -54,7 +54,7 @@ _LINKS = (("video_tags", "video_id", "videos"), ("video_creators", "video_id", "
 def q6_orphan_report(lib):
     out = None
     for t, k, p in _LINKS:
-        n = getattr(lib, t).select(k).join(getattr(lib, p).select(F.col("id").cast("long").alias(k)), k, "left_anti").agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(f"{t}.{k}").alias("reference"), "orphans")
+        n = lib.keys(t).select(k).join(lib.keys(p).select(F.col("id").cast("long").alias(k)), k, "left_anti").agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(f"{t}.{k}").alias("reference"), "orphans")
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -66,7 +66,7 @@ _TABLES = ("videos", "creators", "studios", "tags", "video_tags", "video_creator
 def q7_row_counts(lib):
     out = None
     for t in _TABLES:
-        n = getattr(lib, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n")
+        n = lib.keys(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n")
         out = n if out is None else out.unionByName(n)
     return out
 
@@ -79,7 +79,7 @@ def q8_tag_depth(lib):
 
 @_query("SELECT id, name FROM v_creators WHERE id NOT IN (SELECT creator_id FROM v_video_creators)")
 def q9_creators_without_videos(lib):
-    return lib.creators.join(lib.video_creators.select(F.col("creator_id").alias("id")), "id", "left_anti").select("id", "name")
+    return lib.rows("creators", "name").join(lib.video_creators.select(F.col("creator_id").alias("id")), "id", "left_anti").select("id", "name")
 
 
 @_query("SELECT count(DISTINCT video_id) AS videos, CAST(sum(play_count) AS BIGINT) AS plays, round(sum(total_watch_seconds) / 3600, 6) AS hours, round(avg(play_count), 6) AS mean_plays FROM v_video_stats")
@@ -89,18 +89,18 @@ def q10_watch_summary(lib):
 
 @_query("SELECT id FROM v_videos WHERE is_available AND id NOT IN (SELECT video_id FROM v_video_stats)")
 def q11_never_watched(lib):
-    return lib.videos.filter("is_available").join(lib.video_stats.select(F.col("video_id").alias("id")), "id", "left_anti").select("id")
+    return lib.rows("videos", "is_available").filter("is_available").join(lib.video_stats.select(F.col("video_id").alias("id")), "id", "left_anti").select("id")
 
 
 @_query("SELECT s.user_id, s.video_id, round(coalesce(least(1, s.total_watch_seconds / nullif(v.duration_seconds, 0)), 0), 6) AS completion FROM v_video_stats s JOIN v_videos v ON v.id = s.video_id")
 def q13_completion(lib):
-    rows = lib.video_stats.join(lib.videos.select(F.col("id").alias("video_id"), "duration_seconds"), "video_id")
+    rows = lib.video_stats.join(lib.rows("videos", "duration_seconds").select(F.col("id").alias("video_id"), "duration_seconds"), "video_id")
     return rows.select("user_id", "video_id", F.round(F.coalesce(F.least(F.lit(1.0), F.try_divide("total_watch_seconds", "duration_seconds")), F.lit(0.0)), 6).alias("completion"))
 
 
 @_query("SELECT id FROM v_videos v WHERE is_available AND id NOT IN (SELECT video_id FROM v_thumbnails) AND id NOT IN (SELECT video_id FROM v_storyboards)")
 def q14_without_pictures(lib):
-    out = lib.videos.filter("is_available").select("id")
+    out = lib.rows("videos", "is_available").filter("is_available").select("id")
     for t in (lib.thumbnails, lib.storyboards):
         out = out.join(t.select(F.col("video_id").alias("id")), "id", "left_anti")
     return out
@@ -114,7 +114,7 @@ def q15_jobs(lib):
 @_query("SELECT 'videos' AS part, count(*) AS items, CAST(sum(file_size_bytes) AS BIGINT) AS bytes FROM v_videos UNION ALL SELECT 'conversions', count(*), CAST(sum(output_size_bytes) AS BIGINT) FROM v_jobs WHERE status = 'completed' UNION ALL SELECT 'thumbnails', count(*), count(*) * 20480 FROM v_thumbnails")
 def q16_storage_breakdown(lib):
     part = lambda name, df, size: df.agg(F.count(F.lit(1)).alias("items"), F.sum(size).cast("long").alias("bytes")).select(F.lit(name).alias("part"), "items", "bytes")
-    return part("videos", lib.videos, F.col("file_size_bytes")).unionByName(part("conversions", lib.jobs.filter("status = 'completed'"), F.col("output_size_bytes"))).unionByName(part("thumbnails", lib.thumbnails, F.lit(20_480)))
+    return part("videos", lib.rows("videos", "file_size_bytes"), F.col("file_size_bytes")).unionByName(part("conversions", lib.jobs.filter("status = 'completed'"), F.col("output_size_bytes"))).unionByName(part("thumbnails", lib.thumbnails, F.lit(20_480)))
 
 
 _DATED = (("videos", "created_at"), ("ratings", "rated_at"), ("jobs", "created_at"), ("bookmarks", None))
@@ -132,7 +132,7 @@ def q17_spans(lib):
 
 @_query("SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS day, count(*) AS videos, CAST(sum(file_size_bytes) AS BIGINT) AS bytes FROM v_videos GROUP BY 1 ORDER BY 1 DESC LIMIT 30")
 def q18_growth(lib):
-    return lib.videos.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("videos"), F.sum("file_size_bytes").alias("bytes")).orderBy(F.desc("day")).limit(30)
+    return lib.rows("videos", "created_at", "file_size_bytes").groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("videos"), F.sum("file_size_bytes").alias("bytes")).orderBy(F.desc("day")).limit(30)
 
 
 @_query("SELECT strftime(date_trunc('week', day), '%Y-%m-%d') AS week, round(avg(total_size_bytes), 4) AS mean, max(total_size_bytes) - min(total_size_bytes) AS spread FROM v_snapshots GROUP BY 1")

@@ -57,19 +57,19 @@ def f18_few_videos(lib):
 
 @_query("SELECT id FROM v_creators WHERE name ILIKE '%ma%' UNION SELECT c.id FROM v_creators c JOIN v_creator_platforms p ON p.creator_id = c.id WHERE p.username ILIKE '%ma%'")
 def f19_name_or_account(lib):
-    return E.search(lib.creators, lib.creator_platforms, "ma")
+    return E.search(lib.rows("creators", "name"), lib.creator_platforms, "ma")
 
 
 @_query("SELECT c.id, c.name FROM v_creators c JOIN v_creator_studios s ON s.creator_id = c.id WHERE s.studio_id = 1")
 def j5_creators_of_studio(lib):
-    return lib.creators.join(lib.creator_studios.filter("studio_id = 1").select(F.col("creator_id").alias("id")), "id").select("id", "name")
+    return lib.rows("creators", "name").join(lib.creator_studios.filter("studio_id = 1").select(F.col("creator_id").alias("id")), "id").select("id", "name")
 
 
 @_query("SELECT id, file_name FROM v_videos WHERE id IN (SELECT video_id FROM v_video_tags WHERE tag_id = (SELECT tag_id FROM v_video_tags GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))")
 def j6_videos_of_top_tag(lib):
     top = E.counts(lib.video_tags, "tag_id", "n").orderBy(F.desc("n"), "id").limit(1).select(F.col("id").alias("tag_id"))
     ids = lib.video_tags.join(F.broadcast(top), "tag_id").select(F.col("video_id").alias("id"))  # one row
-    return lib.videos.join(ids, "id", "left_semi").select("id", "file_name")
+    return lib.rows("videos", "file_name").join(ids, "id", "left_semi").select("id", "file_name")
 
 
 @_query("SELECT id FROM v_videos WHERE id IN (SELECT video_id FROM v_video_creators WHERE creator_id = 5)")
@@ -79,20 +79,20 @@ def j6_videos_of_creator(lib):
 
 @_query("SELECT v.id, string_agg(t.name, ', ' ORDER BY t.name, t.id) AS tags FROM v_videos v JOIN v_video_tags b ON b.video_id = v.id JOIN v_tags t ON t.id = b.tag_id GROUP BY 1")
 def j6_tags_of_videos(lib):
-    rows = lib.video_tags.join(lib.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").join(lib.videos.select(F.col("id").alias("video_id")), "video_id", "left_semi")
+    rows = lib.video_tags.join(lib.tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").join(lib.rows("videos").select(F.col("id").alias("video_id")), "video_id", "left_semi")
     names = F.transform(F.sort_array(F.collect_list(F.struct("name", "tag_id"))), lambda x: x["name"])
     return rows.groupBy(F.col("video_id").alias("id")).agg(F.array_join(names, ", ").alias("tags"))
 
 
 @_query("SELECT f.video_id, v.file_name, t.file_path AS picture, f.added_at FROM v_favorites f JOIN v_videos v ON v.id = f.video_id LEFT JOIN v_thumbnails t ON t.video_id = f.video_id WHERE f.user_id = 12 ORDER BY f.added_at DESC, f.video_id")
 def j7_favorites(lib):
-    rows = lib.favorites.filter("user_id = 12").join(lib.videos.select(F.col("id").alias("video_id"), "file_name"), "video_id").join(lib.thumbnails.select("video_id", F.col("file_path").alias("picture")), "video_id", "left")
+    rows = lib.favorites.filter("user_id = 12").join(lib.rows("videos", "file_name").select(F.col("id").alias("video_id"), "file_name"), "video_id").join(lib.thumbnails.select("video_id", F.col("file_path").alias("picture")), "video_id", "left")
     return rows.orderBy(F.desc("added_at"), "video_id").select("video_id", "file_name", "picture", "added_at")
 
 
 @_query("SELECT p.video_id, p.position, v.file_name, t.file_path AS picture FROM v_playlist_videos p JOIN v_videos v ON v.id = p.video_id LEFT JOIN v_thumbnails t ON t.video_id = v.id WHERE p.playlist_id = 77 ORDER BY p.position, p.video_id")
 def j8_playlist(lib):
-    rows = lib.playlist_videos.filter("playlist_id = 77").join(lib.videos.select(F.col("id").alias("video_id"), "file_name"), "video_id").join(lib.thumbnails.select("video_id", F.col("file_path").alias("picture")), "video_id", "left")
+    rows = lib.playlist_videos.filter("playlist_id = 77").join(lib.rows("videos", "file_name").select(F.col("id").alias("video_id"), "file_name"), "video_id").join(lib.thumbnails.select("video_id", F.col("file_path").alias("picture")), "video_id", "left")
     return rows.orderBy("position", "video_id").select("video_id", "position", "file_name", "picture")
 
 
@@ -104,12 +104,12 @@ def j9_covers(lib):
 @_query("SELECT c.id, c.name, count(p.platform_id) AS accounts, coalesce(string_agg(p.username, ',' ORDER BY p.platform_id), '') AS usernames FROM v_creators c LEFT JOIN v_creator_platforms p ON p.creator_id = c.id GROUP BY 1, 2")
 def j10_accounts(lib):
     by = lib.creator_platforms.groupBy(F.col("creator_id").alias("id")).agg(F.count(F.lit(1)).alias("accounts"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("platform_id", "username"))), lambda x: x["username"]), ",").alias("usernames"))
-    return lib.creators.select("id", "name").join(by, "id", "left").select("id", "name", F.coalesce("accounts", F.lit(0)).alias("accounts"), F.coalesce("usernames", F.lit("")).alias("usernames"))
+    return lib.rows("creators", "name").select("id", "name").join(by, "id", "left").select("id", "name", F.coalesce("accounts", F.lit(0)).alias("accounts"), F.coalesce("usernames", F.lit("")).alias("usernames"))
 
 
 @_query("SELECT j.id, j.status, coalesce(v.title, v.file_name) AS title FROM v_jobs j LEFT JOIN v_videos v ON v.id = j.video_id WHERE j.status IN ('pending', 'processing')")
 def j11_open_jobs(lib):
-    title = lib.videos.select(F.col("id").alias("video_id"), F.coalesce("title", "file_name").alias("title"))
+    title = lib.rows("videos", "title", "file_name").select(F.col("id").alias("video_id"), F.coalesce("title", "file_name").alias("title"))
     return lib.jobs.filter(F.col("status").isin("pending", "processing")).join(title, "video_id", "left").select("id", "status", "title")
 
 
@@ -117,8 +117,8 @@ def j11_open_jobs(lib):
 def j18_directory_by_prefix(lib):
     """The watched directory that a path lies in, most recently added first; the prefix of each depth is joined by equality."""
     parts = F.split("file_path", "/")
-    prefixes = lib.videos.select("id", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path"))
-    hits = prefixes.distinct().join(lib.directories.select("path", "added_at", F.col("id").alias("directory_id")), "path")
+    prefixes = lib.rows("videos", "file_path").select("id", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts) - 1, F.lit(2))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path"))
+    hits = prefixes.distinct().join(lib.rows("watched_directories", "path", "added_at").select("path", "added_at", F.col("id").alias("directory_id")), "path")
     return hits.groupBy("id").agg(F.max_by("directory_id", F.struct("added_at", -F.col("directory_id"))).alias("directory_id"))
 
 
@@ -173,7 +173,7 @@ def r7_delete_subtree(lib):
 
 @_query("SELECT DISTINCT directory_id FROM v_videos")
 def r8_distinct_directories(lib):
-    return lib.videos.select("directory_id").distinct()
+    return lib.rows("videos", "directory_id").select("directory_id").distinct()
 
 
 @_query("SELECT t.id, t.name, count(c.id) AS children FROM v_tags t LEFT JOIN v_tags c ON c.parent_id = t.id GROUP BY 1, 2")

@@ -34,7 +34,7 @@ r AS (SELECT *, sum(watched_seconds) OVER (PARTITION BY user_id, video_id, sessi
 
 
 def _events(lib):
-    limit = lib.videos.select(F.col("id").alias("video_id"), threshold(F.col("duration_seconds")).alias("lim"))
+    limit = lib.rows("videos", "duration_seconds").select(F.col("id").alias("video_id"), threshold(F.col("duration_seconds")).alias("lim"))
     return lib.watch_events.join(limit, "video_id", "left").withColumn("lim", F.coalesce("lim", F.lit(60.0)))
 
 
@@ -76,7 +76,7 @@ SELECT id, CASE k WHEN 0 THEN regexp_extract(f, {_HIGH[0]}, 1) WHEN 1 THEN regex
 )
 def pipe5_paths(lib):
     p = paths.parse(F.col("file_path"))
-    return lib.videos.select("id", *(p[k].alias(k) for k in ("creator", "studio", "series", "episode", "file_name", "parent")))
+    return lib.rows("videos", "file_path").select("id", *(p[k].alias(k) for k in ("creator", "studio", "series", "episode", "file_name", "parent")))
 
 
 RULES = [
@@ -92,12 +92,12 @@ RULES = [
 r AS (SELECT id AS video_id, CAST(1 AS BIGINT) AS rule_id, concat_ws('; ', CASE WHEN a THEN 'path_pattern matches /greenhouse/' END, CASE WHEN b THEN 'codec contains TUTORIAL' END) AS matched, 'add_tag' AS action, '5' AS target FROM f WHERE a OR b
 UNION ALL SELECT id, 2, 'file_pattern not_matches handheld|review', x.action, x.target FROM f, (VALUES ('add_tag', '6'), ('add_studio', '2')) x(action, target) WHERE NOT c) SELECT * FROM r""")
 def pipe3_rules(lib):
-    return paths.evaluate(lib.videos, RULES)
+    return paths.evaluate(lib.rows("videos", "file_path"), RULES)
 
 
 @_query("""SELECT id, CASE WHEN coalesce(width, 0) = 0 OR coalesce(height, 0) = 0 THEN '1280x-2' WHEN height < 720 OR width <= 1280 THEN 'original' ELSE '1280x-2' END AS resolution FROM v_videos""")
 def u1_target_resolution(lib):
-    return lib.videos.select("id", X.target_resolution(F.col("width"), F.col("height"), F.lit(1280)).alias("resolution"))
+    return lib.rows("videos", "width", "height").select("id", X.target_resolution(F.col("width"), F.col("height"), F.lit(1280)).alias("resolution"))
 
 
 _CAP = "CASE WHEN width >= 3840 THEN 35 WHEN width >= 2560 THEN 20 WHEN width >= 1920 THEN 15 WHEN width >= 1280 THEN 8 ELSE 4 END"
@@ -108,7 +108,7 @@ t AS (SELECT id, cap, greatest(CASE WHEN src > 0 THEN least(cap, CAST(floor(src
 SELECT id, CAST(target AS BIGINT) AS target, CAST(least(cap, greatest(target, CAST(floor(target * 1.2e0 + 0.5e0) AS BIGINT))) AS BIGINT) AS most, CAST(2 * least(cap, greatest(target, CAST(floor(target * 1.2e0 + 0.5e0) AS BIGINT))) AS BIGINT) AS buffer FROM t""")
 def u2_bitrates(lib):
     target, most, buffer = X.target_bitrate("hevc", F.col("bitrate"), F.col("width"))
-    return lib.videos.filter("width is not null").select("id", target.alias("target"), most.alias("most"), buffer.alias("buffer"))
+    return lib.rows("videos", "bitrate", "width").filter("width is not null").select("id", target.alias("target"), most.alias("most"), buffer.alias("buffer"))
 
 
 @_query("""WITH g AS (SELECT id, duration_seconds AS d, CAST(ceil(duration_seconds / 30) AS BIGINT) AS n FROM v_videos WHERE duration_seconds > 0), h AS (SELECT *, CAST(ceil(sqrt(n * 2)) AS BIGINT) AS c FROM g)
@@ -116,7 +116,7 @@ SELECT id, CAST(i AS BIGINT) AS tile, CAST(i % c * 160 AS BIGINT) AS x, CAST(i /
 def u4_tiles(lib):
     """Tiles of storyboards: one every 30 seconds, in a grid with more columns than rows."""
     n = F.ceil(F.col("duration_seconds") / 30).cast("long")
-    rows = lib.videos.filter("duration_seconds > 0").select("id", n.alias("n"), F.ceil(F.sqrt(n * 2)).cast("long").alias("c"))
+    rows = lib.rows("videos", "duration_seconds").filter("duration_seconds > 0").select("id", n.alias("n"), F.ceil(F.sqrt(n * 2)).cast("long").alias("c"))
     tiles = rows.select("id", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("tile"))
     return tiles.select("id", "tile", (F.col("tile") % F.col("c") * 160).alias("x"), (F.floor(F.col("tile") / F.col("c")) * 90).alias("y"), (F.col("tile") * 30).alias("start"))
 
@@ -132,7 +132,7 @@ def u6_closest_frame(lib):
 
 @_query("SELECT id, round(CASE WHEN coalesce(duration_seconds, 0) > 0 THEN greatest(0, least(duration_seconds * 0.2e0, duration_seconds - 1)) ELSE 5 END, 6) AS second FROM v_videos")
 def u7_thumbnail_second(lib):
-    return lib.videos.select("id", F.round(X.thumbnail_second(F.col("duration_seconds")), 6).alias("second"))
+    return lib.rows("videos", "duration_seconds").select("id", F.round(X.thumbnail_second(F.col("duration_seconds")), 6).alias("second"))
 
 
 @_query("""WITH h AS (SELECT id, file_size_bytes AS n, CASE id % 5 WHEN 0 THEN 'bytes=' || id || '-' WHEN 1 THEN 'bytes=-' || id * 100 WHEN 2 THEN 'bytes=' || id || '-' || id * 2000000 WHEN 3 THEN 'bytes=-' ELSE 'items=1-2' END AS r FROM v_videos),
@@ -143,7 +143,7 @@ def u8_byte_ranges(lib):
     i = F.col("id")
     header = F.when(i % 5 == 0, F.concat(F.lit("bytes="), i, F.lit("-"))).when(i % 5 == 1, F.concat(F.lit("bytes=-"), i * 100)).when(i % 5 == 2, F.concat(F.lit("bytes="), i, F.lit("-"), i * 2_000_000)).when(i % 5 == 3, "bytes=-").otherwise("items=1-2")
     first, last = X.byte_range(header, F.col("file_size_bytes"))
-    return lib.videos.select("id", first.alias("first_byte"), last.alias("last_byte")).filter("first_byte is not null")
+    return lib.rows("videos", "file_size_bytes").select("id", first.alias("first_byte"), last.alias("last_byte")).filter("first_byte is not null")
 
 
 @_query("""WITH b AS (SELECT id, bbox_x1 * 1920 AS x1, bbox_y1 * 1080 AS y1, bbox_x2 * 1920 AS x2, bbox_y2 * 1080 AS y2 FROM (SELECT DISTINCT id, bbox_x1, bbox_y1, bbox_x2, bbox_y2 FROM video_face_detections)),
@@ -157,19 +157,19 @@ def u10_face_crops(lib):
 
 @_query("SELECT id, CASE WHEN scan_interval_minutes < 60 THEN '*/' || scan_interval_minutes || ' * * * *' WHEN scan_interval_minutes // 60 < 24 THEN '0 */' || scan_interval_minutes // 60 || ' * * *' ELSE '0 0 * * *' END AS cron FROM v_directories")
 def u_cron(lib):
-    return lib.directories.select("id", X.minutes_to_cron(F.col("scan_interval_minutes")).alias("cron"))
+    return lib.rows("watched_directories", "scan_interval_minutes").select("id", X.minutes_to_cron(F.col("scan_interval_minutes")).alias("cron"))
 
 
 @_query("""SELECT id, round(file_size_bytes / CASE WHEN file_size_bytes >= 1073741824 THEN 1073741824e0 WHEN file_size_bytes >= 1048576 THEN 1048576e0 WHEN file_size_bytes >= 1024 THEN 1024e0 ELSE 1e0 END, 2) AS number,
     CASE WHEN file_size_bytes >= 1073741824 THEN 'GB' WHEN file_size_bytes >= 1048576 THEN 'MB' WHEN file_size_bytes >= 1024 THEN 'KB' ELSE 'Bytes' END AS unit FROM v_videos""")
 def u_format_bytes(lib):
     text = F.split(X.format_bytes(F.col("file_size_bytes")), " ")
-    return lib.videos.select("id", text[0].cast("double").alias("number"), text[1].alias("unit"))
+    return lib.rows("videos", "file_size_bytes").select("id", text[0].cast("double").alias("number"), text[1].alias("unit"))
 
 
 @_query("SELECT id, md5(file_name || '|' || file_size_bytes) AS fingerprint FROM v_videos")
 def u_fingerprints(lib):
-    return lib.videos.select("id", F.md5(F.concat("file_name", F.lit("|"), "file_size_bytes")).alias("fingerprint"))
+    return lib.rows("videos", "file_name", "file_size_bytes").select("id", F.md5(F.concat("file_name", F.lit("|"), "file_size_bytes")).alias("fingerprint"))
 
 
 _V = """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 <> 0), r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 = 0),
@@ -206,7 +206,7 @@ def pipe8_match_videos(lib):
 @_query("""WITH l AS (SELECT file_path, file_size_bytes + CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END AS s FROM v_videos WHERE id % 11 <> 0 UNION ALL SELECT file_path || '.new', 1 FROM v_videos WHERE id % 50 = 0)
 SELECT CASE WHEN v.file_path IS NULL THEN 'new' WHEN l.file_path IS NULL THEN 'missing' WHEN l.s = v.file_size_bytes THEN 'unchanged' ELSE 'changed' END AS state, count(*) AS files FROM l FULL JOIN v_videos v ON l.file_path = v.file_path GROUP BY 1""")
 def pipe7_reconcile(lib):
-    v = lib.videos
+    v = lib.rows("videos", "file_path", "file_size_bytes")
     listed = v.filter("id % 11 <> 0").select("file_path", (F.col("file_size_bytes") + F.when(F.col("id") % 9 == 0, 1).otherwise(0)).alias("file_size_bytes"))
     listed = listed.unionByName(v.filter("id % 50 = 0").select(F.concat("file_path", F.lit(".new")).alias("file_path"), F.lit(1).cast("long").alias("file_size_bytes")))
     return M.reconcile(listed, v).groupBy("state").agg(F.count(F.lit(1)).alias("files"))
@@ -215,13 +215,13 @@ def pipe7_reconcile(lib):
 @_query("""WITH w AS (SELECT v.id AS video_id, t.tag_id FROM v_videos v, (VALUES (1), (2), (3)) t(tag_id) WHERE v.directory_id = 4), a AS (SELECT * FROM w WHERE (video_id, tag_id) NOT IN (SELECT (video_id, tag_id) FROM v_video_tags))
 SELECT (SELECT count(*) FROM a) AS added, (SELECT count(*) FROM v_video_tags) + (SELECT count(*) FROM a) AS links""")
 def pipe9_bulk_add(lib):
-    links, added = M.add_links(lib.video_tags, lib.videos.filter("directory_id = 4").select(F.col("id").alias("video_id")), "video_id", "tag_id", (1, 2, 3))
+    links, added = M.add_links(lib.video_tags, lib.rows("videos", "directory_id").filter("directory_id = 4").select(F.col("id").alias("video_id")), "video_id", "tag_id", (1, 2, 3))
     return added.agg(F.count(F.lit(1)).alias("added")).crossJoin(links.agg(F.count(F.lit(1)).alias("links")))
 
 
 @_query("SELECT count(*) AS removed FROM v_video_tags WHERE tag_id IN (10, 20, 30, 40) AND video_id IN (SELECT id FROM v_videos WHERE directory_id <= 20)")
 def pipe9_bulk_remove(lib):
-    _, gone = M.remove_links(lib.video_tags, lib.videos.filter("directory_id <= 20").select(F.col("id").alias("video_id")), "video_id", "tag_id", (10, 20, 30, 40))
+    _, gone = M.remove_links(lib.video_tags, lib.rows("videos", "directory_id").filter("directory_id <= 20").select(F.col("id").alias("video_id")), "video_id", "tag_id", (10, 20, 30, 40))
     return gone.agg(F.count(F.lit(1)).alias("removed"))
 
 
@@ -259,18 +259,18 @@ def s11_insert_ignore(lib):
 
 @_query("SELECT id, CASE WHEN file_size_bytes < 30000000 THEN false ELSE is_available END AS is_available FROM v_videos WHERE NOT coalesce(duration_seconds < 30, false)")
 def s13_update_delete(lib):
-    marked = M.update(lib.videos, F.col("file_size_bytes") < 30_000_000, {"is_available": F.lit(False)})
+    marked = M.update(lib.rows("videos", "file_size_bytes", "is_available", "duration_seconds"), F.col("file_size_bytes") < 30_000_000, {"is_available": F.lit(False)})
     return M.delete(marked, F.col("duration_seconds") < 30).select("id", "is_available")
 
 
 @_query("SELECT v.id AS video_id, CAST(t.id AS BIGINT) AS target_id FROM v_videos v, (VALUES (1), (2)) t(id) WHERE v.directory_id = 3")
 def j21_product(lib):
-    return lib.videos.filter("directory_id = 3").select(F.col("id").alias("video_id"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("target_id"))
+    return lib.rows("videos", "directory_id").filter("directory_id = 3").select(F.col("id").alias("video_id"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("target_id"))
 
 
 @_query("SELECT s.user_id, s.video_id, v.codec FROM v_video_stats s JOIN v_videos v ON v.id = s.video_id WHERE s.play_count > 1")
 def j12_stats_videos(lib):
-    return lib.video_stats.filter("play_count > 1").join(lib.videos.select(F.col("id").alias("video_id"), "codec"), "video_id").select("user_id", "video_id", "codec")
+    return lib.video_stats.filter("play_count > 1").join(lib.rows("videos", "codec").select(F.col("id").alias("video_id"), "codec"), "video_id").select("user_id", "video_id", "codec")
 
 
 @_query("SELECT id FROM v_playlists WHERE id IN (10, 20, 30, 40, 50, 60) AND user_id = (SELECT user_id FROM v_playlists WHERE id = 30)")
@@ -284,7 +284,7 @@ def f25_owned(lib):
 SELECT (SELECT count(*) FROM v_videos) AS total_videos, '[' || string_agg('{"codec":"' || codec || '","count":' || n || '}', ',' ORDER BY codec, n) || ']' AS codecs FROM o""")
 def pipe12_snapshot(lib):
     """The row of a library snapshot: a total, and the codec breakdown as JSON text."""
-    by = lib.videos.groupBy("codec").agg(F.count(F.lit(1)).alias("count")).select(F.coalesce("codec", F.lit("Unknown")).alias("codec"), "count")
+    by = lib.rows("videos", "codec").groupBy("codec").agg(F.count(F.lit(1)).alias("count")).select(F.coalesce("codec", F.lit("Unknown")).alias("codec"), "count")
     return by.agg(F.sum("count").alias("total_videos"), F.to_json(F.sort_array(F.collect_list(F.struct("codec", "count")))).alias("codecs"))
 
 
@@ -300,12 +300,12 @@ def pipe16_progress(lib):
 @_query("SELECT id, CASE id % 4 WHEN 0 THEN 29.97 WHEN 1 THEN 25.0 WHEN 2 THEN 24.0 END AS fps FROM v_videos")
 def u9_frame_rates(lib):
     text = F.element_at(F.array(F.lit("30000/1001"), F.lit("25/1"), F.lit("24"), F.lit("0/0")), (F.col("id") % 4 + 1).cast("int"))
-    return lib.videos.select("id", X.frames_per_second(text).alias("fps"))
+    return lib.rows("videos").select("id", X.frames_per_second(text).alias("fps"))
 
 
 @_query("SELECT id, CASE lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) WHEN 'mp4' THEN 'video/mp4' WHEN 'mkv' THEN 'video/x-matroska' WHEN 'avi' THEN 'video/x-msvideo' WHEN 'mov' THEN 'video/quicktime' WHEN 'wmv' THEN 'video/x-ms-wmv' WHEN 'flv' THEN 'video/x-flv' WHEN 'webm' THEN 'video/webm' WHEN 'm4v' THEN 'video/x-m4v' WHEN 'mpg' THEN 'video/mpeg' WHEN 'mpeg' THEN 'video/mpeg' ELSE 'application/octet-stream' END AS media_type FROM v_videos")
 def u13_media_types(lib):
-    return lib.videos.select("id", X.media_type(F.col("file_path")).alias("media_type"))
+    return lib.rows("videos", "file_path").select("id", X.media_type(F.col("file_path")).alias("media_type"))
 
 
 @_query("SELECT user_id, video_id, CAST(least(99, floor(100e0 * total_watch_seconds / 300 + 0.5e0)) AS BIGINT) AS percent FROM v_video_stats")

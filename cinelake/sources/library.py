@@ -16,6 +16,8 @@ from cinelake.sources.tables import table
 
 #: The moment "now" means in every query.
 AS_OF = "2026-01-01 00:00:00"
+#: Tables with wide rows.
+WIDE = ("videos", "creators", "studios", "watched_directories")
 
 
 def as_of(spark_type: str = "timestamp_ntz"):
@@ -36,17 +38,22 @@ class Library:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.directory, name)
 
-    @cached_property
-    def videos(self) -> DataFrame:
-        return self.raw("videos").distinct()
+    def rows(self, name: str, *columns: str) -> DataFrame:
+        """id and ``columns`` of a table, repeated rows once; only these columns are read and shuffled.
 
-    @cached_property
-    def creators(self) -> DataFrame:
-        return self.raw("creators").distinct()
+        An id is never in two rows that differ, so rows are told apart by any columns that include it. All columns are
+        grouping keys, hence filters on the result reach the scan.
+        """
+        return self.raw(name).select("id", *columns).distinct()
+
+    def keys(self, name: str) -> DataFrame:
+        """The rows of a view, of the wide tables only their ids."""
+        return self.rows(name) if name in WIDE else getattr(self, name)
 
     @cached_property
-    def studios(self) -> DataFrame:
-        return self.raw("studios").distinct()
+    def videos(self) -> DataFrame:
+        """Whole rows, for exports; queries ask for their columns by ``rows``."""
+        return self.raw("videos").distinct()
 
     @cached_property
     def tags(self) -> DataFrame:
@@ -63,10 +70,6 @@ class Library:
     def video_creators(self) -> DataFrame:
         return self.raw("video_creators").distinct()
 
-    @cached_property
-    def directories(self) -> DataFrame:
-        return self.raw("watched_directories").distinct()
-
     @cached_property
     def video_studios(self) -> DataFrame:
         rows = self.raw("lineitem").filter("l_linenumber = 3")
@@ -109,11 +112,11 @@ class Library:
 
     @cached_property
     def thumbnails(self) -> DataFrame:
-        return self.videos.filter("id % 7 <> 0").select("id", F.col("id").alias("video_id"), F.concat(F.lit("/thumbnails/"), F.col("id"), F.lit(".jpg")).alias("file_path"))
+        return self.rows("videos").filter("id % 7 <> 0").select("id", F.col("id").alias("video_id"), F.concat(F.lit("/thumbnails/"), F.col("id"), F.lit(".jpg")).alias("file_path"))
 
     @cached_property
     def storyboards(self) -> DataFrame:
-        return self.videos.filter("id % 3 = 0").select("id", F.col("id").alias("video_id"))
+        return self.rows("videos").filter("id % 3 = 0").select("id", F.col("id").alias("video_id"))
 
     @cached_property
     def jobs(self) -> DataFrame:
