@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cinelake.operators import hierarchy
+from cinelake.plans.scratch import checkpoint
 from cinelake.sources.library import Library
 
 SEPARATOR = " > "
@@ -67,34 +69,68 @@ def position_gaps(items: DataFrame) -> DataFrame:
     return items.withColumn("before", F.lag("position").over(w)).filter("position - before > 1").select("playlist_id", "video_id", "position", "before")
 
 
-def descendants(tags: DataFrame, root: int) -> DataFrame:
-    """(id, name, depth, path) of a tag and all below it, by a recursive query; a loop ends when it closes."""
-    tags.createOrReplaceTempView("_tags")
-    return tags.sparkSession.sql(
-        f"""WITH RECURSIVE d(id, name, depth, path, seen) AS (
-            SELECT id, name, 0, name, array(id) FROM _tags WHERE id = {int(root)}
-            UNION ALL SELECT t.id, t.name, d.depth + 1, d.path || '{SEPARATOR}' || t.name, array_append(d.seen, t.id) FROM _tags t JOIN d ON t.parent_id = d.id WHERE NOT array_contains(d.seen, t.id))
-        SELECT id, name, depth, path FROM d"""
-    )
+def _from(tags: DataFrame, tag: int | DataFrame) -> DataFrame:
+    """``tags`` with start: whether a row is the tag asked for, by its id or by a one-row frame with a column id."""
+    if isinstance(tag, DataFrame):
+        return tags.join(F.broadcast(tag.select("id", F.lit(True).alias("start"))), "id", "left").withColumn("start", F.coalesce("start", F.lit(False)))  # one row
+    return tags.withColumn("start", F.col("id") == int(tag))
 
 
-def ancestors(tags: DataFrame, tag: int) -> DataFrame:
-    """(id, name, steps) of the tags above one, itself at 0."""
-    tags.createOrReplaceTempView("_tags")
-    return tags.sparkSession.sql(
-        f"""WITH RECURSIVE a(id, parent_id, name, steps, seen) AS (
-            SELECT id, parent_id, name, 0, array(id) FROM _tags WHERE id = {int(tag)}
-            UNION ALL SELECT t.id, t.parent_id, t.name, a.steps + 1, array_append(a.seen, t.id) FROM _tags t JOIN a ON t.id = a.parent_id WHERE NOT array_contains(a.seen, t.id))
-        SELECT id, name, steps FROM a"""
-    )
+def descendants(tags: DataFrame, tag: int | DataFrame, paths: bool = True) -> DataFrame:
+    """(id, name, depth, path) of a tag and all below it, however deep; a loop ends when it closes.
 
+    The tag is made a root, so a loop it lies on is cut above it. ``paths`` False leaves the paths null. An unknown tag
+    has no rows.
+    """
+    marked = checkpoint(_from(tags.select("id", "parent_id", "name"), tag))
+    above = F.when(~F.col("start"), F.col("parent_id")).alias("parent_id")
+    flat = hierarchy.depths(marked.select("id", above, "name"), paths)
+    below = flat.join(F.broadcast(marked.filter("start").select(F.col("id").alias("root_id"))), "root_id")  # one row
+    below = below.select("id", F.col("depth").cast("int").alias("depth"), _path() if paths else F.lit(None).cast("string").alias("path"))
+    return below.join(tags.select("id", "name"), "id").select("id", "name", "depth", "path")
+
+
+def _path() -> Column:
+    return F.array_join("path", SEPARATOR, "").alias("path")
+
+
+def ancestors(tags: DataFrame, tag: int | DataFrame) -> DataFrame:
+    """(id, name, steps) of the tags above one, itself at 0, in a number of rounds logarithmic in their number; a loop ends when it closes.
 
-def valid_parents(tags: DataFrame, tag: int) -> DataFrame:
+    After k rounds all tags less than 2**k steps above are known and every tag has its ancestor 2**k above.
+    """
+    rows = checkpoint(_from(tags.select("id", "parent_id", "name"), tag))
+    found = checkpoint(rows.filter("start").select("id", F.lit(0).alias("steps")))
+    far, known, hop = rows.filter("parent_id is not null").select("id", F.col("parent_id").alias("up")), 0, 1
+    while (many := found.count()) > known:
+        known = many
+        more = found.join(far, "id").select(F.col("up").alias("id"), (F.col("steps") + hop).alias("steps"))
+        found = checkpoint(found.unionByName(more).groupBy("id").agg(F.min("steps").alias("steps")))
+        far = checkpoint(far.join(far.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")))
+        hop *= 2
+    return found.join(rows.select("id", "name"), "id").select("id", "name", "steps")
+
+
+def valid_parents(tags: DataFrame, tag: int | DataFrame) -> DataFrame:
     """Tags that may become the parent of ``tag``: all but itself and those below it."""
-    return tags.join(descendants(tags, tag).select("id"), "id", "left_anti").select("id")
+    return tags.join(descendants(tags, tag, paths=False).select("id"), "id", "left_anti").select("id")
 
 
-def delete_subtree(tags: DataFrame, links: DataFrame, tag: int) -> tuple[DataFrame, DataFrame]:
+def delete_subtree(tags: DataFrame, links: DataFrame, tag: int | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tags and their links without ``tag`` and everything below it."""
-    gone = descendants(tags, tag).select("id")
+    gone = descendants(tags, tag, paths=False).select("id")
     return tags.join(gone, "id", "left_anti"), links.join(gone.withColumnRenamed("id", "tag_id"), "tag_id", "left_anti")
+
+
+def tree_page(tags: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
+    """(root_id, id, name, depth, path, children): one page of root tags by name and id, each with its whole tree.
+
+    A tree comes as rows in reading order of ``path`` and with the number of children, from which nesting follows at any
+    depth. Tags in loops have no root and are on no page.
+    """
+    if not 1 <= size <= 100 or number < 1:
+        raise ValueError("pages have 1 to 100 rows and count from 1")
+    roots = tags.filter("parent_id is null").orderBy("name", "id").offset((number - 1) * size).limit(size).select(F.col("id").alias("root_id"))
+    flat = hierarchy.depths(tags.select("id", "parent_id", "name")).select("root_id", "id", "depth", _path())
+    shown = flat.join(F.broadcast(roots), "root_id").join(tags.select("id", "name"), "id")  # a page of at most 100
+    return with_counts(shown.select("root_id", "id", "name", F.col("depth").cast("int").alias("depth"), "path"), (tags.filter("parent_id is not null"), "parent_id", "children"))

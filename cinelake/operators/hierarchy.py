@@ -10,11 +10,13 @@ Nodes whose steps never end are told apart first.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinelake.plans.scratch import checkpoint
+from cinelake.plans.skew import HOT, salted_join
 
 
 @dataclass(frozen=True)
@@ -70,39 +72,81 @@ def _sizes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     After k rounds ``up`` is the ancestor 2**k above, ``size`` the number of nodes less than 2**k below, and ``low``
     the smallest id less than 2**k above. While some node outside loops still has an ancestor so far up, the
-    number of nodes with one falls; when it stops falling, all that are left lead into loops.
+    number of nodes with one falls; when it stops falling, all that are left lead into loops. Nodes without such an
+    ancestor take no part any more; what is still found below them is kept and added in the end.
     """
-    now = checkpoint(nodes.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"), F.col("id").alias("low")))
-    active, hops = now.filter("up is not null").count(), 1
+    one = F.lit(1).cast("long")
+    done = [nodes.filter("parent is null").select("id", one.alias("size"))]
+    now, hops = nodes.filter("parent is not null").select("id", F.col("parent").alias("up"), one.alias("size"), F.col("id").alias("low")), 1
+    active = now.count()
     while active:
-        under = now.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
-        over = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("other"))
-        now = checkpoint(now.join(under, "id", "left").join(over, "up", "left").select("id", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.least("low", "other").alias("low")))
+        under = now.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        over = now.select(F.col("id").alias("up"), F.lit(True).alias("active"), F.col("up").alias("next"), F.col("low").alias("other"))
+        zero = F.lit(0)
+        grown = now.join(under, "id", "full").select(  # a node that had stopped comes in with what was found below it
+            "id", F.coalesce("up", "id").alias("up"), F.col("up").isNotNull().alias("active"), (F.coalesce("size", zero) + F.coalesce("more", zero)).alias("size"), "low"
+        )
+        moved = checkpoint(_follow(grown, active, over, ["up", "active"], "left").select("id", F.col("next").alias("up"), "size", F.least("low", "other").alias("low")))
+        done.append(moved.filter("up is null").select("id", "size"))
+        now = moved.filter("up is not null")
         hops *= 2
-        left = now.filter("up is not null").count()
+        left = now.count()
         if left == active:
             break
         active = left
-    loops = now.filter("up is not null").select("id", "up", "low")
+    loops = now.select("id", "up", "low")
     while hops < active:  # as far as a tail and its loop can be long
         over = loops.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("other"))
-        loops = checkpoint(loops.join(over, "up").select("id", F.col("next").alias("up"), F.least("low", "other").alias("low")))
+        loops = checkpoint(_follow(loops, active, over, ["up"]).select("id", F.col("next").alias("up"), F.least("low", "other").alias("low")))
         hops *= 2
     ring = loops.select(F.col("id").alias("up"), F.col("low").alias("root"))
-    return now.filter("up is null").select("id", "size"), loops.join(ring, "up").select("id", "root")
+    sizes = reduce(DataFrame.unionByName, done).groupBy("id").agg(F.sum("size").alias("size"))
+    return sizes.join(loops.select("id"), "id", "left_anti"), _follow(loops, active, ring, ["up"]).select("id", "root")
+
+
+def _follow(rows: DataFrame, many: int, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows``, ``many`` of them, joined with what ``table`` has for ``on``, where very many may have one value."""
+    if many < HOT:
+        return rows.join(table, on, how)
+    return salted_join(rows, table, on, rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")), F.col("id"), how)
 
 
 def _jump(links: DataFrame, to: str, adds: list[tuple[str, Column]]) -> DataFrame:
-    """Follows ``to`` until it no longer moves (an id that points to itself), summing or concatenating ``adds`` on the way."""
-    now = checkpoint(links)
-    names = [a for a, _ in adds]
-    while True:
-        far = now.select(F.col("id").alias(to), F.col(to).alias("_to"), *(F.col(a).alias(f"_{a}") for a in names))
-        moved = now.join(far, to).select("id", F.col("_to").alias(to), *(c.alias(a) for a, c in adds), *(c for c in now.columns if c not in ("id", to, *names)), (F.col("_to") != F.col(to)).alias("_moved"))
-        moved = checkpoint(moved)
-        now = moved.drop("_moved")
-        if moved.filter("_moved").isEmpty():
-            return now
+    """Follows ``to`` until it no longer moves (an id that points to itself), summing or concatenating ``adds`` on the way.
+
+    Rows that point to such an id are done and take no further part, so the ids that most rows end at are joined on once.
+    While any row can still get there the number of the others falls; rows that never do (on loops) are left out.
+    """
+    names, where = [a for a, _ in adds], F.col("id") == F.col(to)
+    whole = checkpoint(links)
+    ends, rest = whole.filter(where), whole.filter(~where)
+    done, before = [ends], rest.count()
+    at_end = ends.select(F.col("id").alias(to), F.lit(True).alias("_end"), *(F.col(a).alias(f"_{a}") for a in names))
+    now = _follow(rest, before, at_end, [to], "left").withColumns({a: F.when(F.col("_end"), c).otherwise(F.col(a)) for a, c in adds}).drop(*(f"_{a}" for a in names))
+    while before:
+        now = checkpoint(now)
+        done.append(now.filter("_end").drop("_end"))
+        now = now.filter("_end is null").drop("_end")
+        many = now.count()
+        if not many or many == before:
+            break
+        known = now.select("id", to, *names, F.lit(None).cast("boolean").alias("_end"))
+        known = reduce(DataFrame.unionByName, (d.select("id", to, *names, F.lit(True).alias("_end")) for d in done[1:]), known)
+        far = known.select(F.col("id").alias(to), F.col(to).alias("_to"), "_end", *(F.col(a).alias(f"_{a}") for a in names))
+        now = _follow(now, many, far, [to]).select("id", F.col("_to").alias(to), "_end", *(c.alias(a) for a, c in adds), *(c for c in now.columns if c not in ("id", to, *names)))
+        before = many
+    return reduce(DataFrame.unionByName, done)
+
+
+def depths(rows: DataFrame, paths: bool = True) -> DataFrame:
+    """(id, root_id, depth, path) of ``rows`` (id, parent_id, name), path an array of names from the root down, by pointer doubling alone.
+
+    Every parent_id must be an id or null; nodes that never reach a root do not come out. For trees cut at a node, where
+    chains and subtree sizes are not asked for. ``paths`` False leaves the arrays empty.
+    """
+    name = F.array("name") if paths else F.array().cast("array<string>")
+    links = rows.select("id", F.coalesce("parent_id", "id").alias("root_id"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"), name.alias("path"))
+    return _jump(links, "root_id", [("depth", F.col("depth") + F.col("_depth")), ("path", F.concat("_path", "path"))])
 
 
 def build(df: DataFrame, id: str = "id", parent: str = "parent_id", name: str = "name", updated: str | None = None, paths: bool = True) -> Hierarchy:
@@ -111,11 +155,11 @@ def build(df: DataFrame, id: str = "id", parent: str = "parent_id", name: str =
     Several rows for one id: see ``valid``. A node that is its own parent is a loop. Depth is not limited. ``paths``
     False leaves the name segments out. An empty table gives an empty hierarchy.
     """
-    rows = checkpoint(valid(df, id, parent, name, updated))
+    rows = valid(df, id, parent, name, updated)
     known = rows.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
     rows = checkpoint(rows.join(known, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("parent"), "name"))
     sizes, loops = _sizes(rows)
-    tree = checkpoint(rows.join(sizes, "id"))
+    tree = rows.join(sizes, "id")
     heavy = tree.filter("parent is not null").groupBy("parent").agg(F.max_by("id", F.struct("size", -F.col("id"))).alias("heavy"))
     tree = tree.join(heavy, "parent", "left").withColumn("goes_on", F.coalesce(F.col("heavy") == F.col("id"), F.lit(False)))
     segment = F.array("name") if paths else F.array().cast("array<string>")

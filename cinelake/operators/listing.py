@@ -32,15 +32,18 @@ def presented(lib: Library, videos: DataFrame, user_id: int) -> DataFrame:
     return out.select("id", "file_name", "thumbnail_url", F.coalesce("fav", F.lit(False)).alias("is_favorite"), iso(F.col("created_at")).alias("created_iso"))
 
 
-def neighbour(videos: DataFrame, current: int, sort: str, descending: bool, strict: bool = True) -> DataFrame:
+def neighbour(videos: DataFrame, current: int | DataFrame, sort: str, descending: bool, strict: bool = True) -> DataFrame:
     """The row after ``current`` in listing order, or the first one after the end, with how many remain.
 
     Returns id, has_wrapped, remaining and total; no row if ``current`` is not there or is alone. ``strict`` steps
     through ties by id; without it any other row of an equal value is a candidate. Nulls come as ``order`` has them.
+    ``current`` is an id, or a one-row frame with a column id.
     """
     c = F.col(sort)
     rank = lambda x: F.when(x.isNull(), 0 if descending else 1).otherwise(1 if descending else 0)
-    here = videos.filter(F.col("id") == current).select(c.alias("at"), rank(c).alias("at_rank")).limit(1)
+    here = videos.join(F.broadcast(current), "id", "left_semi") if isinstance(current, DataFrame) else videos.filter(F.col("id") == current)
+    here = here.select(F.col("id").alias("current"), c.alias("at"), rank(c).alias("at_rank")).limit(1)
+    current = F.col("current")
     both = videos.select("id", c.alias("v"), rank(c).alias("r")).crossJoin(F.broadcast(here))  # one row
     equal = (F.col("r") == F.col("at_rank")) & F.col("v").eqNullSafe(F.col("at"))
     past = (F.col("r") > F.col("at_rank")) | ((F.col("r") == F.col("at_rank")) & ((F.col("v") < F.col("at")) if descending else (F.col("v") > F.col("at"))))

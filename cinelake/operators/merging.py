@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +15,20 @@ def insert_ignore(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> Data
     return table.unionByName(fresh.select(table.columns))
 
 
-def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``table`` with the columns of ``new`` set where keys meet, and the other rows of ``new`` added."""
-    values = [c for c in new.columns if c not in keys]
+def _any_null(keys: Sequence[str]) -> Column:
+    return reduce(Column.__or__, (F.col(k).isNull() for k in keys))
+
+
+def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """``table`` with the columns of ``new`` set where keys meet, and the other rows of ``new`` added.
+
+    Of several rows of ``new`` with one key the last holds: the one with the greatest ``order`` columns (which are not
+    written), ties by the greatest values, so the result does not hang on the layout. Null keys never meet and are all added.
+    """
+    values = [c for c in new.columns if c not in keys and c not in order]
+    whole = F.col("_r")
+    last = new.filter(~_any_null(keys)).groupBy(*keys).agg(F.max(F.struct(*order, *values, F.lit(True).alias("_some"))).alias("_r"))
+    new = last.select(*keys, *(whole[c].alias(c) for c in values)).unionByName(new.filter(_any_null(keys)).select(*keys, *values))
     marked = new.select(*keys, *(F.col(c).alias(f"_{c}") for c in values), F.lit(True).alias("_new"))
     both = table.join(marked, list(keys), "full")
     pick = lambda c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) if c in values else F.col(c)

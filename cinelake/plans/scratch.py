@@ -1,7 +1,7 @@
 """Where intermediate tables go: the folder in ``spark.checkpoint.dir``, shared by all executors.
 
-Only where that setting is absent and the master is local is a temporary folder made; a cluster without
-it falls back to the warehouse directory, never to a folder of one machine.
+Only where that setting is absent and the master is local is a temporary folder made; a cluster without it is
+refused, since no other folder is known to be shared.
 """
 
 from __future__ import annotations
@@ -18,19 +18,23 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        if sc.master.startswith("local["):
-            found = "file://" + tempfile.mkdtemp(prefix="cinelake-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="cinelake-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found if "://" in found or found.startswith("file:") else sc.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends, and losing executors loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder as a table and read back: its lineage ends, and losing executors loses nothing.
+
+    Unlike a checkpointed plan the table has its true size, by which the joins that follow are chosen.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

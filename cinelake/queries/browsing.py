@@ -104,8 +104,8 @@ def t2_next(lib):
 SELECT id, true AS has_wrapped, CAST(0 AS BIGINT) AS remaining, (SELECT count(*) FROM l) AS total FROM m WHERE id <> (SELECT id FROM l ORDER BY v, id LIMIT 1)""")
 def t2_wraps(lib):
     rows = filters.apply(lib, VideoFilter(), "file_size_bytes")
-    last = rows.agg(F.min_by("id", F.struct("file_size_bytes", "id")).alias("id")).first()[0]  # the end of the list, one row
-    return listing.neighbour(rows, last if last is not None else -1, "file_size_bytes", True)
+    last = rows.agg(F.min_by("id", F.struct("file_size_bytes", "id")).alias("id"))  # the end of the list, one row
+    return listing.neighbour(rows, last, "file_size_bytes", True)
 
 
 @_query("SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM v_videos WINDOW w AS (PARTITION BY directory_id ORDER BY created_at, id)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cinelake.operators import hierarchy
 from cinelake.operators.merging import retain
 from cinelake.sources.library import Library, sql
 
@@ -73,8 +74,7 @@ def q7_row_counts(lib):
 
 @_query("""WITH RECURSIVE d AS (SELECT id, 0 AS depth FROM v_tags WHERE parent_id IS NULL UNION ALL SELECT t.id, d.depth + 1 FROM v_tags t JOIN d ON t.parent_id = d.id) SELECT max(depth) AS depth FROM d""")
 def q8_tag_depth(lib):
-    lib.tags.createOrReplaceTempView("_tags")
-    return lib.spark.sql("WITH RECURSIVE d(id, depth) AS (SELECT id, 0 FROM _tags WHERE parent_id IS NULL UNION ALL SELECT t.id, d.depth + 1 FROM _tags t JOIN d ON t.parent_id = d.id) SELECT max(depth) AS depth FROM d")
+    return hierarchy.depths(lib.tags, paths=False).agg(F.max("depth").cast("int").alias("depth"))
 
 
 @_query("SELECT id, name FROM v_creators WHERE id NOT IN (SELECT creator_id FROM v_video_creators)")

@@ -130,9 +130,8 @@ def q12_position_gaps(lib):
 _ROOT = "(SELECT min(parent_id) FROM v_tags WHERE parent_id IS NOT NULL)"
 
 
-def _root(lib) -> int:
-    found = lib.tags.filter("parent_id is not null").agg(F.min("parent_id")).first()[0]
-    return -1 if found is None else found
+def _root(lib):
+    return lib.tags.filter("parent_id is not null").agg(F.min("parent_id").alias("id")).filter("id is not null")
 
 
 @_query(f"""WITH RECURSIVE d AS (SELECT id, name, 0 AS depth, name AS path, [id] AS seen FROM v_tags WHERE id = {_ROOT}
@@ -144,9 +143,8 @@ def r2_descendants(lib):
 _LEAF = "(SELECT max(id) FROM v_tags WHERE parent_id IS NOT NULL)"
 
 
-def _leaf(lib) -> int:
-    found = lib.tags.filter("parent_id is not null").agg(F.max("id")).first()[0]
-    return -1 if found is None else found
+def _leaf(lib):
+    return lib.tags.filter("parent_id is not null").agg(F.max("id").alias("id")).filter("id is not null")
 
 
 @_query(f"""WITH RECURSIVE a AS (SELECT id, parent_id, name, 0 AS steps, [id] AS seen FROM v_tags WHERE id = {_LEAF}
@@ -157,7 +155,8 @@ def r1_ancestors(lib):
 
 @_query(f"SELECT id, name FROM v_tags WHERE parent_id = {_ROOT} ORDER BY name, id")
 def r6_children(lib):
-    return lib.tags.filter(F.col("parent_id") == _root(lib)).orderBy("name", "id").select("id", "name")
+    parent = _root(lib).withColumnRenamed("id", "parent_id")
+    return lib.tags.join(F.broadcast(parent), "parent_id", "left_semi").orderBy("name", "id").select("id", "name")  # one row
 
 
 @_query(f"""WITH RECURSIVE d AS (SELECT id FROM v_tags WHERE id = {_ROOT} UNION SELECT t.id FROM v_tags t JOIN d ON t.parent_id = d.id) SELECT id FROM v_tags WHERE id NOT IN (SELECT id FROM d)""")
@@ -176,6 +175,13 @@ def r8_distinct_directories(lib):
     return lib.rows("videos", "directory_id").select("directory_id").distinct()
 
 
+@_query("""WITH RECURSIVE p AS (SELECT id, name FROM v_tags WHERE parent_id IS NULL ORDER BY name, id LIMIT 20 OFFSET 20),
+d AS (SELECT id AS root_id, id, name, 0 AS depth, name AS path FROM p UNION ALL SELECT d.root_id, t.id, t.name, d.depth + 1, d.path || ' > ' || t.name FROM v_tags t JOIN d ON t.parent_id = d.id)
+SELECT root_id, id, name, depth, path, (SELECT count(*) FROM v_tags c WHERE c.parent_id = d.id) AS children FROM d""")
+def r4_tree(lib):
+    return E.tree_page(lib.tags, 2, 20)
+
+
 @_query("SELECT t.id, t.name, count(c.id) AS children FROM v_tags t LEFT JOIN v_tags c ON c.parent_id = t.id GROUP BY 1, 2")
 def r4_children_counts(lib):
     return E.with_counts(lib.tags.select("id", "name"), (lib.tags.filter("parent_id is not null"), "parent_id", "children"))

@@ -63,6 +63,25 @@ def test_upsert_and_insert_ignore(spark):
     assert M.insert_ignore(old.drop("w"), new, ["id"]).count() == 3
 
 
+def test_upsert_of_repeated_keys_takes_the_last(spark):
+    old = spark.createDataFrame([(1, "a")], "id int, v string")
+    new = spark.createDataFrame([(1, "b", 2), (1, "c", 1), (2, "x", 1), (2, "y", 2), (3, None, 1), (None, "n", 1)], "id int, v string, at int")
+    assert sorted(map(tuple, M.upsert(old, new, ["id"], ["at"]).collect()), key=str) == [(1, "b"), (2, "y"), (3, None), (None, "n")]
+    assert sorted(map(tuple, M.upsert(old, new.drop("at").filter("id is not null"), ["id"]).collect()), key=str) == [(1, "c"), (2, "y"), (3, None)]
+
+
+def test_only_the_columns_summed_are_read(spark):
+    import re
+
+    from cinelake import catalog
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = catalog.QUERIES["a1_library_totals"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"ReadSchema: struct<(.*?)>", plan)) == {"id:bigint,file_size_bytes:bigint,duration_seconds:double,is_available:boolean"}
+    plan = catalog.QUERIES["f4_dimensions"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(width,1280)" in plan and "file_path" not in plan
+
+
 def test_reconcile(spark):
     listed = spark.createDataFrame([("a", 1), ("b", 2), ("n", 1)], "file_path string, file_size_bytes long")
     known = spark.createDataFrame([("a", 1), ("b", 3), ("m", 1)], "file_path string, file_size_bytes long")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from cinelake.operators import hierarchy, integrity
+from cinelake.operators import entities, hierarchy, integrity
 
 
 def tree(spark, rows, **options):
@@ -90,3 +90,32 @@ def test_a_hot_key_is_grouped_once(spark):
     parents = spark.range(10_000).selectExpr("id")
     got = integrity.orphans([integrity.Reference("c", rows, "id", "ref", "p", parents)])
     assert got.count() == len([i for i in range(10_000, 20_000) if i % 3])
+
+
+def test_deep_tag_trees(spark):
+    n = 300  # far beyond what a recursive query may take
+    rows = [(i, i - 1 if i > 1 else None, f"t{i}") for i in range(1, n + 1)] + [(2001, 2003, "a"), (2002, 2001, "b"), (2003, 2002, "c"), (2004, 2001, "d")]
+    tags = spark.createDataFrame(rows, "id long, parent_id long, name string").coalesce(1)
+    assert {(r.id, r.steps) for r in entities.ancestors(tags, n).collect()} == {(i, n - i) for i in range(1, n + 1)}
+    got = {r.id: r for r in entities.descendants(tags, 3).collect()}
+    assert set(got) == set(range(3, n + 1)) and got[n].depth == n - 3 and got[n].path.startswith("t3 > t4 > ") and got[n].path.count(" > ") == n - 3
+    assert {(r.id, r.depth) for r in entities.descendants(tags, 2002).collect()} == {(2002, 0), (2003, 1), (2001, 2), (2004, 3)}
+    assert {r.id for r in entities.valid_parents(tags, 2).collect()} == {1, 2001, 2002, 2003, 2004}
+    links = spark.createDataFrame([(1, 1), (1, 500), (2, 2001)], "video_id long, tag_id long")
+    left, kept = entities.delete_subtree(tags, links, 2)
+    assert left.count() == 5 and sorted(r.tag_id for r in kept.collect()) == [1, 2001]
+    assert hierarchy.depths(tags, paths=False).agg({"depth": "max"}).first()[0] == n - 1
+    assert entities.descendants(tags, 99_999).count() == 0 and entities.ancestors(tags, 99_999).count() == 0
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    from cinelake.plans import skew
+
+    monkeypatch.setattr(skew, "HOT", 100)
+    monkeypatch.setattr(hierarchy, "HOT", 100)
+    parents = {1: None, 2: 1, 3: 2} | {i: 3 if i % 3 else i - 1 for i in range(4, 904)}
+    h = tree(spark, [(i, p, "t", 1, None, None) for i, p in parents.items()], paths=False)
+    assert {i: v[:2] for i, v in flat(h).items()} == brute(parents)
+    rows = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 7 else id end as ref")
+    got = integrity.orphans([integrity.Reference("c", rows, "id", "ref", "p", spark.range(10, 100))])
+    assert got.count() == 3000 - len([i for i in range(10, 100) if i % 3])
