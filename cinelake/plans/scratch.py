@@ -44,6 +44,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of the shared folder, through the file system that Spark itself uses for it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    stream.write(bytearray(data))
+    stream.close()
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from cinelake.plans.scratch import shared_dir
+from cinelake.plans.scratch import shared_dir, write_bytes
 
 _SHIPPED: dict[str, str] = {}
 
@@ -30,10 +30,6 @@ def ship(spark: SparkSession) -> None:
         return
     data = _archive()
     path = f"{shared_dir(spark).rstrip('/')}/cinelake-{hashlib.sha256(data).hexdigest()[:16]}-{sc.applicationId}.zip"
-    jvm = sc._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
-    stream.write(bytearray(data))
-    stream.close()
+    write_bytes(spark, path, data)
     sc.addPyFile(path)
     _SHIPPED[sc.applicationId] = path
