@@ -17,8 +17,6 @@ from cinelake.plans.layout import spread
 VOCABULARY = os.environ.get("CINELAKE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: how that vocabulary's tokenizer splits a text before merging.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of a text that are merged at once; a run of letters as long as this is cut, so that no text takes quadratic time.
-PIECE = 50_000
 
 
 @lru_cache(maxsize=2)
@@ -33,17 +31,7 @@ def _tokenizer(path: str):
 def _count(tokenizer, text: str | None) -> int:
     if not text:
         return 0
-    text = text.encode("utf-8", "replace").decode("utf-8")
-    if len(text) <= PIECE:
-        return len(tokenizer.encode_ordinary(text))
-    total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + PIECE)
-        if end < len(text) and (blank := text.rfind(" ", at + 1, end)) > at:
-            end = blank
-        total += len(tokenizer.encode_ordinary(text[at:end]))
-        at = end
-    return total
+    return len(tokenizer.encode_ordinary(text.encode("utf-8", "replace").decode("utf-8")))
 
 
 def tokens(df: DataFrame, id: str, text: str, keep: list[Column], vocabulary: str = VOCABULARY) -> DataFrame:

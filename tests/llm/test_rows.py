@@ -141,6 +141,12 @@ def test_token_counts(spark, documents):
     assert n[4] == 6 and n[9001] == n[9002] == 0 and n[9003] > 10_000 and n[9004] > 2
 
 
+@pytest.mark.parametrize("text", ["y" * 200_000, "a line of words\n" * 12_000, " " * 60_000 + "x", "αβγ, δ! " * 20_000])
+def test_long_texts_are_counted_whole(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert mixing.tokens(df, "doc_id", "text", []).first().tokens == len(mixing._tokenizer(mixing.VOCABULARY).encode_ordinary(text))
+
+
 def test_mixing_nothing(spark, documents):
     chosen, got = mix(spark, documents.limit(0), [("alpha", 1.0, 2)])
     assert chosen.count() == 0 and got["alpha"].actual_share == 0.0

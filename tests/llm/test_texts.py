@@ -46,7 +46,7 @@ def test_no_items_or_documents(spark):
 def test_items_in_passes(spark, monkeypatch):
     texts = [FILL + BODY1 + FILL, ITEMS[1][1], ITEMS[2][1] + FILL + BODY1]
     want = found(spark, texts)
-    monkeypatch.setattr(leaks, "MOST_ITEMS", 1)
+    monkeypatch.setattr(leaks, "PART_ITEMS", 1)
     assert found(spark, texts) == want == {(0, 1), (1, 2), (2, 1), (2, 3)}
 
 
@@ -127,3 +127,25 @@ def test_longer_passage_with_edits_in_its_middle(spark):
     for k in (6, 8, 11):  # every 12 of the 18 words hold all three edits
         w[k] = "cat"
     assert found(spark, [FILL + " ".join(w) + " " + FILL]) == {(0, 1)}
+
+
+SHORT = [
+    (11, "Borrowed lanterns drift past harbours"), (12, "A quiet glacier hums under seven wooden bridges"), (13, "Nine violet kettles whistle above the frozen orchard while old sailors trade maps"),
+    (14, "Opening words for all. Copper spoons fall."), (15, "Opening words for all. Marble hounds sleep."), (16, "Opening words for all. Paper storms rise."), (17, "Solitary"),
+]
+
+
+@pytest.mark.parametrize("part", [20_000, 1])
+def test_short_items_edits_and_opening_lines(spark, monkeypatch, part):
+    monkeypatch.setattr(leaks, "PART_ITEMS", part)
+    texts = [
+        FILL + SHORT[0][1] + ". " + FILL,  # a whole item of five words
+        FILL + "a quiet glacier hums over seven wooden bridges " + FILL,  # eight words, one replaced
+        FILL + "nine violetkettles whistle above the frozenorchard while old sailors trade " + FILL,  # twelve words, joined twice
+        FILL + "Opening words for all. " + FILL,  # an opening line alone
+        FILL + "borrowed lanterns drifted past harbours " + FILL,  # one edit in five words is too many
+        "a solitary walk", FILL + "copper spoons fall " + FILL, FILL + "a quiet glacier sings over seven wooden bridges " + FILL,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(SHORT, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(docs, items).collect()} == {(0, 11), (1, 12), (2, 13), (5, 17), (6, 14)}
