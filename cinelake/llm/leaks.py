@@ -62,18 +62,22 @@ class FMIndex:
     def __init__(self, text: np.ndarray, symbols: int):
         text = np.append(text, 0).astype(np.int64)
         n = len(text)
-        rank, step = text.copy(), 1
-        while True:  # order by the first 2, 4, 8, ... symbols, until all suffixes differ
+        bits = max(1, int(symbols).bit_length())
+        step, key = 1, text + 1
+        while step < min(n, 62 // bits):  # as many first symbols as fit in a key
             after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
-            key = rank * (int(after.max()) + 2) + after
-            order = np.argsort(key, kind="stable")
-            fresh = np.concatenate([[0], key[order][1:] != key[order][:-1]])
+            after[: n - step] = text[step:] + 1
+            key, step = key << bits | after, step + 1
+        while True:  # then by twice, four times, ... as many, until all suffixes differ
+            order = np.argsort(key)
+            sorted_ = key[order]
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(fresh)
-            step *= 2
+            rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
             if rank[order[-1]] == n - 1 or step >= n:
                 break
+            after = np.zeros(n, np.int64)
+            after[: n - step] = rank[step:] + 1
+            key, step = rank * (n + 2) + after, step * 2
         self.n, self.first = n, np.searchsorted(text[order], np.arange(symbols + 1))
         bwt = text[order - 1]
         self.marked = (order % SAMPLE == 0) | (bwt == 0)  # no walk crosses a separator
@@ -220,26 +224,30 @@ class Aligner:
 
     def _round(self, wanted: list[tuple[int, np.ndarray, np.ndarray]], n: int, m: int) -> list[tuple[int, int, int, int]]:
         size = len(wanted)
-        item, pair = np.full((size, n), -3), np.full((size, n), -3)
-        text, joined = np.full((size, m), -4), np.full((size, m), -4)
+        item, pair = np.full((size, n), -3, np.int32), np.full((size, n), -3, np.int32)
+        text, joined = np.full((size, m), -4, np.int32), np.full((size, m), -4, np.int32)
         for b, (k, t, j) in enumerate(wanted):
             w, p = self.items[k]
             item[b, : len(w)], pair[b, : len(w)], text[b, : len(t)], joined[b, : len(t)] = w, p, t, j
         pair[:, 0] = -3  # the first word has none before it
         joined[:, 0] = -4
-        score = np.zeros((n + 1, size, m + 1), np.int32)
-        steps = np.arange(m + 1, dtype=np.int32)
-        top, end = np.zeros(size, np.int32), np.zeros((2, size), np.int64)
+        kind = np.int16 if 2 * n + m < 32_000 else np.int32
+        score = np.zeros((n + 1, size, m + 1), kind)
+        steps, two, one = np.arange(m + 1, dtype=kind), kind(2), kind(-1)
+        top, end = np.zeros(size, kind), np.zeros((2, size), np.int64)
         for i in range(1, n + 1):
-            over, row = score[i - 1], np.zeros((size, m + 1), np.int32)
-            best = np.maximum(over[:, :-1] + np.where(item[:, i - 1, None] == text, 2, -1), over[:, 1:] - 1)
-            broken = item[:, i - 1, None] == joined[:, 1:]
-            np.maximum(best[:, 1:], np.where(broken, over[:, :-2], 0), out=best[:, 1:])
+            over, row = score[i - 1], score[i]
+            best = row[:, 1:]
+            np.maximum(over[:, :-1] + np.where(item[:, i - 1, None] == text, two, one), over[:, 1:] - kind(1), out=best)
+            b, y = np.nonzero(item[:, i - 1, None] == joined[:, 1:])
+            best[b, y + 1] = np.maximum(best[b, y + 1], over[b, y])
             if i > 1:
-                np.maximum(best, np.where(pair[:, i - 1, None] == text, score[i - 2][:, :-1], 0), out=best)
-            row[:, 1:] = np.maximum(best, 0)
-            row = np.maximum.accumulate(row + steps, axis=1) - steps  # a word added takes 1 from what is to the left
-            score[i] = row
+                b, y = np.nonzero(pair[:, i - 1, None] == text)
+                best[b, y] = np.maximum(best[b, y], score[i - 2][b, y])
+            np.maximum(best, 0, out=best)
+            row += steps
+            np.maximum.accumulate(row, axis=1, out=row)  # a word added takes 1 from what is to the left
+            row -= steps
             at = row.argmax(axis=1)
             high = row[np.arange(size), at]
             more = high > top

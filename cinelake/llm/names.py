@@ -10,7 +10,8 @@ Names that give a part only by its initial are joined last, and only where a sin
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,20 +21,34 @@ from cinelake.llm.components import components
 from cinelake.llm.folding import fold
 from cinelake.plans.scratch import checkpoint
 
-#: Pet names and the names they stand for.
+#: Everyday short and pet forms of given names, from English usage with some German, French, Spanish and Portuguese ones.
 PET_NAMES = {
-    "abigail": "abby abbie gail", "alexander": "alex alec sandy xander lex", "andrew": "andy drew", "anthony": "tony ant", "arabella": "bella ara", "beatrice": "bea trixie", "benjamin": "ben benny benji",
-    "charlotte": "lottie charlie lotte char", "christopher": "chris kit topher", "cordelia": "delia cora", "daniel": "dan danny", "dorothea": "dora dot dottie thea", "edward": "ed eddie ted ned", "eleanor": "ellie nell nora ella",
-    "elizabeth": "liz lizzie beth betty eliza lisa libby", "francesca": "fran frankie chess", "frederick": "fred freddie freddy", "gabriel": "gabe", "gregory": "greg", "henrietta": "hattie etta henny", "isabella": "izzy isa bella", "jennifer": "jen jenny jenn",
-    "jonathan": "jon jonny john johnny", "joseph": "joe joey", "josephine": "jo josie", "katherine": "kat kate kathy katie kitty kathie", "leonard": "leo len lenny", "margaret": "maggie meg peggy marge", "matthew": "matt matty", "maximilian": "max",
-    "michael": "mike mick mickey mikey", "nathaniel": "nate nat nathan", "nicholas": "nick nicky", "patricia": "pat patty trish tricia", "penelope": "penny", "philippa": "pip pippa", "rafael": "rafa raf", "raymond": "ray",
-    "rebecca": "becky becca", "robert": "bob rob bobby robbie bert", "samuel": "sam sammy", "sebastian": "seb bastian", "susanna": "sue susie suzy", "theodore": "theo ted teddy", "thomas": "tom tommy", "timothy": "tim timmy",
-    "valentina": "val tina", "victoria": "vicky vicki tori", "vincent": "vince vinny", "william": "will bill billy willy liam", "zachary": "zach zack zac",
+    "abigail": "abby abbie gail", "adelaide": "addie heidi", "agnes": "aggie nessie", "albert": "al bert albie bertie", "alejandro": "alex ale jandro", "alexander": "alex alec sandy xander lex sasha sascha", "alexandra": "alex lexi sandra sandy sasha",
+    "alfred": "alf alfie fred", "alison": "ali allie", "amanda": "mandy manda", "amelia": "amy millie mia", "andrew": "andy drew", "angela": "angie", "ann": "annie nan nancy", "anthony": "tony ant", "antonio": "toni tonio", "arabella": "bella ara",
+    "archibald": "archie", "arthur": "art artie", "augustus": "gus augie", "barbara": "barb barbie babs bobbie", "bartholomew": "bart", "beatrice": "bea trixie", "benedict": "ben", "benjamin": "ben benny benji", "bernard": "bernie", "bridget": "biddy bridie",
+    "calvin": "cal", "carolina": "caro lina", "caroline": "carrie caro lina", "catalina": "cata lina", "catherine": "cathy cat kate katie cate", "cecilia": "cissy celia", "charles": "charlie chuck chas chaz", "charlotte": "lottie charlie lotte char", "christina": "chris tina chrissy",
+    "christine": "chris chrissy tina", "christopher": "chris kit topher", "clarence": "clare", "clement": "clem", "constance": "connie", "cordelia": "delia cora", "cornelius": "con neil", "cynthia": "cindy", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie",
+    "dominic": "dom nick", "donald": "don donnie", "dorothea": "dora dot dottie thea", "dorothy": "dot dottie dolly", "douglas": "doug", "eduardo": "edu lalo", "edward": "ed eddie ted ned teddy", "edwin": "ed eddie", "eleanor": "ellie nell nora ella", "elizabeth": "liz lizzie beth betty eliza lisa libby bess bessie elsie lise",
+    "emily": "em emmy millie", "emmanuel": "manny", "ernest": "ernie", "esther": "essie hettie", "ethel": "effie", "eugene": "gene", "evelyn": "evie", "ferdinand": "ferdie", "florence": "flo flossie", "frances": "fran fanny frankie", "francesca": "fran frankie chess", "francis": "frank fran",
+    "francisco": "paco pancho fran", "franklin": "frank", "frederick": "fred freddie freddy fritz", "gabriel": "gabe gabi", "genevieve": "gen jenny", "geoffrey": "geoff jeff", "george": "georgie", "gerald": "gerry jerry", "gertrude": "gert trudy", "gilbert": "gil bert", "gregory": "greg", "guillermo": "memo",
+    "harold": "harry hal", "harriet": "hattie", "helen": "nell nellie", "henrietta": "hattie etta henny", "henry": "harry hank hal", "herbert": "herb bert", "hubert": "hugh bert", "ignacio": "nacho", "isabella": "izzy isa bella", "jacob": "jake", "jacqueline": "jackie", "james": "jim jimmy jamie jem",
+    "janet": "jan", "jennifer": "jen jenny jenn", "jeremiah": "jerry jem", "jessica": "jess jessie", "joaquim": "quim", "johannes": "hannes hans", "john": "johnny jack", "jonathan": "jon jonny john johnny", "jose": "pepe", "joseph": "joe joey", "josephine": "jo josie", "joshua": "josh", "judith": "judy",
+    "katherine": "kat kate kathy katie kitty kathie", "kathleen": "kathy kath", "kenneth": "ken kenny", "laura": "laurie", "lawrence": "larry lawrie", "leonard": "leo len lenny", "leopold": "leo poldi", "lillian": "lily lil", "louis": "lou louie", "louise": "lou", "lucille": "lucy", "lucinda": "lucy cindy",
+    "madeleine": "maddie", "magdalena": "lena magda", "margaret": "maggie meg peggy marge rita greta", "maria": "mia mitzi", "martha": "marty", "martin": "marty", "mary": "molly polly", "matilda": "tilly mattie", "matthew": "matt matty", "maximilian": "max", "melissa": "mel missy", "michael": "mike mick mickey mikey", "mildred": "millie",
+    "nathaniel": "nate nat nathan", "nicholas": "nick nicky", "nicole": "nicky", "norman": "norm", "oliver": "ollie", "olivia": "liv livvy", "oscar": "ossie", "oswald": "ozzie", "pamela": "pam", "patricia": "pat patty trish tricia", "patrick": "pat paddy", "penelope": "penny", "peter": "pete", "philip": "phil pip",
+    "philippa": "pip pippa", "prudence": "pru", "rachel": "rae", "rafael": "rafa raf", "randolph": "randy", "raymond": "ray", "rebecca": "becky becca", "reginald": "reg reggie", "richard": "rick dick rich richie ricky", "robert": "bob rob bobby robbie bert", "roberto": "beto", "roderick": "rod", "roger": "rodge", "ronald": "ron ronnie",
+    "rosalind": "roz", "rosemary": "rosie", "rudolph": "rudy rudi", "russell": "russ", "samuel": "sam sammy", "samantha": "sam", "sarah": "sally sadie", "sebastian": "seb bastian basti", "sigmund": "siggi", "silvester": "sly", "simon": "si", "solomon": "sol", "stanley": "stan", "stephanie": "steph", "stephen": "steve stevie",
+    "susan": "sue susie suzy", "susanna": "sue susie suzy", "terence": "terry", "teresa": "terry tess tessa", "theodore": "theo ted teddy", "theresa": "tess terry", "thomas": "tom tommy", "timothy": "tim timmy", "tobias": "toby", "ulrich": "uli", "valentina": "val tina", "valerie": "val", "veronica": "ronnie vera", "victor": "vic",
+    "victoria": "vicky vicki tori", "vincent": "vince vinny", "virginia": "ginny", "vivian": "viv", "walter": "walt wally", "wilfred": "wilf", "wilhelm": "willi", "wilhelmina": "mina minnie", "william": "will bill billy willy liam", "winifred": "winnie", "zachary": "zach zack zac",
 }
 FULL = {}
 for _full, _pets in PET_NAMES.items():
     for _pet in _pets.split():
         FULL.setdefault(_pet, set()).add(_full)
+for _full in PET_NAMES:  # a full name that is also another one's short form stays possible as itself
+    if _full in FULL:
+        FULL[_full].add(_full)
+GIVEN = frozenset(PET_NAMES) | frozenset(FULL)
 
 #: Remarks people add, legal forms, and words of the trade with their shortened forms.
 REMARKS = set("official channel clips clip archive archives tv videos vids page fanpage hd uploads backup copy new old".split())
@@ -44,9 +59,12 @@ TRADE = {
 }
 TRADE_WORDS = set(TRADE) | {s for x in TRADE.values() for s in x.split()}
 
-#: A word that goes with this many different longest other words, as a part of the names and at least, is a common
-#: part (a first name, a second word of organisations); a surname goes with few, however often it occurs.
-COMMON_SHARE, COMMON_LEAST = 1 / 1000, 5
+#: A common part (a first name, a second word of organisations) goes with at least so many different longest other words, and
+#: with so many times more of them than these go with on average; a surname goes with fewer than its first names, however
+#: often it occurs. Both numbers hold at every size of the table.
+COMMON_LEAST, COMMON_TIMES = 4, 2.0
+#: Least rarity ln(names / names with the form) of a form that links: in full, and with a letter missing.
+RARE, RARE_SLIP = 1.0, 2.0
 SHORTEST = 6
 
 _BRACKETS = re.compile(r"[\(\[\{<][^\)\]\}>]*[\)\]\}>]")
@@ -149,85 +167,108 @@ def _trade(word: str) -> bool:
 READERS = {"person": person, "organisation": organisation}
 
 
-def _common(rows: DataFrame, kind: str) -> Common:
-    """The common parts; at most words per name / COMMON_SHARE of them."""
+def _common(rows: DataFrame, readers: list[str]) -> list[Common]:
+    """The common parts by kind: words that go with many others which go with few; among people the known given names as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kinds: list[int] = []
             words: list[str] = []
             others: list[str] = []
-            for name in batch.column(0).to_pylist():
+            for kind, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 front, back = parts(name)
-                here = [w for w in front + back if len(w) > 1 and (kind == "person" or w not in LEGAL and not _trade(w))]
+                here = [w for w in front + back if len(w) > 1 and (readers[kind] == "person" or w not in LEGAL and not _trade(w))]
                 for k, w in enumerate(here):
                     if rest := here[:k] + here[k + 1 :]:
-                        words.append(w), others.append(max(rest, key=len))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(others, pa.string())], ["word", "other"])
+                        kinds.append(kind), words.append(w), others.append(max(rest, key=len))
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(words, pa.string()), pa.array(others, pa.string())], ["kind", "word", "other"])
 
-    least = max(COMMON_LEAST, int(rows.count() * COMMON_SHARE))
-    found = rows.select("name").mapInArrow(run, "word string, other string").distinct().groupBy("word").count().filter(F.col("count") >= least)
-    return Common([r[0] for r in found.select("word").toLocalIterator()])
+    pairs_ = checkpoint(rows.select("kind", "name").mapInArrow(run, "kind int, word string, other string").distinct())
+    width = pairs_.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n"))
+    wide = pairs_.join(width.select("kind", F.col("word").alias("other"), F.col("n").alias("m")), ["kind", "other"], "left").groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("m", F.lit(1))).alias("mean"))
+    found = wide.filter((F.col("n") >= COMMON_LEAST) & (F.col("n") > COMMON_TIMES * F.col("mean"))).select("kind", "word")
+    words_: list[set[str]] = [set(GIVEN) if r == "person" else set() for r in readers]
+    for r in found.toLocalIterator():
+        words_[r.kind].add(r.word)
+    return [Common(sorted(w)) for w in words_]
 
 
-def forms(rows: DataFrame, kind: str, common: Common) -> DataFrame:
-    """(id, form, initial): all canonical forms of each name; ``initial``: the common part is known by its initial only.
+def forms(rows: DataFrame, readers: list[str], common: list[Common]) -> DataFrame:
+    """(id, form, initial, slip): all canonical forms of each name; ``initial``: the common part is known by its initial only; ``slip``: a letter is missing.
 
-    Names in full also give forms with their initial, marked null, for initials to be joined with.
+    Names in full also give forms with their initial, marked null, for initials to be joined with. Forms begin with the kind.
     """
-    read = READERS[kind]
     sent = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out, initial = [], [], []
-            for i, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = set()
-                for part, main in read(name, sent.value):
+            ids, out, initial, slip = [], [], [], []
+            for i, kind, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                seen: dict[tuple[str, bool | None], bool] = {}
+                for part, main in READERS[readers[kind]](name, sent.value[kind]):
                     for d in dropped(main):
+                        less = d != main
                         if len(part) == 1:
-                            seen.add((f"{d}|{part}", True))
+                            seen[f"{d}|{part}", True] = seen.get((f"{d}|{part}", True), True) and less
                         else:
-                            seen.add((f"{d}|{part}", False))
-                            seen.add((f"{d}|{part[:1]}", None)) if part else None
-                    if len(part) > 1 and part not in sent.value.words:  # an uncommon first name may have a slip instead
-                        seen |= {(f"{main}||{d}", False) for d in dropped(part)}
-                for form, how in seen:
-                    ids.append(i), out.append(form), initial.append(how)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string()), pa.array(initial, pa.bool_())], ["id", "form", "initial"])
-
-    return rows.select("id", "name").mapInArrow(run, "id long, form string, initial boolean")
-
-
-def link(df: DataFrame, kind: str, id: str = "id", name: str = "name") -> tuple[DataFrame, DataFrame]:
-    """Entities and links of the names in ``df``; ``kind`` is person or organisation.
-
-    Returns (id, entity) with one row for each id that shares its entity with another, and (a, b, form, score): stars
-    of names sharing a form, score = ln(names / names with the form). Equal names are linked without forms, and a form's names
-    form a star, so no group of alike names is ever multiplied out. Null ids are left out; null names, and names
-    without a letter or digit, link with nothing. Repeated rows count once; an empty table links nothing.
+                            seen[f"{d}|{part}", False] = seen.get((f"{d}|{part}", False), True) and less
+                            if part:
+                                seen[f"{d}|{part[:1]}", None] = less
+                    if len(part) > 1 and part not in sent.value[kind].words:  # an uncommon first name may have a slip instead
+                        for d in dropped(part):
+                            seen[f"{main}||{d}", False] = seen.get((f"{main}||{d}", False), True) and d != part
+                for (form, how), less in seen.items():
+                    ids.append(i), out.append(f"{kind}:{form}"), initial.append(how), slip.append(less)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string()), pa.array(initial, pa.bool_()), pa.array(slip, pa.bool_())], ["id", "form", "initial", "slip"])
+
+    return rows.select("id", "kind", "name").mapInArrow(run, "id long, form string, initial boolean, slip boolean")
+
+
+def link(tables: Sequence[tuple[str, DataFrame, str]], id: str = "id", name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """Entities and links of the names of all ``tables``: (kind, table, reader), the reader being person or organisation.
+
+    Returns (kind, id, entity, score), one row for each id that shares its entity with another of its kind, and (kind, a, b,
+    form, score): stars of names sharing a form. The score of a form is ln(names / names with the form), names counted once
+    for each spelling and over all kinds; a form links if it is at least RARE, with a letter missing at least RARE_SLIP. An
+    id's score is that of the rarest form that links it; equal names, and initials that fit one entity only, are linked
+    without a form and have the score of a form of their own. A form's names form a star, so no group of alike names is ever
+    multiplied out. Null ids are left out; null names, and names without a letter or digit, link with nothing. Repeated
+    rows count once; empty tables link nothing. Ids lie within 2**62 / number of tables.
     """
-    rows = df.select(F.col(id).cast("long").alias("id"), F.col(name).alias("name")).filter("id is not null and name is not null")
-    same = rows.groupBy("name").agg(F.min("id").alias("id"))
-    copies = rows.join(same.withColumnRenamed("id", "b"), "name").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    many, readers = len(tables), [how for *_, how in tables]
+    of_table = [df.select((F.col(id).cast("long") * many + k).alias("id"), F.lit(k).alias("kind"), F.col(name).alias("name")).filter("id is not null and name is not null") for k, (_, df, _) in enumerate(tables)]
+    rows = reduce(DataFrame.unionByName, of_table)
+    same = rows.groupBy("kind", "name").agg(F.min("id").alias("id"))
+    copies = rows.join(same.withColumnRenamed("id", "b"), ["kind", "name"]).filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     same = checkpoint(same)
-    total = same.count()
-    every = checkpoint(forms(same, kind, _common(same, kind)))
+    total = float(max(same.count(), 1))
+    every = checkpoint(forms(same, readers, _common(same, readers)))
 
     def stars(some: DataFrame) -> DataFrame:
-        heads = some.groupBy("form").agg(F.min("id").alias("b"), F.countDistinct("id").alias("n")).filter("n > 1")
-        return some.join(heads, "form").filter("id <> b").select(F.col("id").alias("a"), "b", "form", F.log(F.lit(float(max(total, 1))) / F.col("n")).alias("score"))
+        rarity = F.log(F.lit(total) / F.col("n"))
+        heads = some.groupBy("form").agg(F.min("id").alias("b"), F.countDistinct("id").alias("n"), F.bool_and("slip").alias("slip")).filter("n > 1")
+        heads = heads.withColumn("score", rarity).filter(F.col("score") >= F.when(F.col("slip"), RARE_SLIP).otherwise(RARE)).select("form", "b", "score")
+        return some.join(heads, "form").filter("id <> b").select(F.col("id").alias("a"), "b", "form", "score")
 
-    full = stars(every.filter("not initial"))
+    full = checkpoint(stars(every.filter("not initial")))
     of = checkpoint(components(full.select("a", "b")))
     label = every.filter("initial is null").join(of, "id", "left").select("form", F.coalesce("component", "id").alias("entity"))
     fits = label.groupBy("form").agg(F.min("entity").alias("low"), F.max("entity").alias("high"))
-    short = every.filter("initial").join(fits, "form", "left").groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    short = checkpoint(every.filter("initial").join(fits, "form", "left").groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     attached = short.filter("low = high").select(F.col("id").alias("a"), F.col("low").alias("b"))
     alone = every.filter("initial").join(short.filter("low is null").select("id"), "id", "left_semi")
-    edges = of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(attached).unionByName(stars(alone).select("a", "b")).unionByName(copies)
-    return components(edges).select("id", F.col("component").alias("entity")), full
+    lone = stars(alone).select("a", "b", "score")
+    edges = of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(attached).unionByName(lone.select("a", "b")).unionByName(copies)
+    linked = full.select("a", "b", "score").unionByName(lone).unionByName(attached.unionByName(copies).withColumn("score", F.log(F.lit(total))))
+    best = linked.select(F.explode(F.array("a", "b")).alias("id"), "score").groupBy("id").agg(F.max("score").alias("score"))
+    kind = F.element_at(F.array(*(F.lit(k) for k, *_ in tables)), (F.pmod(F.col("id"), F.lit(many)) + 1).cast("int"))
+    back = lambda c: F.expr(f"({c} - pmod({c}, {many})) div {many}")
+    entity = components(edges).join(best, "id", "left").select(kind.alias("kind"), back("id").alias("id"), back("component").alias("entity"), F.round("score", 6).alias("score"))
+    links = full.withColumn("id", F.col("a")).select(kind.alias("kind"), back("a").alias("a"), back("b").alias("b"), F.expr("substring(form, instr(form, ':') + 1)").alias("form"), "score")
+    return entity, links
 
 
 def pairs(entities: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of ids of one entity, for reports that must list them."""
-    return entities.select(F.col("id").alias("id_a"), "entity").join(entities.select(F.col("id").alias("id_b"), "entity"), "entity").filter("id_a < id_b").select("id_a", "id_b")
+    """(kind, id_a, id_b), id_a < id_b: all pairs of ids of one entity, for reports that must list them."""
+    a, b = entities.select("kind", "entity", F.col("id").alias("id_a")), entities.select("kind", "entity", F.col("id").alias("id_b"))
+    return a.join(b, ["kind", "entity"]).filter("id_a < id_b").select("kind", "id_a", "id_b")

@@ -54,14 +54,12 @@ _NAMED = (("creator", "creators", "person"), ("studio", "studios", "organisation
 
 
 def p4_entities(spark: SparkSession, directory: str) -> DataFrame:
-    """The entity of every creator and studio whose name is a variant of another's, named by its smallest id."""
-    parts = [names.link(table(spark, directory, t), how)[0].withColumn("kind", F.lit(kind)) for kind, t, how in _NAMED]
-    return parts[0].unionByName(parts[1]).select("kind", "id", "entity")
+    """The entity of every creator and studio whose name is a variant of another's, named by its smallest id, and the rarity that links it."""
+    return names.link([(kind, table(spark, directory, t), how) for kind, t, how in _NAMED])[0]
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
-    parts = [names.pairs(names.link(table(spark, directory, t), how)[0]).withColumn("kind", F.lit(kind)) for kind, t, how in _NAMED]
-    return parts[0].unionByName(parts[1]).select("kind", "id_a", "id_b")
+    return names.pairs(p4_entities(spark, directory))
 
 
 def p6_top(spark: SparkSession, directory: str) -> DataFrame:

@@ -77,7 +77,7 @@ STUDIOS = [(1, "Feilkgosk-Hullwamb Saffron Entertainment"), (2, "The Feilkgoskhu
 def linked(spark, rows, kind):
     extra = [(1000 + k, f"{a} Zurn{b}drad{k}") for k, (a, b) in enumerate(itertools.product(("Benjamin", "Rosa", "Otto", "Saffron", "Granite"), "abcde"))]
     df = spark.createDataFrame([(i, n, "x") for i, n in rows + extra + rows[:3]], "id long, name string, form string")
-    entity = {r.id: r.entity for r in names.link(df, kind)[0].collect()}
+    entity = {r.id: r.entity for r in names.link([("k", df, kind)])[0].collect()}
     return entity
 
 
@@ -97,14 +97,27 @@ def test_initials_that_fit_two_people_link_with_neither(spark):
     assert not {1, 2, 3} & set(got)
 
 
+def test_kinds_do_not_mix_and_scores_are_rarities(spark):
+    people = spark.createDataFrame([(5, "Rosa Falstirkeirbit"), (6, "Falstirkeirbit, Rosa"), (7, "Otto Zurndrad")], "id long, name string")
+    firms = spark.createDataFrame([(5, "Rosa Falstirkeirbit Films"), (6, "Granite Falstirk Media"), (7, "Rosa Falstirkeirbit Film Ltd")], "id long, name string")
+    entity, links = names.link([("p", people, "person"), ("o", firms, "organisation")])
+    assert sorted((r.kind, r.id, r.entity, r.score) for r in entity.collect()) == [(k, i, 5, round(math.log(3), 6)) for k, i in (("o", 5), ("o", 7), ("p", 5), ("p", 6))]
+    assert {(r.kind, r.a, r.b) for r in links.collect()} == {("p", 6, 5), ("o", 7, 5)}
+
+
+def test_a_form_that_most_names_have_links_nothing(spark):
+    rows = [(i, f"Rosa Gellkind{' ' * i}[{i}]") for i in range(6)] + [(10, "Otto Zurndrad")]
+    assert names.link([("p", spark.createDataFrame(rows, "id long, name string"), "person")])[0].count() == 0
+
+
 def test_no_names(spark):
     df = spark.createDataFrame([], "id long, name string")
-    assert names.link(df, "person")[0].count() == 0
+    assert names.link([("p", df, "person"), ("o", df, "organisation")])[0].count() == 0
 
 
 def test_a_hot_name_forms_stars(spark):
     df = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 'Rosa Gellkind' else concat('Otto Zurndrad', id) end as name")
-    entity, links = names.link(df, "person")
+    entity, links = names.link([("p", df, "person")])
     assert entity.filter("entity = 0").count() == 1000 and links.count() < 20_000
 
 
