@@ -23,22 +23,22 @@ from cinelake.plans.scratch import checkpoint
 
 #: Everyday short and pet forms of given names, from English usage with some German, French, Spanish and Portuguese ones.
 PET_NAMES = {
-    "abigail": "abby abbie gail", "adelaide": "addie heidi", "agnes": "aggie nessie", "albert": "al bert albie bertie", "alejandro": "alex ale jandro", "alexander": "alex alec sandy xander lex sasha sascha", "alexandra": "alex lexi sandra sandy sasha",
-    "alfred": "alf alfie fred", "alison": "ali allie", "amanda": "mandy manda", "amelia": "amy millie mia", "andrew": "andy drew", "angela": "angie", "ann": "annie nan nancy", "anthony": "tony ant", "antonio": "toni tonio", "arabella": "bella ara",
+    "abigail": "abby abbie gail", "adelaide": "addie", "agnes": "aggie nessie", "albert": "al bert albie bertie", "alejandro": "alex ale jandro", "alexander": "alex alec sandy xander lex", "alexandra": "alex lexi sandy",
+    "alfred": "alf alfie fred", "alison": "ali allie", "amanda": "mandy manda", "amelia": "amy millie", "andrew": "andy drew", "angela": "angie", "ann": "annie nan", "anthony": "tony ant", "antonio": "toni tonio", "arabella": "bella ara",
     "archibald": "archie", "arthur": "art artie", "augustus": "gus augie", "barbara": "barb barbie babs bobbie", "bartholomew": "bart", "beatrice": "bea trixie", "benedict": "ben", "benjamin": "ben benny benji", "bernard": "bernie", "bridget": "biddy bridie",
-    "calvin": "cal", "carolina": "caro lina", "caroline": "carrie caro lina", "catalina": "cata lina", "catherine": "cathy cat kate katie cate", "cecilia": "cissy celia", "charles": "charlie chuck chas chaz", "charlotte": "lottie charlie lotte char", "christina": "chris tina chrissy",
-    "christine": "chris chrissy tina", "christopher": "chris kit topher", "clarence": "clare", "clement": "clem", "constance": "connie", "cordelia": "delia cora", "cornelius": "con neil", "cynthia": "cindy", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie",
+    "calvin": "cal", "carolina": "caro", "caroline": "carrie caro", "catalina": "cata", "catherine": "cathy cat kate katie cate", "cecilia": "cissy", "charles": "charlie chuck chas chaz", "charlotte": "lottie charlie lotte char", "christina": "chris tina chrissy",
+    "christine": "chris chrissy tina", "christopher": "chris kit topher", "clement": "clem", "constance": "connie", "cordelia": "delia cora", "cornelius": "con", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie",
     "dominic": "dom nick", "donald": "don donnie", "dorothea": "dora dot dottie thea", "dorothy": "dot dottie dolly", "douglas": "doug", "eduardo": "edu lalo", "edward": "ed eddie ted ned teddy", "edwin": "ed eddie", "eleanor": "ellie nell nora ella", "elizabeth": "liz lizzie beth betty eliza lisa libby bess bessie elsie lise",
-    "emily": "em emmy millie", "emmanuel": "manny", "ernest": "ernie", "esther": "essie hettie", "ethel": "effie", "eugene": "gene", "evelyn": "evie", "ferdinand": "ferdie", "florence": "flo flossie", "frances": "fran fanny frankie", "francesca": "fran frankie chess", "francis": "frank fran",
-    "francisco": "paco pancho fran", "franklin": "frank", "frederick": "fred freddie freddy fritz", "gabriel": "gabe gabi", "genevieve": "gen jenny", "geoffrey": "geoff jeff", "george": "georgie", "gerald": "gerry jerry", "gertrude": "gert trudy", "gilbert": "gil bert", "gregory": "greg", "guillermo": "memo",
-    "harold": "harry hal", "harriet": "hattie", "helen": "nell nellie", "henrietta": "hattie etta henny", "henry": "harry hank hal", "herbert": "herb bert", "hubert": "hugh bert", "ignacio": "nacho", "isabella": "izzy isa bella", "jacob": "jake", "jacqueline": "jackie", "james": "jim jimmy jamie jem",
-    "janet": "jan", "jennifer": "jen jenny jenn", "jeremiah": "jerry jem", "jessica": "jess jessie", "joaquim": "quim", "johannes": "hannes hans", "john": "johnny jack", "jonathan": "jon jonny john johnny", "jose": "pepe", "joseph": "joe joey", "josephine": "jo josie", "joshua": "josh", "judith": "judy",
-    "katherine": "kat kate kathy katie kitty kathie", "kathleen": "kathy kath", "kenneth": "ken kenny", "laura": "laurie", "lawrence": "larry lawrie", "leonard": "leo len lenny", "leopold": "leo poldi", "lillian": "lily lil", "louis": "lou louie", "louise": "lou", "lucille": "lucy", "lucinda": "lucy cindy",
-    "madeleine": "maddie", "magdalena": "lena magda", "margaret": "maggie meg peggy marge rita greta", "maria": "mia mitzi", "martha": "marty", "martin": "marty", "mary": "molly polly", "matilda": "tilly mattie", "matthew": "matt matty", "maximilian": "max", "melissa": "mel missy", "michael": "mike mick mickey mikey", "mildred": "millie",
+    "emily": "em millie", "emmanuel": "manny", "ernest": "ernie", "esther": "essie hettie", "ethel": "effie", "eugene": "gene", "ferdinand": "ferdie", "florence": "flo flossie", "frances": "fran fanny frankie", "francesca": "fran frankie chess", "francis": "fran",
+    "francisco": "paco pancho fran", "frederick": "fred freddie freddy fritz", "gabriel": "gabe gabi", "genevieve": "gen jenny", "geoffrey": "geoff jeff", "george": "georgie", "gerald": "gerry jerry", "gertrude": "gert trudy", "gilbert": "gil bert", "gregory": "greg", "guillermo": "memo",
+    "harold": "harry hal", "harriet": "hattie", "helen": "nell nellie", "henrietta": "hattie etta henny", "henry": "harry hank hal", "herbert": "herb bert", "hubert": "bert", "ignacio": "nacho", "isabella": "izzy isa bella", "jacob": "jake", "jacqueline": "jackie", "james": "jim jimmy jamie jem",
+    "jennifer": "jen jenny jenn", "jeremiah": "jerry jem", "jessica": "jess jessie", "joaquim": "quim", "johannes": "hannes", "john": "johnny", "jonathan": "jon jonny john johnny", "joseph": "joe joey", "josephine": "jo josie", "joshua": "josh",
+    "katherine": "kat kate kathy katie kitty kathie", "kathleen": "kathy kath", "kenneth": "ken kenny", "lawrence": "larry lawrie", "leonard": "leo len lenny", "leopold": "leo poldi", "lillian": "lil", "louis": "lou louie", "louise": "lou",
+    "madeleine": "maddie", "margaret": "maggie meg peggy marge", "maria": "mitzi", "martha": "marty", "martin": "marty", "matilda": "tilly mattie", "matthew": "matt matty", "maximilian": "max", "melissa": "mel missy", "michael": "mike mick mickey mikey", "mildred": "millie",
     "nathaniel": "nate nat nathan", "nicholas": "nick nicky", "nicole": "nicky", "norman": "norm", "oliver": "ollie", "olivia": "liv livvy", "oscar": "ossie", "oswald": "ozzie", "pamela": "pam", "patricia": "pat patty trish tricia", "patrick": "pat paddy", "penelope": "penny", "peter": "pete", "philip": "phil pip",
     "philippa": "pip pippa", "prudence": "pru", "rachel": "rae", "rafael": "rafa raf", "randolph": "randy", "raymond": "ray", "rebecca": "becky becca", "reginald": "reg reggie", "richard": "rick dick rich richie ricky", "robert": "bob rob bobby robbie bert", "roberto": "beto", "roderick": "rod", "roger": "rodge", "ronald": "ron ronnie",
-    "rosalind": "roz", "rosemary": "rosie", "rudolph": "rudy rudi", "russell": "russ", "samuel": "sam sammy", "samantha": "sam", "sarah": "sally sadie", "sebastian": "seb bastian basti", "sigmund": "siggi", "silvester": "sly", "simon": "si", "solomon": "sol", "stanley": "stan", "stephanie": "steph", "stephen": "steve stevie",
-    "susan": "sue susie suzy", "susanna": "sue susie suzy", "terence": "terry", "teresa": "terry tess tessa", "theodore": "theo ted teddy", "theresa": "tess terry", "thomas": "tom tommy", "timothy": "tim timmy", "tobias": "toby", "ulrich": "uli", "valentina": "val tina", "valerie": "val", "veronica": "ronnie vera", "victor": "vic",
+    "rosalind": "roz", "rudolph": "rudy rudi", "russell": "russ", "samuel": "sam sammy", "samantha": "sam", "sebastian": "seb bastian basti", "sigmund": "siggi", "silvester": "sly", "simon": "si", "solomon": "sol", "stanley": "stan", "stephanie": "steph", "stephen": "steve stevie",
+    "susan": "sue susie suzy", "susanna": "sue susie suzy", "terence": "terry", "teresa": "terry tess", "theodore": "theo ted teddy", "theresa": "tess terry", "thomas": "tom tommy", "timothy": "tim timmy", "ulrich": "uli", "valentina": "val tina", "valerie": "val", "veronica": "ronnie", "victor": "vic",
     "victoria": "vicky vicki tori", "vincent": "vince vinny", "virginia": "ginny", "vivian": "viv", "walter": "walt wally", "wilfred": "wilf", "wilhelm": "willi", "wilhelmina": "mina minnie", "william": "will bill billy willy liam", "winifred": "winnie", "zachary": "zach zack zac",
 }
 FULL = {}
@@ -48,7 +48,14 @@ for _full, _pets in PET_NAMES.items():
 for _full in PET_NAMES:  # a full name that is also another one's short form stays possible as itself
     if _full in FULL:
         FULL[_full].add(_full)
-GIVEN = frozenset(PET_NAMES) | frozenset(FULL)
+#: Further given names that are often met in English, German, French, Spanish and Portuguese texts; with the names above they settle
+#: which part of a name is the given one where the table itself has too few names to tell.
+MORE_NAMES = """aaron adam adele adrian aisha alan alberto alice alma amir ana andre andrea andres anita anja anna anne anton astrid aurora axel beatriz bella bernardo bianca boris brigitte bruno camila camille carl carla carlos carmen celia
+    claire clara claudia claus colin cristina dario diana diego dieter dimitri diogo elena elias elisa emil emma enzo erik erika ernst eva fabian fatima felix fernando filipe flora frank franz frida friedrich gustav hans hanna hassan heidi heike
+    helena hugo ibrahim ida ines inga ingrid irene iris isabel ivan jack jan jana jean jens joana joao jonas jorge juan julia julian jules julio jurgen kai karin karl karla klaus lars laurent lea leila lena leon lina linda luca lucas lucia luis luisa
+    luiz lukas manuel marc marcel marco marcos marie marina mario mark marta mateo matteo maya mei miguel mila mohammed monica nadia naomi natalia nina nora oskar otto pablo paolo patricio paul paula paulo pedro petra pierre rafaela ralf
+    ramon raul rene ricardo rita rodrigo rosa rui ruth salma sandra santiago sara sasha selma sergio silvia simone sofia sonja sophie stefan sven sylvie thiago tim tomas ursula uwe vera vincenzo viola yasmin yusuf yves zoe""".split()
+GIVEN = frozenset(PET_NAMES) | frozenset(FULL) | frozenset(MORE_NAMES)
 
 #: Remarks people add, legal forms, and words of the trade with their shortened forms.
 REMARKS = set("official channel clips clip archive archives tv videos vids page fanpage hd uploads backup copy new old".split())
@@ -62,7 +69,7 @@ TRADE_WORDS = set(TRADE) | {s for x in TRADE.values() for s in x.split()}
 #: A common part (a first name, a second word of organisations) goes with at least so many different longest other words, and
 #: with so many times more of them than these go with on average; a surname goes with fewer than its first names, however
 #: often it occurs. Both numbers hold at every size of the table.
-COMMON_LEAST, COMMON_TIMES = 4, 2.0
+COMMON_LEAST, COMMON_TIMES = 10, 2.0
 #: Least rarity ln(names / names with the form) of a form that links: in full, and with a letter missing.
 RARE, RARE_SLIP = 1.0, 2.0
 SHORTEST = 6
