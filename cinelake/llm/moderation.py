@@ -2,12 +2,21 @@
 
 Texts are folded to plain letters, words written letter by letter are joined, digits and signs that stand for letters
 are replaced, repeated letters shrink to one, masked letters and slips are completed to the lexicon words that fit. One
-Aho-Corasick automaton then finds all lexicon and exception phrases. A phrase of an exception takes away the weight
-of lexicon words in and right around it. A sentence of weight 1 or more is a case.
+Aho-Corasick automaton then finds all lexicon words, phrases, exception phrases and the words of the patterns: an insult
+weighs more when it is said to somebody, a verb of harm only with somebody it is meant for, a harmful image only of people.
+Exceptions take weight away: technical and literal uses around their own words, and sentences that name such language to
+forbid it. The weight of a sentence is normalised by its length; a sentence of 1 or more is a case.
+
+The words are common entries of public swear-word lists in English, German, Spanish, French and Portuguese. Phrases may be
+added that are learnt from labelled samples. Nothing hangs on the documents a text is run together with.
 """
 
 from __future__ import annotations
 
+import base64
+import json
+import math
+import os
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -15,74 +24,117 @@ from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinelake.llm.folding import fold
 from cinelake.plans.layout import spread
 
-#: Words, and phrases between commas, by kind and weight; what ends in * also matches longer words.
+#: Public vocabularies whose whole words are never taken for slips of other words: one with word ends, one of many languages.
+WORDS = os.environ.get("CINELAKE_WORDS", "/opt/tokenizers/word_bpe_49k.json")
+MORE_WORDS = os.environ.get("CINELAKE_MORE_WORDS", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+#: Weights of the lexicon's three degrees. A sentence's weight is divided by the square root of its words over LONG, if more.
+STRONG, MEDIUM, MILD = 2.5, 0.8, 0.45
+LONG = 16
+#: Words of a sentence that are weighed at once; longer ones (texts without stops) are weighed in pieces that overlap by a quarter.
+PIECE = 64
+
+#: Words, and phrases between commas after the bar, by kind and degree; what ends in * also matches longer words.
 LEXICON = {
-    "abusive": {
-        1.0: (
-            """idiot* moron* imbecile* cretin* halfwit* dimwit* nitwit* bastard* bitch* cunt* whore* slut* wanker* asshole* arsehole* dickhead* scumbag* motherfuck* loser* douchebag* tosser* pillock* dipshit* dirtbag* numbskull* knobhead* bellend* skank* cnut cnt prick twat* retard* jackass* fuck* shithead* shitbag*
-            arschloch* wichser* schlampe* drecksau* hurensohn* hure fotze* missgeburt* spast* trottel* vollpfosten* dummkopf* versager* miststuck* penner* vollidiot* dumpfbacke* imbecil* gilipollas* puta* zorra* cabron* pendejo* payaso* subnormal* maricon* capullo* mamon* tocapelotas
-            connard* connasse* salope* salaud* encule* batard* pute ordure* cretine* abruti* debile* bouffon* tocard* raclure* poufiasse* babaca* otario* vagabund* desgracad* arrombad* viado* cuzao* trouxa* corno""",
-            """halt die fresse, halts maul, halt dein maul, verpiss dich, du nichts, dumme kuh, dumme sau, hijo de puta, hija de puta, a la mierda, de mierda, gordo cerdo, cerdo asqueroso, que asco das, espece de, pauvre con, sale con, gros con, quel con, petit con, ferme ta gueule, ta gueule, va te faire, nique ta,
-            burro nojento, que nojo de, seu lixo, seu verme, seu burro, vai se danar, vai se foder, vai tomar no, cala a boca, filho da puta, filha da puta, lixo humano, fat pig, brainless pig, filthy pig, disgusting pig, ugly pig, shitty little, shut up you, get lost you, crawl back under, go back to your basement, kill yourself,
-            hang yourself, drink bleach, i will find you, beat you until, break every bone, cut your throat, smash your face, leave on a stretcher, watch your back, know where you live, hope someone kills, hope someone beats, hope you die, i will kill you, burn your house,
-            you ruin every room, allowed near a camera, people like you should not, nobody would miss you, least of all your mother, going on inside than you, seen furniture with more, ich weiss wo du wohnst, schlag dir die, die zahne ein, ich finde dich, ich bring dich um,
-            pass auf dem heimweg gut, ich kenne den weg, ohne dich ware diese, besser dran merk, niemand wurde dich vermissen, se donde vives, partir la cara, ojala te mat*, ojala te muer*, te voy a matar, te voy a romper, te echaria de menos, si desaparecieras,
-            je sais ou tu habites, casser la gueule, je vais te tuer, personne ne te regretterait, si tu disparaissais, sei onde voce mora, quebrar a sua cara, quebrar sua cara, vou te matar, tomara que te mat*, tomara que voce morra, sentiria sua falta, sentiria a sua falta, se voce sumisse""",
-        ),
-        0.6: (
-            """clown pig pigs swine liar scum trash dick arse jerk git creep maggot freak coward hag useless filthy worthless brainless pathetic disgusting greasy shitty dumbass cow schwein* sau depp deppen nichtsnutz* spinner* cerdo* cerda* asqueros* inutil* feo fea
-            nul minable* porc* lixo feio feia nojent* palhaco* porco* estupid*""",
-            """stop whining, delete your account, losch dich, borra tu cuenta, supprime ton compte, apaga a conta, change my mind, learn to hold a camera, aprende a filmar, apprends a filmer, aprenda a filmar, nobody cares about your, everyone here knows it,
-            todos lo saben, jeder weiss es, todo mundo sabe, tout le monde le sait, next time i see you, your mother is, cannot focus one, would tag it like that, taggt so etwas, etiqueta asi, mettrait ce mot, que subio esto, marca assim, on the way home i know, lives and i will""",
-        ),
-        0.4: ("stupid dumb ugly fat miserable sorry typical shit wertlos* dumm* hasslich* mierda merde patetic* stupide* merda calla*", ""),
-    },
-    "hateful": {
-        1.0: (
-            "subhuman* vermin untermensch* ungeziefer*",
-            """breed like rats, stink and they steal, stink and steal, belong in a cage, belong in cages, cleaner without, do not want their kind, their kind in, thrown into the sea, in their blood to, last one of them back, gehoren hinausgeworfen, stinken und klauen, so sind die eben,
-            hier endlich sauber, endlich sauber, gehoren in kafige, son ratas, son basura, hay que echarlos, apestan y roban, en la sangre, vivir en jaulas, estaria limpio, limpio por fin, la vermine, sont des rats, dehors tous, enfin propre, puent et volent, dans le sang, vivre en cage, dans des cages,
-            sao vermes, sao ratos, todos expulsos, fedem e roubam, no sangue, ficaria limpa, viver em jaulas""",
-        ),
-        0.6: ("vermine* vermes expulsos jaulas gaiolas kafig* parasit* ratas klauen apestan fedem puent", "should be thrown, have no place behind a camera, out of our town, every last one of, would be cleaner, breed like, it was those, echarlos a todos, hinausgeworfen, raus hier"),
-    },
-    "sexual": {
-        1.0: (
-            "porn* pussy cock cocks dildo* blowjob* handjob* horny orgasm* masturbat* fick* gefickt* nacktbild* follando follar* polla* cachond* baisaient transando trepando tesao gozou chupando buceta*",
-            """send nudes, loud sex, between her thighs, came hard, sucked his, ride you all night, naked and fuck*, naked and moaning, so geil, fotos desnud*, desnudos y foll*, photos nue*, bite dans, ils etaient nus, elles etaient nues, je suis chaud*, pelados e transando, foto pelad*, fotos pelad*,
-            fotos nua*, manda nudes""",
-        ),
-        0.6: ("tits boobs nudes moaning fucking sex wet thighs nackt desnud* nus nue nues pelad* nua geil erregt excitad* anal", "pushed inside her, took off her clothes"),
-        0.4: ("naked nude sexy", ""),
-    },
-}
-
-#: Harmless uses, between commas; each takes away lexicon weight inside it and within NEAR words of it.
-EXCEPTIONS = """viewers idiots, other viewers, comments that call, call other, will be removed, insults like, words like, no threats, no slurs, no explicit, beleidigungen wie, beleidigungen, werden geloscht, insultos como, los insultos, se borraran, les insultes, seront supprimees, serao apagados, insultos,
-    encode is garbage, preset is plain, plain stupid, dumb terminal, dick whittle, whittle, sperm whale, naked eye, breast cancer, sex education, nude study, gallery tour, slave drive, master drive, kill the process, stale jobs, execute the batch, as villains do, villain shouts, bloody red,
-    terrible ending, joke made me, spill my tea, mata el proceso, tuez le processus, mate o processo, tote den prozess, morderisch gut, bloder codec, datei ist schrott, fin nulle, final ruim, in the barnyard, feathers and all"""
-NEAR = 3
-#: A word in as many different sentences as this part of the different texts (and LEAST) is an ordinary word, not a slip in another.
-ORDINARY_SHARE, LEAST = 1 / 2000, 5
-#: Most labelled harmless rows whose words are taken as ordinary.
-HARMLESS_ROWS = 100_000
-
-#: Everyday words one slip away from a lexicon word.
-EVERYDAY = set(
-    """whole whale where whose while white shore chore witch pitch batch watch beach stitch birch ditch hitch lower closer laser loses loose lover user poser lose maroon baron boron mormon crown cloud down clowns certain creating bustard mustard custard
-    vermont verging morning meaning moving mooning foaming horns thorny honey corny pour porn sock rock clock lock cook coke cork sucker tucked ducked bucked lucked luck duck duke suck stuck puts pasta pista putt nude nodes modes codes fits hits bits sits pits tips wits
-    nit prince brick trick price prickly pricks track idiom idioms retarded retired return sluts slot slit moral morals count cunning orders order bordure cerco cuerdo acerdo pollo bella payasos pages paysage
-    salon saloon slope scope pate patte batarde bastion porco porte porta zorro sorra cabrio carbon cabo feo fee feat whores idea ideas video audio biter bites arise ashore kissing puma pula gorda gordos burros barro estudio estudia estupendo estudiar imbert debil debiles
-    sensual census stricken stickers flicken blicken schicken nicken flick click tick schwan schwank trotten trotter hurt hure hute uhren flotte fette versage versagen versager hauptling babacu otaria vagabundo lixos feios ballast fikten fielen
-    rates rate cats bats hats mats fat vermeil permes termes germes verme fermes expulso expulsa jaula gaiola kafer sex six set""".split()
-)
+    ("abusive", STRONG): """idiot* moron morons moronic imbecil* cretin* halfwit* dimwit* nitwit* dumbas* bastard* bitch* cunt* whore* slut* wanker* asshole* arsehole* dickhead* scumbag* motherfuck* fucker* fuckwit* fuckface* dumbfuck* douchebag* tosser* pillock*
+        dipshit* dirtbag* numbskull* numskull* knobhead* bellend* skank* twat* retard* jackas* shithead* shitbag* shitface* cocksucker* arsewipe* asswipe* bollockbrain* butthead* cnut prat minger* gobshite* tosspot*
+        arschloch* arschgeige* wichser* schlampe* drecksau* dreckskerl* hurensohn* hure huren fotze* missgeburt* spast* trottel* vollpfosten* dummkopf* schwachkopf* hohlkopf* vollidiot* miststuck* mistkerl* scheisskerl* flachwichser* saftsack* arschgesicht* dumpfbacke*
+        idiota* gilipollas* puta putas putada puto putos cabron* pendej* subnormal* maricon* capullo* mamon* hijoputa* malparid* culero* zorra* tarado* mamarracho* soplapollas*
+        connard* connas* salop* salaud* encule* batard* pute putes abruti* tocard* raclure* poufias* petas* enfoire* trouduc*
+        babaca* otari* desgracad* arrombad* viado* cuzao* trouxa* corno cretin* canalha* escrot* safad*
+        | halt die fresse, halts maul, halt dein maul, halt die klappe, verpiss dich, fick dich, leck mich am arsch, hijo de puta, hija de puta, a la mierda, de mierda, que te jodan, que te den, vete al carajo, fils de pute, ta gueule, nique ta, va te faire, fermez la, pauvre con, sale con,
+        gros con, quel con, petit con, espece de con, vai se foder, vai tomar no, vai a merda, filho da puta, filha da puta, cala a boca, cala boca, go fuck yourself, fuck you, fuck off, piece of shit, shut the fuck, kill yourself, hang yourself, drink bleach, watch your back, i know where you live, your days are numbered, you will regret, drop dead, go to hell, son of a bitch""",
+    ("abusive", MEDIUM): """prick pricks dick dicks loser* clown clowns creep creeps coward* freak freaks maggot* liar liars scum trash hag weasel* git jerk jerks leech* arse fucking fuck fucked lowlife* dunce* buffoon* degenerate* stinker* crybaby 
+        depp deppen nichtsnutz* spinner versager* penner feigling* luegner lugner blodmann* idiotisch* abschaum* widerling*
+        payas* inutil* asqueros* basura* mentiros* cobarde* escoria* estupid* imbecilidad
+        minable* clochard* ordure* vermine* debile* lache menteu* nul nulle fumier* bouffon* vagabund* stupide*
+        lixo palhac* nojent* verme covarde* mentiros* imundo* inutil nojo
+        | nobody likes you, nobody wants you, nobody would miss you, no one would miss you, better off without you, better without you, du nichts, niemand mag dich, niemand wurde dich vermissen, ohne dich besser, nadie te quiere, nadie te echaria de menos, mejor sin ti,
+        personne ne taime, personne ne t aime, personne ne te regretterait, mieux sans toi, ninguem te quer, ninguem gosta de voce, ninguem sentiria sua falta, ninguem sentiria a sua falta, melhor sem voce""",
+    ("abusive", MILD): """stupid* dumb ugly fat filthy disgusting patheti* worthles* useles* brainles* greasy miserable shitty shit crap garbage rubbish rotten lazy hate hates shut stink stinks sicken* moronity
+        dumm* blod* haslich* fett* eklig* wertlos* nutzlos* widerlich* scheis* mies* dreck*
+        tont* feo fea gord* pateti* mierda asco calla callate fastidi*
+        moche* gros grose laid laide degueulas* inutil* merde pathetique* degage
+        gord* feio feia patetic* merda porcaria* cala""",
+    ("hateful", STRONG): "subhuman* untermensch* niger* nigga* kike kikes spic spics wetback* faggot* fag fags tranny trannies raghead* towelhead* kanake* zigeunerpack* schwuchtel* sudaca* moromierda bougnoul* youpin* negrata*",
+    ("hateful", MEDIUM): "vermin ungeziefer* schmarotzer* parasit* infest* alimana* racaille* gentalha* macaco macacos bicha bichona chink chinks rats ratten ratas ratos vermes cockroach* kakerlak* cucaracha* cafards baratas | their kind, your kind, that kind of people, in their blood, in their genes, in their nature, im blut, en la sangre, dans le sang, no sangue, solche leute, esa gente, esta gente, ces gens, essa gente, esse povo, dirty foreigners, go back where",
+    ("sexual", STRONG): """porn* blowjob* handjob* cumshot* gangbang* dildo* masturbat* fellatio* cunnilingus creampie* deepthroat* bukkake* jerkof* titjob* ficken fickt fickte fickten gefickt nacktbild* wichsen wichst muschi* titten follar* follando folamos polla pollas mamada*
+        branler* branlette* baisaient baisent baise niquer nichons transando transar* trepando trepar* buceta* xoxota* punheta* boquete* tesao gozando gozou
+        | between her thighs, between her legs, between his legs, inside her, inside him, came on her, sucked his, suck my, ride you, sa bite, ma bite, bite dans, je suis chaud, je suis chaude, je bande""",
+    ("sexual", MEDIUM): "pussy pussies cock cocks tits titties boobs horny orgasm* moaning moaned erection* cum anal nudes sex threesome* geil geile erregt* cachond* excitad* orgasmo* chupando chupa tetas chatte baiser nacktfoto* nacktfotos bander",
+    ("sexual", MILD): "naked nude sexy wet thighs nackt* desnud* desnudo nu nue nus nues pelad* nua nuas peitos bunda breasts undress* strip moan lingerie | took off her clothes, took off his clothes, take off your clothes, took her clothes off",
+}
+
+#: Words of the patterns below, by class; the same writing.
+CLASSES = {
+    "you": "you your youre youve u ya yourself yourselves du dich dir dein deine deinen deiner euch ihr tu te ti tus tuyo eres vos usted toi ton ta tes tes voce voces teu tua seu sua vc",
+    "person": "he she him her his guy man woman dude bloke someone somebody everyone guys er sie ihm ihn typ kerl frau mann alguien ese esa tipo tio mec type gars quelquun ele ela cara alguem",
+    "group": "they them their these those people all kind lot everyone sie die alle leute ihnen solche ellos ellas todos todas gente esos ils elles eux tous gens ces eles elas deles essa",
+    "outgroup": "foreigner* immigrant* migrant* refugee* muslim* jew jews blacks gays gypsies auslander* fluchtling* migrant* zigeuner* extranjero* inmigrant* gitano* moros etranger etrangers immigre* migrants gitans estrangeiro* imigrant* cigano*",
+    "are": "are were is sind ist son sont sao seid es est e sois sao",
+    "called": "is are was youre eres du tu bist es est sois e voce such what bloody fucking a an ein eine einen un una um uma ese este cet cette esse seu",
+    "intend": "will ill gonna going want should must hope wish someone would gotta let werde werd will solte hofentlich hofe voy vas ojala espero que vais va espere vais vou tomara deveria quero",
+    "wish": "hope wish pray hofentlich hofe wunsche ojala espero jespere espere souhaite tomara desejo",
+    "harm": "kill kills killed stab stabs murder* strangle* shoot beat beats hurt hurts rape* slit smash cut burn choke hang gut punch skin bury drown break breaks kil umbring* tot* toet* abstech* erschies* erwurg* erschlag* verprugel* schlag* aufschlitz* matar* mato mate maten muer* romper* rompo partir* reventar* golpear* quemar* tuer tue tues buter bute crever creve creves egorg* casser casse frapper* bruler* quebrar* quebro arrebentar* espancar* morr* esfaque* queimar* estrangul*",
+    "body": "throat neck bone bones face teeth skull head legs jaw ribs eyes knochen zahne kehle hals gesicht fresse schadel cara cuello dientes huesos cabeza garganta cou dents os gorge gueule tete pescoco dentes ossos garganta cabeca",
+    "fate": "stretcher coffin ambulance grave morgue hospital wheelchair sarg grab krankenhaus ataud tumba cercueil tombe hopital caixao cova",
+    "home": "live lives home house sleep wohnst wohnt haus vives vive casa habites habite maison dors mora moras more",
+    "know": "know knows weis kenne se conozco sais connais sei conheco found find finde encontr* trouv* ach*",
+    "where": "where wo donde ou onde",
+    "should": "should must ought belong belongs deserve deserves need gehoren gehort solten sollten musen mussen muss hay deberian deben merecen habria doivent faut meritent devraient devem deviam merecem tem",
+    "expel": "gassed gased exterminat* deport* lynched eradicat* thrown kicked wiped expel* sterili* vergas* ausrot* abschieb* abgeschob* rausgeworf* hinausgeworf* hinauswerf* rauswerf* raus verjag* expuls* echar* exterminar* fuera dehors chas* virer elimin* exterm* fora banid* cage cages caged kafig* jaula* gaiola* shot hanged drowned burned",
+    "filth": "stink stinks steal steals breed breeds smell reek stinken klauen stehlen vermehren apestan roban huelen crian puent volent fedem roubam cheiram",
+    "clean": "cleaner clean sauber* limpi* propre* limp*",
+    "without": "without ohne sin sans sem",
+    "out": "out away back raus weg fuera dehors fora",
+    "ours": "our unser* nuestr* notre nos noss*",
+    "land": "town country city land street streets neighbourhood neighborhood nation stadt dorf pais ciudad barrio ville pays quartier cidade bairro",
+    "send": "send sent schick* manda* envia* envoi* mande enviame mandame",
+    "photo": "pic pics photo* picture pictures foto* bild bilder imagen* image* video*",
+    "lead": "filthy ugly fat stupid brainles disgusting worthles dirty lazy greasy little useless dumm* blod* fett* haslich* gord* feo fea stupide* gros sale burr* feio feia",
+    "machine": "codec* encode* encoder preset* file files player app software script driver drive disk server process procesing job jobs task batch build render scan film films movie movies ending plot scene episode clip camera lens lense joke song title weather dog horse bird puppet datei* szene* schnitt fichier* archivo* arquivo* proceso* prozes* procesus processo* final fin fim filme* pelicula* toca* traine* ende handlung dialog* sound audio ton son",
+    "animal": "pig pigs swine cow cows rat worm worms dog dogs monkey ape donkey toad schwein* sau saue kuh ratte esel affe cerd* vaca rata burro burra perro mono porc porcs vache rat chien cochon porco porca porcos vaca burro burra rato cachorro macaco",
+    "mention": "insult* slur* threats swearing curse beleidig* schimpfw* drohungen palabrota* amenazas injures menaces xingament* ofensas ameacas",
+    "quote": "word words language comment comments term terms wort worter kommentar* palabras comentario* mot mots propos commentaire* palavra*",
+    "none": "no not kein* nicht sin ningun* aucun* pas sem nenhum* nao",
+    "forbid": "removed removes deleted banned forbidden prohibited blocked reported moderated geloscht loschen entfernt verboten gesperrt borrar* borrad* eliminar* eliminad* prohibid* supprime* supprimer interdit* bloque* apagad* apagar* removid* proibid* bloquead*",
+}
+
+#: Harmless phrases with a lexicon word in them, between commas.
+EXCEPTIONS = """naked eye, naked eyes, breast cancer, sperm whale, sex education, sex ed, nude study, nude painting, nude model, nude mouse, cock crowed, cock crows, weather cock, prick of, prick up, dick and jane, moby dick, philip k dick, guinea pig, pig iron, pigs in blankets,
+    white trash can, trash can, trash bin, trash folder, rat race, lab rat, lab rats, pack rat, dumb terminal, dumb waiter, dumb luck, freak accident, freak storm, circus clown, sore loser bracket, bad loser, loser bracket, loser of the, fat free, fat chance, big fat zero, low fat, worm gear,
+    wet weather, wet paint, strip the, strip light, comic strip, film strip, garbage collector, garbage collection, garbage in, rubbish bin, schwein gehabt, blaue sau, spinner spielt, blinde kuh, milch kuh, sau gut, kuh vom eis, perro y gato, gordo de navidad, nul besoin, nul doute, match nul, porc epic, gros plan,
+    gros plans, gros titre, burro de carga, rata de biblioteca, piel de rata, cum laude, nu metal, mise a nu, pied nu, pieds nus, hate to, cut to, shot of, sex of, same sex, opposite sex, unisex"""
+#: Words around a technical or literal word that a mild or medium hit must be within to be spared.
+NEAR = 4
+
+
+def _pattern(kind: str, weight: float, *classes: str, window: int = 6) -> tuple[str, float, tuple[str, ...], int, bool]:
+    """In the order of the classes where the first only leads to the next."""
+    return kind, weight, classes, window, classes[0] in ("called", "lead", "are", "wish")
+
+
+#: Words of these classes within so many words of one another, at different places, weigh this much together.
+PATTERNS = [
+    _pattern("abusive", 0.7, "you", "abusive.medium", window=4), _pattern("abusive", 0.45, "called", "abusive.medium", window=2), _pattern("abusive", 0.3, "you", "abusive.mild", window=4), _pattern("abusive", 0.45, "lead", "abusive.medium", window=2),
+    _pattern("abusive", 0.25, "person", "abusive.medium", window=4),
+    _pattern("abusive", 1.1, "you", "animal", window=4), _pattern("abusive", 0.8, "lead", "animal", window=2), _pattern("abusive", 1.1, "person", "called", "animal", window=5), _pattern("abusive", 0.8, "harm", "you", window=3), _pattern("abusive", 0.7, "intend", "harm", "you", window=7), _pattern("abusive", 1.2, "wish", "person", "harm", window=6), _pattern("abusive", 1.2, "wish", "you", "harm", window=6), _pattern("abusive", 0.8, "harm", "you", "body", window=6),
+    _pattern("abusive", 1.1, "intend", "harm", "body", window=6), _pattern("abusive", 1.1, "know", "where", "home", window=6), _pattern("abusive", 1.1, "you", "intend", "fate", window=8),
+    _pattern("hateful", 0.5, "are", "hateful.medium", window=2), _pattern("hateful", 0.3, "group", "hateful.medium", window=6), _pattern("hateful", 1.1, "should", "expel", window=4), _pattern("hateful", 0.3, "group", "expel", window=5), _pattern("hateful", 1.0, "filth", "filth", window=5), _pattern("hateful", 0.6, "clean", "without", "group", window=8),
+    _pattern("hateful", 0.5, "clean", "without", window=8), _pattern("hateful", 0.6, "clean", "without", "outgroup", window=10), _pattern("hateful", 0.6, "clean", "without", "land", window=10), _pattern("hateful", 0.6, "outgroup", "expel", window=6), _pattern("hateful", 0.6, "outgroup", "hateful.medium", window=6),
+    _pattern("hateful", 1.1, "send", "outgroup", "out", window=10), _pattern("hateful", 0.7, "send", "group", "out", window=8), _pattern("hateful", 1.0, "out", "ours", "land", window=4), _pattern("hateful", 0.6, "filth", "hateful.medium", window=4),
+    _pattern("sexual", 0.7, "send", "sexual.medium", window=4), _pattern("sexual", 0.8, "send", "photo", "sexual.mild", window=5), _pattern("sexual", 0.6, "photo", "sexual.mild", window=2), _pattern("sexual", 0.5, "sexual.mild", "sexual.medium", window=8), _pattern("sexual", 0.5, "sexual.medium", "sexual.medium", window=8),
+    _pattern("sexual", 0.4, "sexual.mild", "fuck", window=6),
+]
+
+#: Bounds of what is learnt from labelled samples: rows read, phrases kept; words of a phrase, sentences it must be in, its weight.
+SAMPLE_ROWS, SAMPLE_PHRASES = 100_000, 5_000
+LEARNT_WORDS, LEARNT_LEAST, LEARNT = (2, 3), 2, 0.45
 
 #: Digits and signs that stand for letters.
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e", "£": "l"})
@@ -91,47 +143,81 @@ _LETTERS = re.compile(r"(?<![0-9a-z@$!])([0-9a-z@$!](?:(?:\.|-|_|\*|\s|·){1}[0-
 _RUN = re.compile(r"([a-z])\1+")
 _MASK = re.compile(r"[*#]+|-{2,}|_{2,}|\.{2,}(?=[a-z])")
 _EDGE = ".,;:?\"'`´’‘“”«»()[]{}<>¿¡…~=/\\"
+_ENDS = ("a", "o", "e", "s", "y", "en", "er", "as", "os", "es", "ing", "te", "ted", "in", "ten", "t", "er", "ern")
 
 
 def squeeze(word: str) -> str:
     return _RUN.sub(r"\1", word)
 
 
-def _listed(words: str, phrases: str) -> list[str]:
-    return words.split() + [" ".join(p.split()) for p in phrases.split(",") if p.strip()]
+def _entries(text: str) -> list[str]:
+    words, _, phrases = text.partition("|")
+    return words.split() + _phrases(phrases)
+
+
+def _phrases(text: str) -> list[str]:
+    return [" ".join(p.split()) for p in text.split(",") if p.strip()]
+
+
+def _degree(weight: float) -> str:
+    return {STRONG: "strong", MEDIUM: "medium", MILD: "mild"}[weight]
+
+
+@lru_cache(maxsize=1)
+def public_words(path: str = WORDS, more: str = MORE_WORDS) -> frozenset[str]:
+    """Folded and squeezed whole words of the public vocabularies."""
+    with open(path, encoding="utf-8") as f:
+        words = [t.removesuffix("</w>") for t in json.load(f)["model"]["vocab"] if t.endswith("</w>")]
+    with open(more, "rb") as f:
+        tokens = (base64.b64decode(line.split()[0]).decode("utf-8", "ignore") for line in f if line.strip())
+        words += [t[1:] for t in tokens if t.startswith(" ")]
+    return frozenset(squeeze(w) for w in map(fold, words) if len(w) >= 4 and w.isalpha() and w.isascii())
 
 
 class Lexicon:
-    """The automaton, and the words that masks and slips are completed to."""
+    """The automaton of words, phrases, exceptions and classes, and the words that masks and slips are completed to."""
 
-    def __init__(self) -> None:
+    def __init__(self, learnt: tuple[tuple[str, str], ...] = ()) -> None:
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        held: dict[str, list[tuple[str, float, bool]]] = defaultdict(list)
+        held: dict[str, list[tuple[str, str, float]]] = defaultdict(list)  # phrase: (role, name, weight)
         self.by_shape: dict[int, set[str]] = defaultdict(set)
         self.slips: dict[str, str] = {}
-        self.plain = {squeeze(w) for w in EVERYDAY}
-        for kind, weights in LEXICON.items():
-            for weight, text in weights.items():
-                for entry in _listed(*text):
-                    open_end = entry.endswith("*")
-                    words = [squeeze(w) for w in entry.rstrip("*").split()]
-                    held[" " + " ".join(words) + ("" if open_end else " ")].append((kind, weight, open_end))
-                    for raw in entry.rstrip("*").split():
-                        if len(raw) > 2:
-                            self.by_shape[len(raw)].add(raw)
-                            if open_end and len(words) == 1:
-                                for end in ("a", "o", "e", "s", "y", "en", "er", "as", "os", "es", "ing", "te", "ted", "in", "ten", "t", "er", "ern"):
-                                    self.by_shape[len(raw) + len(end)].add(raw + end)
-                    if len(words) == 1 and len(words[0]) >= 5:
-                        for d in {words[0][:i] + words[0][i + 1 :] for i in range(len(words[0]))} | {words[0]}:
-                            self.slips.setdefault(d, words[0])
-        for entry in _listed("", EXCEPTIONS):
-            held[" " + " ".join(squeeze(w) for w in entry.split()) + " "].append(("", 0.0, False))
+
+        def put(entry: str, role: str, name: str, weight: float = 0.0) -> list[str]:
+            words = [squeeze(w) for w in entry.rstrip("*").split()]
+            held[" " + " ".join(words) + ("" if entry.endswith("*") else " ")].append((role, name, weight))
+            return words
+
+        for (kind, weight), text in LEXICON.items():
+            for entry in _entries(text):
+                words = put(entry, "hit", f"{kind}.{_degree(weight)}", weight)
+                if len(words) > 1:
+                    continue
+                raw = entry.rstrip("*")
+                if len(raw) > 2:
+                    for end in ("", *_ENDS) if entry.endswith("*") else ("",):
+                        self.by_shape[len(raw + end)].add(raw + end)
+                if len(words[0]) >= 5 and weight >= MEDIUM:
+                    for d in {words[0][:i] + words[0][i + 1 :] for i in range(len(words[0]))} | {words[0]}:
+                        self.slips.setdefault(d, words[0])
+        put("fuck*", "class", "fuck")
+        for name, text in CLASSES.items():
+            for entry in text.split():
+                put(entry, "class", name)
+        for entry in _phrases(EXCEPTIONS):
+            put(entry, "spare", "")
+        for phrase, kind in learnt:
+            put(phrase, "hit", f"{kind}.learnt", LEARNT)
+        self.automaton = ahocorasick.Automaton()
         for phrase, what in held.items():
             self.automaton.add_word(phrase, (len(phrase), what))
         self.automaton.make_automaton()
+        heavy = [p for p, what in held.items() if any(role == "hit" or name in ("harm", "expel", "home", "filth", "clean", "land", "send", "fate", "outgroup", "animal") for role, name, _ in what)]
+        self.heavy = ahocorasick.Automaton()
+        for phrase in heavy:
+            self.heavy.add_word(phrase, 1)
+        self.heavy.make_automaton()
 
     def completed(self, word: str) -> str | None:
         """The lexicon word that a masked one stands for: the same length, the same letters where shown."""
@@ -142,19 +228,30 @@ class Lexicon:
         return min((w for w in self.by_shape[len(word)] if shape.fullmatch(w)), default=None)
 
     def near(self, word: str) -> str | None:
-        """The lexicon word one slip away from a word that is none itself."""
-        if len(word) < 5 or word in self.plain:
+        """The lexicon word one slip away from a word that is no word of its own."""
+        if len(word) < 5 or word in public_words():
             return None
         for d in (word, *(word[:i] + word[i + 1 :] for i in range(len(word)))):
             hit = self.slips.get(d)
-            if hit and abs(len(hit) - len(word)) <= 1 and hit[0] == word[0]:
+            if hit and hit[0] == word[0] and _slipped(word, hit):
                 return hit
         return None
 
 
-@lru_cache(maxsize=1)
-def lexicon() -> Lexicon:
-    return Lexicon()
+def _slipped(word: str, of: str) -> bool:
+    """Whether one letter is missing, added or replaced (the last not in words of five), or two neighbours are swapped."""
+    if len(word) != len(of):
+        short, long = sorted((word, of), key=len)
+        return len(long) - len(short) == 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+    apart = [i for i in range(len(word)) if word[i] != of[i]]
+    if len(apart) == 2 and apart[1] == apart[0] + 1:
+        return word[apart[0]] == of[apart[1]] and word[apart[1]] == of[apart[0]]
+    return len(apart) <= 1 and (len(word) > 5 or not apart)
+
+
+@lru_cache(maxsize=4)
+def lexicon(learnt: tuple[tuple[str, str], ...] = ()) -> Lexicon:
+    return Lexicon(learnt)
 
 
 def sentences(text: str | None) -> list[str]:
@@ -167,24 +264,22 @@ def plain(sentence: str) -> list[str]:
 
 
 class Scorer:
-    """Scores texts; ``ordinary`` words are never taken for slips."""
+    """Scores texts by the lexicon and phrases learnt from samples."""
 
-    def __init__(self, ordinary: frozenset[str] = frozenset()):
-        self.ordinary, self.cache = ordinary, {}
+    def __init__(self, learnt: tuple[tuple[str, str], ...] = ()):
+        self.lexicon, self.cache, self.seen = lexicon(learnt), {}, {}
 
     def words(self, token: str) -> tuple[str, ...]:
         """The plain words that one written token stands for."""
         found = self.cache.get(token)
         if found is None:
-            lex = lexicon()
-            found = tuple((w not in self.ordinary and lex.near(w)) or w for w in map(squeeze, self._read(token)))
+            found = tuple(self.lexicon.near(w) or w for w in map(squeeze, self._read(token)))
             if len(self.cache) < 200_000:
                 self.cache[token] = found
         return found
 
-    @staticmethod
-    def _read(token: str) -> list[str]:
-        lex = lexicon()
+    def _read(self, token: str) -> list[str]:
+        lex = self.lexicon
         token = token.strip(_EDGE)
         if token.isalpha():
             return [token]
@@ -197,108 +292,142 @@ class Scorer:
             return re.findall("[a-z]+", token.translate(SIGNS))
         if re.fullmatch(r"[a-z]+(?:[-.'][a-z]+)+", inner):
             joined = squeeze(re.sub("[^a-z]", "", inner))
-            return [joined] if joined in lex.slips.values() else re.findall("[a-z]+", inner)
+            return [joined] if joined in lex.slips.values() or joined in ("youre", "youve", "ill", "jespere") else re.findall("[a-z]+", inner)
         return re.findall("[a-z]+", token)
 
     def sentence(self, sentence: str) -> tuple[dict[str, float], int]:
-        """Weight of each kind in one sentence, and its words."""
+        """Normalised weight of each kind in one sentence (of the piece with most, if it is long), and its words."""
         words = [w for token in plain(sentence) for w in self.words(token)]
-        if not words:
-            return {}, 0
+        if len(words) <= PIECE:
+            return self._line(words), len(words)
+        step = PIECE - PIECE // 4
+        return max((self._line(words[i : i + PIECE]) for i in range(0, len(words) - PIECE // 4, step)), key=lambda w: sum(w.values())), len(words)
+
+    def _line(self, words: list[str]) -> dict[str, float]:
         line = " " + " ".join(words) + " "
-        hits, spared = [], []
-        for end, (length, what) in lexicon().automaton.iter(line):
-            start = end - length + 1
-            for kind, weight, _ in what:
-                at = line.count(" ", 0, start + 1) - 1
-                till = at + line.count(" ", start + 1, end)
-                (hits if kind else spared).append((at, till, kind, weight))
-        seen: dict[tuple[str, int], float] = {}
-        for at, till, kind, weight in hits:
-            if not any(a - NEAR <= till and at <= t + NEAR for a, t, *_ in spared):
-                seen[kind, at] = max(seen.get((kind, at), 0.0), weight)
+        if not words or next(self.lexicon.heavy.iter(line), None) is None:
+            return {}
+        found = self.seen.get(line)
+        if found is None:
+            found = self._weigh(line, len(words))
+            if len(self.seen) < 100_000:
+                self.seen[line] = found
+        return found
+
+    def _weigh(self, line: str, size: int) -> dict[str, float]:
+        hits: dict[tuple[int, str], tuple[int, str, float]] = {}
+        spared: list[tuple[int, int]] = []
+        places: dict[str, list[int]] = defaultdict(list)
+        for end, (length, what) in self.lexicon.automaton.iter(line):
+            at = line.count(" ", 0, end - length + 2) - 1
+            till = at + line.count(" ", end - length + 2, end)
+            for role, name, weight in what:
+                if role == "class":
+                    places[name].append(at)
+                elif role == "spare":
+                    spared.append((at, till))
+                else:
+                    kind, _, degree = name.partition(".")
+                    if weight > hits.get((at, kind), (0, "", 0.0))[2]:
+                        hits[at, kind] = (till, degree, weight)
+        if "mention" in places and ("forbid" in places or "none" in places) or "quote" in places and "forbid" in places:
+            if not any(0 <= at - y <= 2 for at, _ in hits for y in places["you"]):
+                return {}  # such language named to forbid it
         weights: dict[str, float] = defaultdict(float)
-        for (kind, _), weight in seen.items():
+        for (at, kind), (till, degree, weight) in hits.items():
+            if any(a <= till and at <= b for a, b in spared):
+                continue
+            if degree in ("medium", "mild") and any(abs(m - at) <= NEAR for m in places["machine"]) and not any(abs(y - at) <= NEAR for y in places["you"]):
+                continue
             weights[kind] += weight
-        return dict(weights), len(words)
+            places[f"{kind}.{degree}"].append(at)
+        for kind, weight, classes, window, ordered in PATTERNS:
+            if all(c in places for c in classes) and _within([places[c] for c in classes], window, ordered):
+                weights[kind] += weight
+        long = math.sqrt(max(1.0, size / LONG))
+        return {k: w / long for k, w in weights.items() if w}
 
     def text(self, text: str | None) -> tuple[float, float, str | None]:
-        """(weight per 100 words, weight of the worst sentence, its kind) of a text."""
+        """(weight per 100 words, normalised weight of the worst sentence, its kind) of a text."""
         total, count, worst, kind = 0.0, 0, 0.0, None
         for s in sentences(text):
             weights, n = self.sentence(s)
             count += n
-            whole = sum(weights.values())
-            total += whole
-            if whole > worst:
-                worst, kind = whole, max(sorted(weights), key=lambda k: weights[k])
+            if weights:
+                whole = sum(weights.values())
+                total += whole
+                if whole > worst:
+                    worst, kind = whole, max(sorted(weights), key=lambda k: weights[k])
         return round(100 * total / count, 4) if count else 0.0, round(worst, 4), kind
 
 
-class _All:
-    """Has every word: a scorer with it takes no word for a slip."""
-
-    def __contains__(self, word: str) -> bool:
+def _within(places: list[list[int]], window: int, ordered: bool) -> bool:
+    """Whether one place of each list can be chosen, all different, within ``window`` words, one after the other if ``ordered``."""
+    first, *rest = places
+    if not rest:
         return True
-
-
-def ordinary_words(df: DataFrame, text: str = "text", harmless: DataFrame | None = None) -> frozenset[str]:
-    """Words near lexicon words that are ordinary in these documents, counted over all of them.
-
-    A word counts once for each different sentence, however many copies that has, and not where the sentence has lexicon
-    weight without it. Where there are fewer than LEAST different texts, LEAST rows and as many different sentences as
-    texts (2 at least) do. Only words one slip away from the lexicon are counted, so what comes back is bounded by the
-    lexicon. All words of ``harmless`` (labelled harmless texts, at most ``HARMLESS_ROWS`` of them) are ordinary as well.
+    for at in first:
+        chosen = [at]
+        for some in rest:
+            near = [p for p in some if p not in chosen and (p > chosen[-1] or not ordered) and max(*chosen, p) - min(*chosen, p) <= window]
+            if not near:
+                break
+            chosen.append(min(near, key=lambda p: abs(p - at)))
+        else:
+            return True
+    return False
+
+
+def learn(samples: list[tuple[str, str]]) -> tuple[tuple[str, str], ...]:
+    """(phrase, kind): what is typical of the bad sentences among labelled texts (text, label), label none being harmless.
+
+    A labelled text may hold harmless sentences beside the bad one; the bad one is that with the greatest weight, or the
+    only one. A phrase counts if it is in at least LEARNT_LEAST different bad sentences and in no other sentence.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, bare = lexicon(), Scorer(_All())
-        known: dict[str, bool] = {}
-
-        def near(folded: str) -> set[str]:
-            words = {squeeze(w) for w in re.findall("[a-z]+", folded)}
-            for w in words:
-                if w not in known:
-                    known[w] = bool(lex.near(w))
-            return {w for w in words if known[w]}
-
-        for batch in batches:
-            count: Counter[tuple[str, int]] = Counter()
-            for t in batch.column(0).to_pylist():
-                if not near(fold(t or "")):
-                    continue
-                for s in sentences(t):
-                    folded = fold(s)
-                    some = near(folded)
-                    if some and not bare.sentence(s)[0]:
-                        key = xxhash.xxh64_intdigest(" ".join(re.findall("[a-z0-9]+", folded))) - (1 << 63)
-                        count.update((w, key) for w in some)
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in count], pa.string()), pa.array([k for _, k in count], pa.int64()), pa.array(list(count.values()), pa.int64())], ["word", "sentence", "n"])
-
-    texts = spread(df.select(F.col(text).alias("text")))
-    many = df.select(F.countDistinct(F.xxhash64(text))).first()[0]
-    least = max(min(LEAST, max(2, many)), int(many * ORDINARY_SHARE))
-    once = texts.mapInArrow(run, "word string, sentence long, n long").groupBy("word", "sentence").agg(F.sum("n").alias("n"))
-    words = once.groupBy("word").agg(F.count(F.lit(1)).alias("sentences"), F.sum("n").alias("n"))
-    found = {r.word for r in words.filter((F.col("sentences") >= least) & (F.col("n") >= LEAST)).toLocalIterator()}
-    if harmless is not None:
-        found |= {squeeze(w) for r in harmless.select(F.col(text).alias("t")).limit(HARMLESS_ROWS).toLocalIterator() for w in re.findall("[a-z]+", fold(r.t or ""))}
-    return frozenset(w for w in found if w not in lexicon().slips.values())
-
-
-def scores(df: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[Any, ...] = (), harmless: DataFrame | None = None) -> DataFrame:
-    """(id, score, worst, kind, flagged) and ``keep`` columns for every row, whole texts, no shuffle.
-
-    score is lexicon weight per 100 words, worst the weight of the worst sentence, flagged whether it is 1 or more.
-    Null and empty texts score 0. Rows with a null id keep it; repeated rows come out as often as they come in.
+    scorer = Scorer()
+    bad: dict[tuple[str, ...], set[tuple[str, ...]]] = defaultdict(set)
+    kinds: dict[tuple[str, ...], Counter[str]] = defaultdict(Counter)
+    good: set[tuple[str, ...]] = set()
+
+    def grams(words: tuple[str, ...]) -> set[tuple[str, ...]]:
+        return {words[i : i + n] for n in LEARNT_WORDS for i in range(len(words) - n + 1)}
+
+    for text, label in samples:
+        some = [(tuple(w for t in plain(s) for w in scorer.words(t)), sum(scorer.sentence(s)[0].values())) for s in sentences(text)]
+        worst = max(range(len(some)), key=lambda i: some[i][1], default=None) if label != "none" else None
+        if worst is not None and len(some) > 1 and not some[worst][1]:
+            continue  # which sentence is meant is not known
+        for i, (words, _) in enumerate(some):
+            if i == worst:
+                for g in grams(words):
+                    bad[g].add(words)
+                    kinds[g][label] += 1
+            else:
+                good |= grams(words)
+    kept = sorted((g for g, where in bad.items() if len(where) >= LEARNT_LEAST and g not in good), key=lambda g: (-len(bad[g]), g))[:SAMPLE_PHRASES]
+    return tuple((" ".join(g), kinds[g].most_common(1)[0][0]) for g in kept)
+
+
+def learn_from(samples: DataFrame, text: str = "text", label: str = "label") -> tuple[tuple[str, str], ...]:
+    """``learn`` from at most SAMPLE_ROWS rows of a table, by hash; rows without text or label teach nothing."""
+    rows = samples.select(F.col(text).alias("t"), F.col(label).alias("l")).filter("t is not null and l is not null").distinct()
+    return learn([(r.t, r.l) for r in rows.orderBy(F.xxhash64("t", "l"), "t", "l").limit(SAMPLE_ROWS).toLocalIterator()])
+
+
+def scores(df: DataFrame, id: str = "doc_id", text: str = "text", keep: tuple[Any, ...] = (), samples: DataFrame | None = None) -> DataFrame:
+    """(id, score, worst, kind, flagged) and ``keep`` columns for every row, from its whole text and nothing else but ``samples``.
+
+    score is lexicon weight per 100 words, worst the weight of the worst sentence normalised by its length, flagged whether it
+    is 1 or more. Null and empty texts score 0. Rows with a null id keep it; repeated rows come out as often as they come in.
+    Where the files give few partitions the texts are spread over more, else they stay where they are read.
     """
     base = spread(df.select(F.col(id).alias("id"), F.col(text).alias("text"), *keep))
-    ordinary = df.sparkSession.sparkContext.broadcast(ordinary_words(df, text, harmless))
+    learnt = learn_from(samples) if samples is not None else ()
     kept = [f for f in base.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double, worst double, kind string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(ordinary.value)
+        scorer = Scorer(learnt)
         for batch in batches:
             got = [scorer.text(t) for t in batch.column("text").to_pylist()]
             per, worst, kind = (list(x) for x in zip(*got)) if got else ([], [], [])

@@ -105,8 +105,7 @@ def p9_report(spark: SparkSession, directory: str) -> DataFrame:
 
 def _moderated(spark: SparkSession, directory: str) -> DataFrame:
     source = mixing.source_key(F.col("source")).alias("source")
-    harmless = table(spark, directory, "moderation_samples").filter("label = 'none'")
-    return moderation.scores(table(spark, directory, "documents"), keep=(source,), harmless=harmless).withColumnRenamed("id", "doc_id")
+    return moderation.scores(table(spark, directory, "documents"), keep=(source,), samples=table(spark, directory, "moderation_samples")).withColumnRenamed("id", "doc_id")
 
 
 def p10_found(spark: SparkSession, directory: str) -> DataFrame:

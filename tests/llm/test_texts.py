@@ -1,6 +1,6 @@
 """Leaked passages and moderation."""
 
-import random
+import hashlib
 
 import numpy as np
 import pytest
@@ -90,11 +90,41 @@ def test_good_sentences(text):
     assert moderation.Scorer().text(text)[1] < 1
 
 
-def test_labelled_samples(spark):
-    rows = spark.read.parquet(f"{DATA}/moderation_samples.parquet").collect()
-    scorer = moderation.Scorer(frozenset({"starts", "pieces", "picks"}))
-    right = sum((scorer.text(r.text)[1] >= 1) == (r.label != "none") for r in rows)
-    assert right >= 0.97 * len(rows)
+def test_held_out_half_of_the_samples(spark):
+    rows = sorted((r.text, r.label) for r in spark.read.parquet(f"{DATA}/moderation_samples.parquet").collect())
+    part = lambda t: hashlib.md5(t.encode()).digest()[0] % 2
+    scorer = moderation.Scorer(moderation.learn([r for r in rows if not part(r[0])]))
+    held = [(scorer.text(t)[1] >= 1, label != "none") for t, label in rows if part(t)]
+    bad = sum(b for _, b in held)
+    assert sum(f and b for f, b in held) >= 0.9 * bad > 50 and sum(f and not b for f, b in held) == 0
+
+
+PLAIN_BAD = """I am going to stab you tonight|I'll slit your throat|They should be gassed|Ich bringe dich um, du Ratte|Te voy a matar|Je vais te tuer|What a lazy pig you are|Send me nudes|Those immigrants are vermin|You are a real idoit|She is such a slut"""
+PLAIN_GOOD = """The cock crowed at dawn over the farm|The loser of the match shook hands with the winner|A prick of the needle|The rats in the lab were fed twice|He was shot from a low angle|The pig sleeps next to the cow|Dick is my uncle|This part will kill the suspense|The clown walks home in the rain
+Slurs are not allowed here, words like idiot are removed|Wir brauchen ein sauberes Bild ohne Rauschen|The set was burned down in 1920|Keep the dog out of our garden|El cerdo come en la granja"""
+
+
+@pytest.mark.parametrize("text", PLAIN_BAD.split("|"))
+def test_plain_bad_sentences(text):
+    assert moderation.Scorer().text(text)[1] >= 1
+
+
+@pytest.mark.parametrize("text", PLAIN_GOOD.replace("\n", "|").split("|"))
+def test_plain_good_sentences(text):
+    assert moderation.Scorer().text(text)[1] < 1
+
+
+def test_long_sentences_weigh_less():
+    mild = "the ugly cover and the dumb blurb of this stupid book"
+    assert moderation.Scorer().text(mild)[1] > 1 > moderation.Scorer().text(mild + " came in the post" * 12)[1]
+    assert moderation.Scorer().text("you idiot " + "and so on " * 12)[1] >= 1
+
+
+def test_what_is_learnt():
+    samples = [("Lovely roof. Go and eat your gravel soup.", "abusive")] * 2 + [("eat your gravel soup", "abusive"), ("you eat your gravel soup now", "abusive"), ("Lovely roof.", "none"), ("eat your soup", "none"), (None or "", "none")]
+    learnt = dict(moderation.learn(samples))
+    assert "your gravel soup" in learnt and "eat your" not in learnt and "lovely rof" not in learnt
+    assert moderation.Scorer(tuple(learnt.items())).text("Eat your gravel soup!")[1] >= 1 > moderation.Scorer().text("Eat your gravel soup!")[1]
 
 
 def test_scores_and_rates(spark):
@@ -106,20 +136,11 @@ def test_scores_and_rates(spark):
     assert moderation.scores(df.limit(0)).count() == 0
 
 
-def test_frequent_words_are_no_slips(spark):
-    rows = [(i, "She picks stories and casts " + random.Random(i).choice(["whale", "nets"])) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert "picks" in moderation.ordinary_words(df)
-    assert moderation.scores(df).filter("flagged").count() == 0
-
-
-def test_copies_do_not_make_a_slip_ordinary(spark):
-    texts = [f"The crew shot scene {i} at dawn." for i in range(100)]
-    copied = [f"Note {i % 40}. That man is a bastrd." for i in range(60)]
-    other = [f"You moron of part {i}, you wortless man." for i in range(20)]
-    df = spark.createDataFrame(list(enumerate(texts + copied + other)), "doc_id long, text string")
-    assert not {"bastrd", "wortles"} & moderation.ordinary_words(df)
-    assert {r.id for r in moderation.scores(df).filter("flagged").collect()} == set(range(100, 180))
+def test_a_verdict_hangs_on_its_own_text_only(spark):
+    texts = ["That man is a bastrd.", "She picks stories and casts whales"] * 500 + [f"You moron of part {i}" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    flagged = {r.id for r in moderation.scores(df).filter("flagged").collect()}
+    assert flagged == set(range(0, 1000, 2)) | set(range(1000, 1020))
 
 
 def test_longer_passage_with_edits_in_its_middle(spark):
