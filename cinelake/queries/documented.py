@@ -187,7 +187,7 @@ def q25_similar_pairs(lib):
     from cinelake.operators.vectors import top_k
 
     e = lib.raw("embeddings").withColumnRenamed("vec_id", "id")
-    found = top_k(e, e, None, 0.3).filter("query_id < match_id")
+    found = top_k(e, e, 100, 0.3, 64, later_only=True)
     return found.orderBy(F.desc("similarity"), "query_id", "match_id").limit(100).select(F.col("query_id").alias("a"), F.col("match_id").alias("b"), "similarity")
 
 
@@ -202,5 +202,5 @@ def q26_rematch(lib):
     refs = lib.raw("creator_face_embeddings")
     refs = refs.join(F.broadcast(refs.agg(F.min("creator_id").alias("creator_id"))), "creator_id").filter(usable)
     pending = lib.raw("video_face_detections").filter(F.lower(F.trim("match_status")) == "pending").filter(usable)
-    found = top_k(pending, refs, 1, 0.5).select("query_id", "similarity").distinct()
+    found = top_k(pending, refs, 1, 0.5, 64).select("query_id", "similarity").distinct()
     return found.select(F.col("query_id").alias("id"), "similarity", F.when(F.col("similarity") >= 0.75, "confirmed").otherwise("pending").alias("match_status"))

@@ -172,15 +172,15 @@ def u_fingerprints(lib):
     return lib.rows("videos", "file_name", "file_size_bytes").select("id", F.md5(F.concat("file_name", F.lit("|"), "file_size_bytes")).alias("fingerprint"))
 
 
-_V = """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 <> 0), r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 = 0),
-s AS (SELECT q.vec_id AS query_id, r.vec_id AS match_id, r.label, round(list_cosine_similarity(q.e, r.e), 6) AS similarity FROM q, r),
-t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, match_id) AS INTEGER) AS rank FROM s WHERE similarity >= 0.3e0)
+_USABLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_V = f"""WITH q AS (SELECT DISTINCT id, video_id, embedding::DOUBLE[] AS e FROM video_face_detections WHERE {_USABLE}), r AS (SELECT DISTINCT id, creator_id, embedding::DOUBLE[] AS e FROM creator_face_embeddings WHERE {_USABLE}),
+s AS (SELECT q.id AS query_id, q.video_id, r.id AS match_id, r.creator_id, round(list_cosine_similarity(q.e, r.e), 6) AS similarity FROM q, r),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, match_id) AS INTEGER) AS rank FROM s WHERE similarity >= 0.65e0)
 """
 
 
-def _vectors(lib):
-    e = lib.raw("embeddings").withColumnRenamed("vec_id", "id")
-    return e.filter("id % 5 <> 0"), e.filter("id % 5 = 0")
+def _faces(lib):
+    return lib.raw("video_face_detections").select("id", "video_id", "embedding"), lib.raw("creator_face_embeddings").select("id", "creator_id", "embedding")
 
 
 @_query("""WITH p AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7) SELECT vec_id AS id, round(list_cosine_similarity(x.embedding::DOUBLE[], p.e), 6) AS similarity FROM embeddings x, p WHERE vec_id <> 7 ORDER BY 2 DESC, 1 LIMIT 10""")
@@ -193,14 +193,14 @@ def v2_probe(lib):
 
 @_query(_V + "SELECT query_id, match_id, similarity, rank FROM t WHERE rank <= 3")
 def v3_top_matches(lib):
-    return vectors.top_k(*_vectors(lib), 3, 0.3)
+    return vectors.top_k(*_faces(lib), 3, 0.65, 64)
 
 
-@_query(_V + "SELECT query_id % 40 AS video_id, label AS creator_id, count(*) AS detections, max(similarity) AS best, CASE WHEN max(similarity) >= 0.4e0 THEN 'tag' ELSE 'pending' END AS decision FROM t WHERE rank = 1 GROUP BY 1, 2")
+@_query(_V + "SELECT video_id, creator_id, count(*) AS detections, max(similarity) AS best, CASE WHEN max(similarity) >= 0.75e0 THEN 'tag' ELSE 'pending' END AS decision FROM t WHERE rank = 1 GROUP BY 1, 2")
 def pipe8_match_videos(lib):
-    q, c = _vectors(lib)
-    found = vectors.top_k(q, c, 1, 0.3).join(c.select(F.col("id").alias("match_id"), F.col("label").alias("creator_id")), "match_id")
-    return vectors.decide(found, q.select(F.col("id").alias("query_id"), (F.col("id") % 40).alias("video_id")), "creator_id", "video_id", 0.4)
+    q, c = _faces(lib)
+    found = vectors.top_k(q, c, 1, 0.65, 64).join(c.select(F.col("id").alias("match_id"), "creator_id").distinct(), "match_id")
+    return vectors.decide(found, q.select(F.col("id").alias("query_id"), "video_id").distinct(), "creator_id", "video_id", 0.75)
 
 
 @_query("""WITH l AS (SELECT file_path, file_size_bytes + CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END AS s FROM v_videos WHERE id % 11 <> 0 UNION ALL SELECT file_path || '.new', 1 FROM v_videos WHERE id % 50 = 0)
