@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from cinelake.llm.vectors import DIM, matrix, raw, sized, unit64
 from cinelake.plans.layout import spread
+from cinelake.plans.parts import load, store
+from cinelake.plans.scratch import checkpoint
 
 PROJECTIONS, COLLISIONS = 24, 16
 #: Window half-widths over the search radius: at 1.3 a vector right at the radius collides with a probability of 0.81.
@@ -32,12 +34,10 @@ WIDTH = 1.3
 RADII = (0.7, 1.0)
 #: Vectors of one index block; its bitmaps take about 6 MB.
 BLOCK = 16_384
-#: Most vectors sent to all executors at once (64 x 4 bytes each); more are served in several passes.
-BROADCAST_ROWS = 131_072
+#: Vectors of one part of the collection, about; its index takes some 100 MB of a task.
+PART_ROWS = 131_072
 GRID = 128
 QUERIES = 128
-#: A radius at which less than this part of the queries of the first PROBED groups is done is left out for later groups.
-WORTH, PROBED = 1 / 3, 4
 
 
 class CollisionIndex:
@@ -126,12 +126,11 @@ def search(indexes: list[CollisionIndex], exact: list[np.ndarray], queries: np.n
     """(query row, id, similarity) of the up to ``k`` most similar vectors with at least ``least``."""
     radius = float(np.sqrt(2 - 2 * least))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    tried, done = dict.fromkeys(RADII, 0), dict.fromkeys(RADII, 0)
+    if not indexes:
+        queries = queries[:0]
     for start in range(0, len(queries), QUERIES):
         left = np.arange(start, min(start + QUERIES, len(queries)))
         for part in RADII:
-            if part != RADII[-1] and tried[part] >= PROBED * QUERIES and done[part] < WORTH * tried[part]:
-                continue  # as many queries as here would have to widen their windows anyway
             found_q, found_id, found_s = [], [], []
             for index, vectors64 in zip(indexes, exact):
                 q, v = index.candidates(queries[left], WIDTH * radius * part, COLLISIONS)
@@ -144,8 +143,6 @@ def search(indexes: list[CollisionIndex], exact: list[np.ndarray], queries: np.n
             if part != RADII[-1]:
                 inside = 1 - (radius * part) ** 2 / 2
                 full = np.bincount(np.searchsorted(left, q[s > inside]), minlength=len(left)) >= k
-                tried[part] += len(left)
-                done[part] += int(full.sum())
                 out.append(tuple(x[full[np.searchsorted(left, q)]] for x in (q, i, s)))
                 left = left[~full]
             else:
@@ -169,47 +166,45 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int = 3, least: float
     (null, other lengths, nulls or non-finite values inside, all zero) on either side take no part; null ids
     neither; an empty side gives no rows.
 
-    The collection reaches the executors in passes of at most ``BROADCAST_ROWS`` vectors, so the size sent at once
-    is bounded; queries are never shuffled by key. A search returns all pairs over the limit but for misses of the
-    collision count (measured recall over 0.99 at 0.85).
+    The collection is cut by a hash of its ids into parts of about ``PART_ROWS``; the index of every part is built once, by
+    a task, and kept in the shared folder. A task holds the index of one part at a time and answers all its queries from it,
+    so nothing is broadcast, and neither the driver nor a task ever holds the collection. Queries are read once for every
+    part and never shuffled by key; where their files give few partitions they are spread over more. A search returns all
+    pairs over the limit but for misses of the collision count (measured recall over 0.99 at 0.85). Whatever shares a
+    partition with a query, its rows are the same.
     """
     q = spread(sized(queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(column).alias("v")), "v", dim).filter("query_id is not null"))
-    c = sized(collection.select(F.col(collection_id).cast("long").alias("neighbour_id"), F.col(column).alias("v")), "v", dim).filter("neighbour_id is not null")
-    spark, passes = q.sparkSession, max(1, -(-c.count() // BROADCAST_ROWS))
+    c = sized(collection.select(F.col(collection_id).cast("long").alias("neighbour_id"), F.col(column).alias("v")), "v", dim).filter("neighbour_id is not null").distinct()
     axes = directions(dim)
-    schema = "query_id long, neighbour_id long, similarity double, rank int"
 
-    def one(part: int) -> DataFrame:
-        rows = c.filter(F.pmod(F.xxhash64("neighbour_id"), F.lit(passes)) == part).toArrow()
-        ids = rows["neighbour_id"].to_numpy()
-        lists = rows["v"].combine_chunks()
+    def make(table: pa.Table) -> tuple[list[CollisionIndex], list[np.ndarray]]:
+        ids, lists = table["neighbour_id"].to_numpy(), table["v"].combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        unit, good = matrix(lists, dim) if len(ids) else (np.zeros((0, dim), np.float32), np.zeros(0, int))
-        stored = raw(lists, good, dim).astype(np.float32) if len(good) else unit
-        _, once = np.unique(np.concatenate([ids[good, None].view(np.int32), np.ascontiguousarray(stored).view(np.int32)], axis=1), axis=0, return_index=True)
-        sent = spark.sparkContext.broadcast((ids[good][once], stored[once]))  # repeated rows go, lest they fill a query's places
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            all_ids, stored = sent.value
-            indexes, exact = [], []
-            for at in range(0, len(all_ids), BLOCK):
-                exact.append(unit64(stored[at : at + BLOCK]))
-                indexes.append(CollisionIndex(all_ids[at : at + BLOCK], exact[-1].astype(np.float32), axes))
-            for batch in batches:
-                if not indexes or not batch.num_rows:
-                    continue
-                unit, good = matrix(batch.column(1), dim)
-                if not len(good):
-                    continue
-                row, found, similarity = search(indexes, exact, unit, unit64(raw(batch.column(1), good, dim)), k, least)
-                rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
-                ids = batch.column(0).to_numpy()[good][row]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), pa.array(similarity), pa.array(rank, pa.int32())], ["query_id", "neighbour_id", "similarity", "rank"])
-
-        return q.mapInArrow(run, schema)
-
-    found = reduce(DataFrame.unionByName, map(one, range(passes))).distinct()
-    if passes > 1:
+        _, good = matrix(lists, dim)
+        good = good[np.argsort(ids[good], kind="stable")]
+        ids, stored = ids[good], raw(lists, good, dim).astype(np.float32)
+        exact = [unit64(stored[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
+        return [CollisionIndex(ids[n * BLOCK : n * BLOCK + len(x)], x.astype(np.float32), axes) for n, x in enumerate(exact)], exact
+
+    folder, parts = store(checkpoint(c), "neighbour_id", PART_ROWS, make)
+    schema = "query_id long, neighbour_id long, similarity double, rank int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = load(folder, batch.column(2)[0].as_py()) if batch.num_rows else None
+            if held is None:
+                continue
+            unit, good = matrix(batch.column(1), dim)
+            if not len(good):
+                continue
+            row, found, similarity = search(*held, unit, unit64(raw(batch.column(1), good, dim)), k, least)
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            ids = batch.column(0).to_numpy()[good][row]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), pa.array(similarity), pa.array(rank, pa.int32())], ["query_id", "neighbour_id", "similarity", "rank"])
+
+    # one scan for every part; a task has one part only
+    found = reduce(DataFrame.unionByName, (q.withColumn("part", F.lit(p)).mapInArrow(run, schema) for p in range(parts))).distinct()
+    if parts > 1:
         best = W.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
         found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found

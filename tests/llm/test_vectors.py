@@ -43,7 +43,7 @@ def test_nearest_in_several_passes_and_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = faces(rng, 40, 10)
     rows = list(enumerate(x))
-    monkeypatch.setattr(neighbours, "BROADCAST_ROWS", 150)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 150)
     monkeypatch.setattr(neighbours, "BLOCK", 64)
     got = neighbours.nearest(frame(spark, rows[:100]), frame(spark, rows)).collect()
     want = brute_top(rows[:100], rows, 3, 0.85)
