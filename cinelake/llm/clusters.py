@@ -20,7 +20,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cinelake.llm.components import components
-from cinelake.llm.vectors import DIM, matrix, raw, sized
+from cinelake.llm.vectors import DIM, matrix, raw, sized, unit64
+from cinelake.plans.scratch import checkpoint
+from cinelake.plans.skew import salted_join
 
 BUCKETS = 4096
 #: Rows aimed at in a cell, and rows beyond which a cell is split into blocks.
@@ -28,8 +30,11 @@ CELL, SPLIT = 512, 6_000
 #: A vector takes part in this many nearest cells, and in up to so many that are hardly farther than the nearest: a vector
 #: near its centroid finds its like there, one far from all centroids needs more cells.
 COPIES, MOST_COPIES, HARDLY = 2, 6, 0.1
-#: Tasks that links between equal vectors are spread over; they need no comparing, and one vector may have very many.
-REPEATS = 256
+#: Units that links between equal vectors are spread over, one for so many rows and at least so many; they need no comparing,
+#: and one vector may have very many.
+REPEAT_ROWS, LEAST_REPEATS = 20_000, 256
+#: A unit of work is a cell, or a pair of its blocks: bits of a block's number in the unit's key.
+BLOCK_BITS = 20
 #: Bounds of the fit: cells (a broadcast of at most 8 MB) and rows of the sample that centroids are fitted on.
 MOST_CELLS, SAMPLE_PER_CELL, MOST_SAMPLE = 32_768, 48, 262_144
 ROUNDS = 3
@@ -158,6 +163,14 @@ def fit_cells(rows: DataFrame, n: int, dim: int, axes: np.ndarray) -> tuple[np.n
     return centres[kept], size * (n / max(1.0, size.sum()))
 
 
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """Ids spread evenly over 64 bits."""
+    x = ids.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
 def _local(vectors: np.ndarray, least: float) -> np.ndarray:
     """The smallest row of the component of every row; memory stays bounded however many pairs are alike."""
     n = len(vectors)
@@ -196,7 +209,8 @@ def links(rows: DataFrame, least: float = 0.85, dim: int = DIM) -> DataFrame:
     n = rows.agg(F.approx_count_distinct(F.xxhash64("v"), 0.02)).first()[0]
     axes = feature_axes([f"v{j}" for j in range(dim)])
     centres, size = fit_cells(rows, n, dim, axes)
-    blocks = np.minimum(1000, np.maximum(1, np.ceil(size / SPLIT))).astype(np.int64)
+    blocks = np.minimum((1 << BLOCK_BITS) - 1, np.maximum(1, np.ceil(size / SPLIT))).astype(np.int64)
+    repeats = max(LEAST_REPEATS, rows.count() // REPEAT_ROWS)
     sent = rows.sparkSession.sparkContext.broadcast((centres, blocks))
 
     def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,15 +258,11 @@ def links(rows: DataFrame, least: float = 0.85, dim: int = DIM) -> DataFrame:
                 taken = (near >= near[:, :1] - HARDLY) | (np.arange(top) < COPIES)
                 who, cell = here[np.nonzero(taken)[0]], cells[taken].astype(np.int64)
                 many = blocks[cell]
-                split = np.flatnonzero(many > 1)
-                keys, rows_ = [cell[many == 1] * 1_000_000], [who[many == 1]]
-                for i in split:
-                    mine = xxhash.xxh64_intdigest(int(ids[who[i]]).to_bytes(8, "little", signed=True)) % int(many[i])
-                    other = np.arange(many[i])
-                    keys.append(cell[i] * 1_000_000 + np.minimum(mine, other) * 1000 + np.maximum(mine, other))
-                    rows_.append(np.full(len(other), who[i]))
-                key, who = np.concatenate(keys), np.concatenate(rows_)
-            key = np.concatenate([key, -1 - ids[again] % REPEATS]).astype(np.int64)
+                mine = (_mixed(ids[who]) % many.astype(np.uint64)).astype(np.int64)  # the block of a row in its cell; it meets each of the cell's blocks
+                other = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                mine, cell, who = np.repeat(mine, many), np.repeat(cell, many), np.repeat(who, many)
+                key = (cell << (2 * BLOCK_BITS)) + (np.minimum(mine, other) << BLOCK_BITS) + np.maximum(mine, other)
+            key = np.concatenate([key, -1 - ids[again] % repeats]).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int64()), pa.array(np.concatenate([ids[who], ids[again]])), pa.array([None] * len(who) + [same_as[i] for i in again], pa.int64()), pa.concat_arrays([vectors.take(pa.array(who)), pa.nulls(len(again), pa.binary())])],
                 ["cell", "id", "same_as", "v"],
@@ -288,13 +298,44 @@ def groups(df: DataFrame, least: float = 0.85, smallest: int = 3, id: str = "id"
 def describe(df: DataFrame, members: DataFrame, typical: int = 3, id: str = "id", column: str = "embedding", dim: int = DIM) -> DataFrame:
     """(group_id, size, rank, member_id, similarity): the ``typical`` members nearest to each group's centroid.
 
-    Centroids are means of unit vectors, summed with map-side combination; ties go to the smaller id.
+    The centroid is the mean of the members' unit vectors; similarities are rounded to 6 decimals, ties go to the smaller id.
+    Of several vectors of one id the smallest counts. Sums and best members are formed batch by batch before they are brought
+    together by group, and very large groups are split where members meet their centroid, so no task holds a whole group.
     """
-    unit = F.expr("transform(v, x -> x / sqrt(aggregate(v, 0D, (s, y) -> s + double(y) * double(y))))")
-    rows = sized(df.select(F.col(id).cast("long").alias("member_id"), F.col(column).alias("v")), "v", dim).dropDuplicates(["member_id"])
-    rows = rows.join(members, "member_id").withColumn("v", unit)
-    sums = rows.groupBy("group_id").agg(*(F.sum(F.col("v")[j]).alias(f"s{j}") for j in range(dim)))
-    centre = sums.select("group_id", F.array(*(f"s{j}" for j in range(dim))).alias("c"))
-    near = F.expr("round(aggregate(zip_with(v, c, (x, y) -> x * y), 0D, (s, y) -> s + y) / sqrt(aggregate(c, 0D, (s, y) -> s + y * y)), 6)")
+    rows = sized(df.select(F.col(id).cast("long").alias("member_id"), F.col(column).alias("v")), "v", dim).join(members, "member_id")
+    rows = checkpoint(rows.groupBy("member_id").agg(F.min("v").alias("v"), F.first("group_id").alias("group_id"), F.first("size").alias("size")))
+    sums = [f"s{j}" for j in range(dim)]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = matrix(batch.column(1), dim)[1] if batch.num_rows else ()
+            if len(good):
+                unit = unit64(raw(batch.column(1), good, dim))
+                group = batch.column(0).to_numpy()[good]
+                order = np.argsort(group, kind="stable")
+                there, first = np.unique(group[order], return_index=True)
+                total = np.add.reduceat(unit[order], first, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(total[:, j]) for j in range(dim))], ["group_id", *sums])
+
+    part = rows.select("group_id", "v").mapInArrow(add, "group_id long, " + ", ".join(f"{s} double" for s in sums))
+    centre = part.groupBy("group_id").agg(*(F.sum(s).alias(s) for s in sums)).select("group_id", F.array(*sums).alias("c"))
+    counts = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    met = salted_join(rows, centre, ["group_id"], counts, F.col("member_id")).select("group_id", "size", "member_id", "v", "c")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = matrix(batch.column(3), dim)[1] if batch.num_rows else ()
+            if not len(good):
+                continue
+            unit = unit64(raw(batch.column(3), good, dim))
+            group, size, member = (batch.column(c).to_numpy()[good] for c in range(3))
+            c = batch.column(4).flatten().to_numpy().reshape(-1, dim)[good]
+            near = np.round(np.einsum("ij,ij->i", unit, c) / np.maximum(np.sqrt(np.einsum("ij,ij->i", c, c)), 1e-300), 6)
+            order = np.lexsort((member, -near, group))
+            group, size, member, near = group[order], size[order], member[order], near[order]
+            best = np.arange(len(group)) - np.searchsorted(group, group) < typical
+            yield pa.RecordBatch.from_arrays([pa.array(x[best]) for x in (group, size, member, near)], ["group_id", "size", "member_id", "similarity"])
+
+    some = met.mapInArrow(nearest, "group_id long, size long, member_id long, similarity double")
     best = W.partitionBy("group_id").orderBy(F.desc("similarity"), "member_id")
-    return rows.join(centre, "group_id").select("group_id", "size", "member_id", near.alias("similarity")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= typical).select("group_id", "size", "rank", "member_id", "similarity")
+    return some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= typical).select("group_id", "size", "rank", "member_id", "similarity")
