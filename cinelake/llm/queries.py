@@ -72,6 +72,12 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return p6_top(spark, directory).select("video_id", "detection_id")
 
 
+def p6_skips(spark: SparkSession, directory: str) -> DataFrame:
+    """Row groups read and passed over for the three best detections of every video."""
+    path = topn.cluster(table(spark, directory, "video_face_detections"), "video_id", "det_score", "id", "timestamp_seconds", 0.0, 1.0)
+    return topn.skips(spark, path, 3)
+
+
 def p8_passages(spark: SparkSession, directory: str) -> DataFrame:
     """Every passage of an evaluation item in a document, with its place in folded words and its score."""
     return leaks.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
@@ -123,7 +129,7 @@ def p10_rates(spark: SparkSession, directory: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_neighbours, p2_found, p2_pairs, p3_found, p3_groups, p4_found, p4_entities, p6_found, p6_top,
+    p1_found, p1_neighbours, p2_found, p2_pairs, p3_found, p3_groups, p4_found, p4_entities, p6_found, p6_top, p6_skips,
     p8_found, p8_passages, p8_spans, p9_selection, p9_report, p10_found, p10_scores, p10_rates,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

@@ -48,7 +48,7 @@ def top(rows, n):
 
 def test_top_n_with_a_hot_group(spark, monkeypatch):
     monkeypatch.setattr(topn, "GROUP_ROWS", 700)
-    monkeypatch.setattr(topn, "ROW_GROUP_BYTES", 4096)
+    monkeypatch.setattr(topn, "ROW_GROUP_ROWS", 200)
     rng = random.Random(2)
     rows = [(7 if k % 3 == 0 else rng.randrange(40), k, rng.choice([0.1, 0.5, 0.9, 0.99, rng.random()]), rng.choice([None, 1.0, 2.0])) for k in range(9000)]
     rows += rows[:50] + [(1, 99_001, float("nan"), 0.0), (1, 99_002, 1.5, 0.0), (1, 99_003, -0.1, 0.0), (None, 99_004, 0.5, 0.0), (1, None, 0.5, 0.0), (1, 99_005, None, 0.0), (1, 99_006, float("inf"), 0.0)]
@@ -58,6 +58,16 @@ def test_top_n_with_a_hot_group(spark, monkeypatch):
     assert topn.top_n(df.limit(0), 3, "grp", "sc", "id").count() == 0
 
 
+def test_row_groups_of_a_hot_group_are_passed_over(spark):
+    df = spark.range(60_000).selectExpr("case when id % 3 = 0 then 7L else id end as g", "id", "cast(xxhash64(id) % 1000 as double) / 1000 as sc").filter("sc >= 0")
+    path = topn.cluster(df, "g", "sc", "id")
+    got = topn.skips(spark, path, 3).first()
+    assert got.passed_over >= 2 and got.read + got.passed_over == topn.skips(spark, path, 10**9).first().read
+    want = {(r.group_id, r.item_id, r["rank"]) for r in topn.top_of(spark, path, 3).collect()}
+    assert want == top([(r.g, r.id, r.sc, None) for r in df.collect()], 3)
+    assert tuple(topn.skips(spark, topn.cluster(df.limit(0), "g", "sc", "id"), 3).first())[1] == 0
+
+
 def test_row_groups_are_passed_over(spark, tmp_path):
     path = str(tmp_path / "c")
     df = spark.range(200_000).selectExpr("5L as g", "double(id) / 200000 as score", "0D as tie", "id").coalesce(1).sortWithinPartitions("g", F.desc("score"))
