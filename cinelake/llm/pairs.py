@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cinelake.plans.skew import salted_join
+
 #: Items of a basket up to which it is one unit of work; larger baskets are cut into chunks of about half of it.
 CHUNK = 256
 
@@ -20,13 +22,14 @@ def together(df: DataFrame, basket: str, item: str, least: int = 1, chunk: int =
     with any item) and lift = n_both * baskets / (n_a * n_b), how many times the pair exceeds chance.
     Repeated rows count once; rows with a null basket or item take no part. No rows give no pairs.
 
-    Items in fewer than ``least`` baskets cannot reach it and are left out before pairs are made. No task ever
+    Items in fewer than ``least`` baskets cannot reach it and are left out before pairs are made; an item that very many
+    baskets have is split where its rows meet its count. No task ever
     holds more than two chunks of a basket, and pair counts are combined before they are shuffled.
     """
     rows = df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).filter("basket is not null and item is not null").distinct()
     baskets = rows.agg(F.countDistinct("basket").alias("baskets"))  # one row
     often = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    kept = rows.join(often.select("item"), "item", "left_semi")
+    kept = salted_join(rows, often.select("item"), ["item"], often, F.col("basket"))
     size = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     parts = F.when(F.col("size") <= chunk, 1).otherwise(F.ceil(F.col("size") * 2 / chunk)).cast("long")
     cut = kept.join(size, "basket").select("basket", "item", parts.alias("parts")).withColumn("mine", F.pmod(F.xxhash64("item"), F.col("parts")))
