@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("quality", "browsing", "statistics", "entities", "pipelines", "documented")
+_MODULES = ("quality", "browsing", "statistics", "entities", "pipelines", "documented", "editing")
 QUERIES: dict = {}
 SQL: dict = {}
 for _name in _MODULES:

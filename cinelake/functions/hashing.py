@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
@@ -25,3 +31,41 @@ def fingerprint(content: bytes) -> str:
 @pandas_udf(StringType())
 def fingerprints(content: pd.Series) -> pd.Series:
     return content.map(lambda c: None if c is None else fingerprint(bytes(c)))
+
+
+def _read(path: str, whole: bool) -> str:
+    where, inside = fs.FileSystem.from_uri(path)
+    with where.open_input_file(inside) as source:
+        size = source.size()
+        if whole:
+            h = xxhash.xxh3_128()
+            while part := source.read(SAMPLE):
+                h.update(part)
+            return h.hexdigest()
+        if size < LARGE:
+            return fingerprint(source.read())
+        h = xxhash.xxh3_128()
+        for at in (0, size // 2 - SAMPLE // 2, size - SAMPLE):
+            h.update(source.read_at(SAMPLE, at))
+        h.update(str(size).encode())
+        return h.hexdigest()
+
+
+def of_files(files: DataFrame, path: str = "path", whole: bool = False) -> DataFrame:
+    """(path, fingerprint) of the files named, read where they lie; of large ones only the three samples, or in pieces all of it if ``whole``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([_read(n, whole) for n in names], pa.string())], ["path", "fingerprint"])
+
+    return files.select(F.col(path).alias("path")).filter("path is not null").mapInArrow(run, "path string, fingerprint string")
+
+
+def same_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """(path, fingerprint) of files that are equal to another one: those with equal samples are read whole before they count as equal."""
+    partly = of_files(files, path)
+    meet = partly.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    full = of_files(partly.join(meet.select("fingerprint"), "fingerprint", "left_semi").select("path"), "path", whole=True)
+    equal = full.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return full.join(equal.select("fingerprint"), "fingerprint", "left_semi").select("path", "fingerprint")

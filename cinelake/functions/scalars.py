@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import astuple, dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: File extensions of videos, and their media types.
@@ -149,3 +151,58 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two numeric arrays of one length; null for a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+@dataclass(frozen=True)
+class Preset:
+    id: str
+    name: str
+    target_width: int | None
+    codec: str
+    quality: int
+    max_mbit: int | None
+    audio_kbit: int = 128
+    container: str = "mkv"
+
+
+#: The conversion presets, by width and codec; the quality of av1 differs at 1080p.
+_SIZES = (("1080p", "1080p", 1920), ("720p", "720p", 1280), ("original", "Original", None))
+_CODECS = (("h264", "H.264", "h264", 26), ("h265", "H.265/HEVC", "hevc", 28), ("av1", "AV1", "av1", 35))
+PRESETS = [
+    Preset(f"{size}_{short}", f"{label} {name}", width, f"{codec}_vaapi", 38 if (size, codec) == ("1080p", "av1") else quality, width and RATE_CAPS[codec][width])
+    for size, label, width in _SIZES
+    for short, name, codec, quality in _CODECS
+]
+
+
+def presets(spark: SparkSession) -> DataFrame:
+    """The presets as a table."""
+    return spark.createDataFrame([astuple(p) for p in PRESETS], "id string, name string, target_width int, codec string, quality int, max_mbit int, audio_kbit int, container string")
+
+
+def frame_times(duration: Column, interval: float) -> tuple[Column, Column]:
+    """The number of frames taken every ``interval`` seconds, and their seconds; none without a positive duration."""
+    n = F.ceil(F.greatest(duration, F.lit(0.0)) / interval).cast("long")
+    return n, F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: i * F.lit(float(interval)))).otherwise(F.array().cast("array<double>"))
+
+
+def seconds_left(spent_ms: Column, done: Column, whole: Column) -> Column:
+    """Whole seconds that the rest takes at the mean of what is done."""
+    return js_round(F.try_divide(spent_ms, done) * (whole - done) / 1000)
+
+
+def rising(rows: DataFrame, keys: list[str], order: list[str], value: str, step: float) -> DataFrame:
+    """The first row of every key, and those whose ``value`` is more than ``step`` above all before it."""
+    seen = F.max(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("_seen", seen).filter(F.col("_seen").isNull() | (F.col(value) > F.col("_seen") + step)).drop("_seen")
+
+
+def id_list(text: Column) -> Column:
+    """Whole numbers of a comma list, in order; parts that are none are left out."""
+    return F.array_compact(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x).try_cast("long")))
+
+
+def flag(text: Column, default: bool = False) -> Column:
+    """true and 1 as true, false and 0 as false, whatever the case; anything else is the default."""
+    t = F.lower(F.trim(text))
+    return F.when(t.isin("true", "1"), True).when(t.isin("false", "0"), False).otherwise(default)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -86,6 +87,76 @@ def append_items(items: DataFrame, new: DataFrame) -> DataFrame:
     return items.unionByName(fresh.select("playlist_id", "video_id", at.cast("int").alias("position")).select(items.columns))
 
 
+def reorder(items: DataFrame, positions: DataFrame) -> DataFrame:
+    """Playlist items with the positions given for (playlist_id, video_id); positions of items that are not there change nothing."""
+    new = positions.groupBy("playlist_id", "video_id").agg(F.max("position").alias("_to"))
+    return items.join(new, ["playlist_id", "video_id"], "left").withColumn("position", F.coalesce("_to", "position")).select(items.columns)
+
+
+def insert_new(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(``table`` with the rows of ``new`` whose keys it lacks, the rows of ``new`` in conflict with a key that is there)."""
+    known = table.select(*keys).distinct()
+    return insert_ignore(table, new, keys), new.join(known, list(keys), "left_semi")
+
+
+def delete_ids(table: DataFrame, key: str, ids: Sequence[int]) -> tuple[DataFrame, int]:
+    """(``table`` without the given ids, how many ids were asked for, there or not)."""
+    return delete(table, F.col(key).isin(*ids)), len(set(ids))
+
+
+@dataclass(frozen=True)
+class BulkActions:
+    """Ids to link with and to unlink from every chosen video, by kind of link."""
+
+    add: dict[str, Sequence[int]] = field(default_factory=dict)
+    remove: dict[str, Sequence[int]] = field(default_factory=dict)
+
+
+def bulk_counts(videos: DataFrame, links: dict[str, tuple[DataFrame, str]], actions: BulkActions) -> DataFrame:
+    """One row with KIND_added and KIND_removed: the links that really came and went, for all kinds of ``links``."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = []
+    for kind, (table, key) in links.items():
+        gone = remove_links(table, videos, "video_id", key, actions.remove[kind])[1] if actions.remove.get(kind) else table.limit(0)
+        parts += [count(add_links(table, videos, "video_id", key, actions.add[kind])[1] if actions.add.get(kind) else table.limit(0), f"{kind}_added"), count(gone, f"{kind}_removed")]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # one row each
+
+
+def bulk_attempts(videos: DataFrame, actions: BulkActions) -> DataFrame:
+    """The same columns counted by attempts: one for every chosen video and id asked for."""
+    n = videos.agg(F.count_distinct("video_id").alias("n"))
+    kinds = list(dict.fromkeys([*actions.add, *actions.remove]))
+    return n.select(*((F.col("n") * len(set(ids.get(k, ())))).alias(f"{k}_{what}") for k in kinds for what, ids in (("added", actions.add), ("removed", actions.remove))))
+
+
+def resolve(items: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """(``key``, entity_id, action) of imported items with an id or a name: update, create, or an unknown id.
+
+    An id counts before a name; of several entities of one name the one with the smallest id is meant. Items with neither
+    are new rows.
+    """
+    by_id = entities.select("id", F.col("id").alias("_by_id")).distinct()
+    by_name = entities.filter("name is not null").groupBy("name").agg(F.min("id").alias("_by_name"))
+    found = items.select(key, "id", F.when(F.col("id").isNull(), F.col("name")).alias("name")).join(by_id, "id", "left").join(by_name, "name", "left")
+    given = F.col("id").isNotNull()
+    action = F.when(given & F.col("_by_id").isNull(), "unknown id").when(given | F.col("_by_name").isNotNull(), "update").otherwise("create")
+    return found.select(key, F.when(given, F.col("_by_id")).otherwise(F.col("_by_name")).alias("entity_id"), action.alias("action"))
+
+
+def match_children(wanted: DataFrame, stored: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``wanted`` with its action: same (key and value are there), update (the key is there) or create."""
+    old = stored.groupBy(*keys).agg(F.collect_set(value).alias("_old"))
+    action = F.when(F.array_contains("_old", F.col(value)), "same").when(F.col("_old").isNotNull(), "update").otherwise("create")
+    return wanted.join(old, list(keys), "left").withColumn("action", action).drop("_old")
+
+
+def names_of(links: DataFrame, entities: DataFrame, row: str, key: str, label: str) -> DataFrame:
+    """(``row``, ``label``): the names of what each row is linked with, by name and id; lists are as long as a row has links."""
+    named = links.join(entities.select(F.col("id").cast("long").alias(key), "name"), key)
+    names = F.transform(F.sort_array(F.collect_list(F.struct("name", key))), lambda x: x["name"])
+    return named.groupBy(row).agg(F.array_join(names, ", ").alias(label))
+
+
 def retain(snapshots: DataFrame, at: str, now: Column, days: int, hourly_days: int | None = None) -> DataFrame:
     """Snapshots of the last ``days``; older than ``hourly_days`` only those of midnight."""
     kept = F.col(at) >= now - F.expr(f"INTERVAL '{days}' DAY")

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Path patterns in order of precedence with their confidence and the numbers of their groups.
+#: Path patterns with their confidence and the numbers of their groups. One more, of platform prefixes, is never
+#: valid there because it begins with an inline flag, and is left out.
 PATTERNS = [
     ("OnlyFans Creator Folder", r"/(?:onlyfans|OF)/([^/]+)/?", "high", {"creator": 1}),
     ("Fansly Creator Folder", r"/(?:fansly|FS)/([^/]+)/?", "high", {"creator": 1}),
     ("Creator Series Episode", r"/([^/]+)/([^/]+)/(?:[Ee]p?[-_]?(\d+)|(\d+))", "high", {"creator": 1, "series": 2, "episode": (3, 4)}),
     ("Creator Folder", r"/videos/([^/]+)/?", "high", {"creator": 1}),
     ("Studio Creator Folder", r"/([^/]+)/([^/]+)/?", "high", {"studio": 1, "creator": 2}),
-    ("Resolution Tag", r"(?:^|[_\-\s])(4K|1080p|720p|480p|360p)(?:[_\-\s]|$)", "medium", {}),
     ("Date Pattern", r"(\d{4})[-_](\d{2})[-_](\d{2})", "low", {}),
+    ("Resolution Tag", r"(?:^|[_\-\s])(4K|1080p|720p|480p|360p)(?:[_\-\s]|$)", "medium", {}),
 ]
 
 #: Sizes that resolution names stand for.
@@ -111,6 +113,11 @@ def matches(spark: SparkSession, path: Column, c: Condition, named_sizes: bool =
     return F.lit(False)
 
 
+def in_order(rules: list[Rule]) -> list[Rule]:
+    """Rules by priority, the highest first, then by name."""
+    return sorted(rules, key=lambda r: (-r.priority, r.name))
+
+
 def evaluate(videos: DataFrame, rules: list[Rule], named_sizes: bool = False) -> DataFrame:
     """(video_id, rule_id, matched, action, target) of every action of every enabled rule with any condition that holds.
 
@@ -118,7 +125,7 @@ def evaluate(videos: DataFrame, rules: list[Rule], named_sizes: bool = False) ->
     """
     spark = videos.sparkSession
     fired = []
-    for r in sorted((r for r in rules if r.enabled and r.conditions and r.actions), key=lambda r: (-r.priority, r.name)):
+    for r in in_order([r for r in rules if r.enabled and r.conditions and r.actions]):
         hits = F.array_compact(F.array(*(F.when(matches(spark, F.col("file_path"), c, named_sizes), f"{c.kind} {c.operator} {c.value}") for c in r.conditions)))
         actions = F.array(*(F.struct(F.lit(a).alias("action"), F.lit(t).alias("target")) for a, t in r.actions))
         fired.append(F.when(F.size(hits) > 0, F.struct(F.lit(r.id).cast("long").alias("rule_id"), F.array_join(hits, "; ").alias("matched"), actions.alias("actions"))))
@@ -126,3 +133,50 @@ def evaluate(videos: DataFrame, rules: list[Rule], named_sizes: bool = False) ->
         return videos.sparkSession.createDataFrame([], "video_id long, rule_id long, matched string, action string, target string")
     rows = videos.select(F.col("id").alias("video_id"), F.explode(F.array_compact(F.array(*fired))).alias("r"))
     return rows.select("video_id", "r.rule_id", "r.matched", F.explode("r.actions").alias("a")).select("video_id", "rule_id", "matched", "a.action", "a.target")
+
+
+#: Actions that automatic tagging takes.
+ADDITIONS = ("add_tag", "add_creator", "add_studio")
+
+
+def _fires(spark: SparkSession, path: Column, c: Condition) -> Column:
+    """Whether a condition holds for automatic tagging, which does not look at its operator."""
+    if c.kind != "resolution":
+        return matches(spark, path, Condition(c.kind, {"codec": "contains"}.get(c.kind, "matches"), c.value))
+    named = F.array_contains(F.split(parse(path)["tags"], ","), "4K") & F.lit(c.value.upper() == "4K")  # of the names in a path only this one is known
+    size = SIZES.get(c.value.upper())
+    if size is None:
+        return named
+    w, h = (F.regexp_extract(path, r"(?i)(\d{3,4})x(\d{3,4})", k).try_cast("int") for k in (1, 2))
+    return F.when(w.isNotNull(), (w == size[0]) & (h == size[1])).otherwise(named)
+
+
+def auto_tags(videos: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(video_id, rule_id, action, target) of automatic tagging: as ``evaluate``, but operators are ignored and only additions count.
+
+    A target $name of a creator or studio is the one found in the path, else the part of that name; without one nothing is added.
+    """
+    spark, found = videos.sparkSession, parse(F.col("file_path"))
+    fired = []
+    for r in in_order([r for r in rules if r.enabled and r.conditions]):
+        hit = reduce(Column.__or__, (_fires(spark, F.col("file_path"), c) for c in r.conditions))
+        for action, target in r.actions:
+            if action not in ADDITIONS:
+                continue
+            value = F.lit(target)
+            if target.startswith("$"):
+                own = {"add_creator": "creator", "add_studio": "studio"}.get(action)
+                named = [found[k] for k in (own, target[1:]) if k in found]
+                value = F.coalesce(*named) if named else F.lit(None).cast("string")
+            fired.append(F.when(hit & value.isNotNull(), F.struct(F.lit(r.id).cast("long").alias("rule_id"), F.lit(action).alias("action"), value.alias("target"))))
+    if not fired:
+        return spark.createDataFrame([], "video_id long, rule_id long, action string, target string")
+    return videos.select(F.col("id").alias("video_id"), F.explode(F.array_compact(F.array(*fired))).alias("r")).select("video_id", "r.rule_id", "r.action", "r.target")
+
+
+def applied(fired: DataFrame, video_tags: DataFrame) -> DataFrame:
+    """(rule_id, matched, applied): videos matched by each rule, and the tag links that applying it adds."""
+    tags = fired.filter("action = 'add_tag'").select("video_id", "rule_id", F.col("target").try_cast("long").alias("tag_id"))
+    fresh = tags.filter("tag_id is not null").distinct().join(video_tags, ["video_id", "tag_id"], "left_anti").groupBy("rule_id").agg(F.count(F.lit(1)).alias("applied"))
+    matched = fired.groupBy("rule_id").agg(F.count_distinct("video_id").alias("matched"))
+    return matched.join(fresh, "rule_id", "left").select("rule_id", "matched", F.coalesce("applied", F.lit(0)).alias("applied"))

@@ -43,6 +43,9 @@ for _name, _f, _where in (
     ("f13_thumbnail", VideoFilter(has_thumbnail=False), "is_available AND NOT " + _EXISTS.format("v_thumbnails", "")),
     ("j2_any_tag", VideoFilter(tag_ids=(5, 12, 40, 77)), "is_available AND " + _EXISTS.format("v_video_tags", " AND x.tag_id IN (5, 12, 40, 77)")),
     ("j3_all_tags", VideoFilter(tag_ids=(1, 2), creator_ids=(), match_all=True), "is_available AND (SELECT count(DISTINCT tag_id) FROM v_video_tags x WHERE x.video_id = v.id AND x.tag_id IN (1, 2)) = 2"),
+    ("j3_all_tags_of_two", VideoFilter(tag_ids=(3, 83), match_all=True, include_hidden=True), "(SELECT count(DISTINCT tag_id) FROM v_video_tags x WHERE x.video_id = v.id AND x.tag_id IN (3, 83)) = 2"),
+    ("j3_all_creators", VideoFilter(creator_ids=(138, 214), match_all=True, include_hidden=True), "(SELECT count(DISTINCT creator_id) FROM v_video_creators x WHERE x.video_id = v.id AND x.creator_id IN (138, 214)) = 2"),
+    ("f13_with_thumbnail", VideoFilter(has_thumbnail=True), "is_available AND " + _EXISTS.format("v_thumbnails", "")),
     ("j3_all_facets", VideoFilter(creator_ids=(5,), studio_ids=(1, 2), match_all=True, include_hidden=True), "(SELECT count(DISTINCT creator_id) FROM v_video_creators x WHERE x.video_id = v.id AND x.creator_id IN (5)) = 1 AND (SELECT count(DISTINCT studio_id) FROM v_video_studios x WHERE x.video_id = v.id AND x.studio_id IN (1, 2)) = 2"),
 ):
     _filter(_name, _f, _where)

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 SECRET = {"users": ("password_hash",)}
+#: Tables in an order in which every reference is to a table before it.
+ORDER = (
+    "users", "watched_directories", "videos", "creators", "studios", "tags", "platforms", "playlists", "video_tags", "video_creators", "video_studios", "creator_studios", "creator_platforms", "social_links", "playlist_videos", "favorites", "bookmarks", "ratings",
+    "thumbnails", "storyboards", "video_stats", "conversion_jobs", "scan_logs", "tagging_rules", "triage_progress", "creator_face_embeddings", "video_face_detections",
+)
 
 
 def export(tables: dict[str, DataFrame], folder: str) -> None:
@@ -17,8 +22,15 @@ def export(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def load(spark: SparkSession, folder: str, schemas: dict[str, StructType]) -> dict[str, DataFrame]:
-    """Exported tables read with their schemas, never inferred."""
-    return {name: spark.read.schema(schema).json(f"{folder}/{name}") for name, schema in schemas.items()}
+    """Exported tables read with their schemas, never inferred, parents before children; flags written as 0 and 1 are read as such."""
+    place = {name: k for k, name in enumerate(ORDER)}
+    out = {}
+    for name, schema in sorted(schemas.items(), key=lambda x: (place.get(x[0], len(place)), x[0])):
+        flags = [f.name for f in schema.fields if isinstance(f.dataType, BooleanType)]
+        loose = StructType([StructField(f.name, StringType()) if f.name in flags else f for f in schema.fields])
+        rows = spark.read.schema(loose).json(f"{folder}/{name}")
+        out[name] = rows.withColumns({c: F.when(F.lower(c).isin("1", "true"), True).when(F.lower(c).isin("0", "false"), False) for c in flags}) if flags else rows
+    return out
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

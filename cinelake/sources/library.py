@@ -139,6 +139,19 @@ class Library:
         rows = self.raw("events").filter("event_type = 'click'")
         return rows.select(F.col("event_id").alias("id"), (F.col("event_id") % 800 + 1).alias("video_id"), "user_id", F.col("value").alias("timestamp_seconds"))
 
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self.raw("events").select(F.col("event_id").alias("id"), "user_id", (F.col("ts") + F.expr("INTERVAL '30' DAY")).alias("expires_at"))
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return self.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
+
+    @property
+    def links(self) -> dict[str, tuple[DataFrame, str]]:
+        """The link tables of videos and the key of the other side."""
+        return {"tags": (self.video_tags, "tag_id"), "creators": (self.video_creators, "creator_id"), "studios": (self.video_studios, "studio_id")}
+
     @cached_property
     def scan_logs(self) -> DataFrame:
         k = F.col("o_orderkey")

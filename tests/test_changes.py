@@ -144,3 +144,25 @@ def test_files(spark, tmp_path):
 def test_runnable(lib):
     assert exchange.runnable(lib.jobs, 3).count() == 3
     assert exchange.runnable(lib.jobs, 1, "batch_id").count() == lib.jobs.filter("status = 'pending'").select("batch_id").distinct().count()
+
+
+def test_flags_and_order_of_an_import(spark, tmp_path):
+    (tmp_path / "videos").mkdir()
+    (tmp_path / "videos" / "a.json").write_text('{"id":1,"is_available":1}\n{"id":2,"is_available":false}\n{"id":3}\n')
+    (tmp_path / "users").mkdir()
+    (tmp_path / "users" / "a.json").write_text('{"id":1}\n')
+    schemas = {"videos": spark.createDataFrame([], "id long, is_available boolean").schema, "users": spark.createDataFrame([], "id long").schema}
+    got = exchange.load(spark, str(tmp_path), schemas)
+    assert list(got) == ["users", "videos"] and [r.is_available for r in got["videos"].orderBy("id").collect()] == [True, False, None]
+
+
+def test_automatic_tags_ignore_operators(spark):
+    df = spark.createDataFrame([(1, "/videos/ann/x_4K_y.mp4"), (2, "/videos/bob/a1920x1080.mp4"), (3, "x.mp4")], "id long, file_path string")
+    rules = [Rule(1, "r", 1, (Condition("resolution", "not_equals", "4k"), Condition("resolution", "equals", "1080p")), (("add_creator", "$creator"), ("set_rating", "1"), ("add_tag", "9")))]
+    assert sorted(map(tuple, paths.auto_tags(df, rules).collect())) == [(1, 1, "add_creator", "ann"), (1, 1, "add_tag", "9"), (2, 1, "add_creator", "bob"), (2, 1, "add_tag", "9")]
+
+
+def test_resolve_and_match(spark):
+    known = spark.createDataFrame([(1, "a"), (2, "b"), (5, "b")], "id long, name string")
+    items = spark.createDataFrame([(1, 1, None), (2, 9, "a"), (3, None, "b"), (4, None, "c"), (5, None, None)], "item long, id long, name string")
+    assert {r.item: (r.entity_id, r.action) for r in M.resolve(items, known, "item").collect()} == {1: (1, "update"), 2: (None, "unknown id"), 3: (2, "update"), 4: (None, "create"), 5: (None, "create")}

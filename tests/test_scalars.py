@@ -81,3 +81,25 @@ def test_fingerprints(spark):
     assert hashing.fingerprint(big) != hashing.fingerprint(big + b"x")
     df = spark.createDataFrame([(bytearray(b"abc"),), (None,)], "c binary")
     assert [r.h for r in df.select(hashing.fingerprints("c").alias("h")).collect()] == [small, None]
+
+
+def test_files_with_equal_samples_are_read_whole(spark, tmp_path):
+    big = bytearray(bytes(range(256)) * 60_000)  # 15 MB: more than the three samples
+    (tmp_path / "a.bin").write_bytes(big)
+    (tmp_path / "b.bin").write_bytes(big)
+    big[5 << 20] ^= 1  # between the samples
+    (tmp_path / "c.bin").write_bytes(big)
+    (tmp_path / "d.bin").write_bytes(b"abc")
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path")
+    part = {r.path[-5]: r.fingerprint for r in hashing.of_files(files).collect()}
+    assert part["a"] == part["b"] == part["c"] == hashing.fingerprint(bytes(big)) and part["d"] == hashing.fingerprint(b"abc")
+    assert sorted(r.path[-5] for r in hashing.same_files(files).collect()) == ["a", "b"]
+
+
+def test_lists_flags_and_frames(spark):
+    assert value(spark, X.id_list(F.lit("3, x,12,,7 "))) == [3, 12, 7] and value(spark, X.id_list(F.lit(None).cast("string"))) == []
+    assert [value(spark, X.flag(F.lit(t))) for t in ("TRUE", "1", "0", "no", " false ")] == [True, True, False, False, False]
+    n, times = X.frame_times(F.lit(65.0), 30)
+    assert (value(spark, n), value(spark, times)) == (3, [0.0, 30.0, 60.0])
+    assert value(spark, X.frame_times(F.lit(None).cast("double"), 30)[1]) == [] and value(spark, X.seconds_left(F.lit(9000.0), F.lit(3), F.lit(10))) == 21
+    assert len(X.PRESETS) == 9 and {p.max_mbit for p in X.PRESETS} == {20, 15, 6, 10, 8, 4, None}

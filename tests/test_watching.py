@@ -56,3 +56,17 @@ def test_gap_is_strict_and_bad_events_are_left_out(spark):
     got = plays(df, F.lit(60.0), 30).first()
     assert (got.play_count, got.total_watch_seconds, got.session_watch_seconds) == (1, 65.0, 5.0)
     assert plays(df.limit(0), F.lit(60.0), 30).count() == 0
+
+
+def test_feed_sends_public_changes_to_all(spark, tmp_path):
+    from cinelake.streaming.feed import Receiver, broadcast, to_table
+
+    df = spark.createDataFrame([(1, True), (2, False), (3, None)], "id long, public boolean")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    numbers: list[int] = []
+    receivers = [Receiver(to_table(str(tmp_path / "all"))), Receiver(to_table(str(tmp_path / "known")), authenticated=True), Receiver(lambda batch, number: numbers.append(number))]
+    q = broadcast(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), receivers, str(tmp_path / "state"))
+    q.awaitTermination(120)
+    assert q.exception() is None and numbers == [0]
+    ids = lambda name: sorted(r.id for r in spark.read.parquet(str(tmp_path / name)).collect())
+    assert ids("all") == [1] and ids("known") == [1, 2, 3]
