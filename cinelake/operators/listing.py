@@ -55,10 +55,20 @@ def neighbour(videos: DataFrame, current: int | DataFrame, sort: str, descending
     return first.crossJoin(F.broadcast(counts)).select("id", "has_wrapped", F.greatest(F.col("remaining") - 1, F.lit(0)).alias("remaining"), "total")
 
 
-def neighbours_of_all(videos: DataFrame, bucket: Column, sort: str) -> DataFrame:
-    """(id, previous_id, next_id) of every row within its bucket, ascending; windows never span the whole table."""
-    w = W.partitionBy(bucket).orderBy(F.col(sort).asc_nulls_last(), F.col("id"))
-    return videos.select("id", F.lag("id").over(w).alias("previous_id"), F.lead("id").over(w).alias("next_id"))
+def neighbours_of_all(videos: DataFrame, bucket: Column, sort: str, chunk: Column) -> DataFrame:
+    """(id, previous_id, next_id) of every row within its bucket, ascending by ``sort``, nulls last, then by id.
+
+    ``chunk`` cuts a bucket along its order (a month of ``sort``, say; null exactly where ``sort`` is): rows are sorted chunk by
+    chunk, so a very large bucket is not one task, and the ends of neighbouring chunks are joined up.
+    """
+    rows = videos.select("id", bucket.alias("bucket"), chunk.alias("chunk"), F.col(sort).alias("at"))
+    inside = W.partitionBy("bucket", "chunk").orderBy(F.col("at").asc_nulls_last(), F.col("id"))
+    marked = rows.withColumn("previous_id", F.lag("id").over(inside)).withColumn("next_id", F.lead("id").over(inside))
+    ends = rows.groupBy("bucket", "chunk").agg(F.min_by("id", F.struct("at", "id")).alias("first"), F.max_by("id", F.struct("at", "id")).alias("last"))
+    along = W.partitionBy("bucket").orderBy(F.col("chunk").asc_nulls_last())
+    ends = ends.select(F.col("bucket").alias("b"), F.col("chunk").alias("c"), F.lag("last").over(along).alias("before"), F.lead("first").over(along).alias("after"))
+    met = marked.join(ends, F.col("bucket").eqNullSafe(F.col("b")) & F.col("chunk").eqNullSafe(F.col("c")))
+    return met.select("id", F.coalesce("previous_id", "before").alias("previous_id"), F.coalesce("next_id", "after").alias("next_id"))
 
 
 def autocomplete(df: DataFrame, text: str, limit: int = 10, ignore_case: bool = True) -> DataFrame:

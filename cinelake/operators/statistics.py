@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinelake.functions.scalars import js_round, ladder, percent, resolution_class
+from cinelake.plans.skew import salted_join
 from cinelake.sources.library import Library, as_of
 
 
@@ -57,18 +58,30 @@ def by_directory(directories: DataFrame, videos: DataFrame) -> DataFrame:
     return directories.select("id", "path").join(sums, "id", "left").select("id", "path", zero("videos"), zero("bytes"), zero("available"))
 
 
+def _keyed(rows: DataFrame, key: Column, id: str, size: str, at: str) -> DataFrame:
+    return rows.filter(key.isNotNull() & (key != "")).select(key.alias("file_hash"), F.col(id).alias("id"), F.col(size).alias("size"), F.col(at).alias("at"))
+
+
 def duplicates(rows: DataFrame, key: Column, id: str, size: str, at: str) -> DataFrame:
-    """(file_hash, copies, bytes, members) of every non-empty key with more than one row; members by time and id."""
-    keyed = rows.filter(key.isNotNull() & (key != "")).select(key.alias("file_hash"), F.col(id).alias("id"), F.col(size).alias("size"), F.col(at).alias("at"))
-    groups = keyed.groupBy("file_hash").agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("bytes")).filter("copies > 1")
-    members = keyed.join(groups.select("file_hash"), "file_hash", "left_semi").groupBy("file_hash").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda m: m["id"].cast("string")), ",").alias("members"))
-    return groups.join(members, "file_hash")
+    """(file_hash, copies, bytes, first_id) of every non-empty key with more than one row; the first by time and id.
+
+    The members of a group may be any number; ``duplicate_members`` has a row for each.
+    """
+    groups = _keyed(rows, key, id, size, at).groupBy("file_hash")
+    return groups.agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("bytes"), F.min_by("id", F.struct("at", "id")).alias("first_id")).filter("copies > 1")
+
+
+def duplicate_members(rows: DataFrame, key: Column, id: str, size: str, at: str) -> DataFrame:
+    """(file_hash, id, first_id): every row whose key another row has too; a key of very many rows is split."""
+    keyed = _keyed(rows, key, id, size, at)
+    groups = duplicates(rows, key, id, size, at).select("file_hash", "first_id", F.col("copies").alias("n"))
+    return salted_join(keyed, groups.select("file_hash", "first_id"), ["file_hash"], groups, F.col("id")).select("file_hash", "id", "first_id")
 
 
 def suggestions(lib: Library, limit: int = 20, offset: int = 0, most: int = 200, inactive_days: int = 90, min_watch: float = 60.0) -> DataFrame:
     """Videos worth compressing: the largest available ones, scored on technique and use.
 
-    Takes the min(3 * limit, most) largest, as a top-k, then scores these only.
+    Fixed values: the points, thresholds and names of reasons and actions. Takes the min(3 * limit, most) largest, as a top-k, then scores these only.
     """
     use = lib.video_stats.groupBy("video_id").agg(F.sum("play_count").alias("plays"), F.sum("total_watch_seconds").alias("seconds"), F.max("last_played_at").alias("last"))
     large = lib.rows("videos", "codec", "file_size_bytes", "bitrate", "height", "fps", "is_available").filter("is_available").orderBy(F.desc("file_size_bytes"), "id").offset(offset).limit(min(3 * limit, most))

@@ -113,7 +113,7 @@ def t2_wraps(lib):
 
 @_query("SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM v_videos WINDOW w AS (PARTITION BY directory_id ORDER BY created_at, id)")
 def w6_neighbours(lib):
-    return listing.neighbours_of_all(lib.rows("videos", "directory_id", "created_at"), F.col("directory_id"), "created_at")
+    return listing.neighbours_of_all(lib.rows("videos", "directory_id", "created_at"), F.col("directory_id"), "created_at", F.date_trunc("month", "created_at"))
 
 
 @_query("SELECT id FROM v_videos v WHERE is_available AND NOT EXISTS (SELECT 1 FROM v_video_tags t WHERE t.video_id = v.id) ORDER BY created_at, id LIMIT 1000")

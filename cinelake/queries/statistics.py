@@ -117,12 +117,17 @@ def a17_ratings(lib):
     return lib.ratings.groupBy("video_id").agg(F.round(F.avg("rating"), 6).alias("mean"), F.count(F.lit(1)).alias("ratings"))
 
 
-@_query("SELECT file_hash, count(*) AS copies, CAST(sum(file_size_bytes) AS BIGINT) AS bytes, string_agg(id, ',' ORDER BY indexed_at, id) AS members FROM v_videos WHERE file_hash <> '' GROUP BY 1 HAVING count(*) > 1")
+@_query("SELECT file_hash, count(*) AS copies, CAST(sum(file_size_bytes) AS BIGINT) AS bytes, min_by(id, (indexed_at, id)) AS first_id FROM v_videos WHERE file_hash <> '' GROUP BY 1 HAVING count(*) > 1")
 def a18_duplicates(lib):
     return S.duplicates(lib.rows("videos", "file_hash", "file_size_bytes", "indexed_at"), F.col("file_hash"), "id", "file_size_bytes", "indexed_at")
 
 
-@_query("WITH d AS (SELECT doc_id, md5(text) AS h, n_chars, created_at FROM documents WHERE text <> '') SELECT h AS file_hash, count(*) AS copies, CAST(sum(n_chars) AS BIGINT) AS bytes, string_agg(doc_id, ',' ORDER BY created_at, doc_id) AS members FROM d GROUP BY 1 HAVING count(*) > 1")
+@_query("WITH g AS (SELECT file_hash, min_by(id, (indexed_at, id)) AS first_id FROM v_videos WHERE file_hash <> '' GROUP BY 1 HAVING count(*) > 1) SELECT v.file_hash, v.id, g.first_id FROM v_videos v JOIN g USING (file_hash)")
+def a18_members(lib):
+    return S.duplicate_members(lib.rows("videos", "file_hash", "file_size_bytes", "indexed_at"), F.col("file_hash"), "id", "file_size_bytes", "indexed_at")
+
+
+@_query("WITH d AS (SELECT doc_id, md5(text) AS h, n_chars, created_at FROM documents WHERE text <> '') SELECT h AS file_hash, count(*) AS copies, CAST(sum(n_chars) AS BIGINT) AS bytes, min_by(doc_id, (created_at, doc_id)) AS first_id FROM d GROUP BY 1 HAVING count(*) > 1")
 def dup_documents(lib):
     rows = lib.raw("documents").filter("text <> ''")
     return S.duplicates(rows, F.md5(F.col("text")), "doc_id", "n_chars", "created_at")

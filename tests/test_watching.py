@@ -70,3 +70,10 @@ def test_feed_sends_public_changes_to_all(spark, tmp_path):
     assert q.exception() is None and numbers == [0]
     ids = lambda name: sorted(r.id for r in spark.read.parquet(str(tmp_path / name)).collect())
     assert ids("all") == [1] and ids("known") == [1, 2, 3]
+
+
+def test_silent_keys_are_forgotten(spark, tmp_path):
+    df = events(spark)
+    run(live_plays(source(spark, df, tmp_path).withWatermark("ts", "1 minute"), 720, forget_minutes=60), tmp_path, "forgetful", "update")
+    last = spark.table("forgetful").agg(F.max("total_watch_seconds")).first()[0]
+    assert 0 < last <= df.groupBy("user_id", "video_id").agg(F.sum("watched_seconds").alias("s")).agg(F.max("s")).first()[0] + 1e-6
