@@ -174,3 +174,51 @@ def test_mixing_nothing(spark, documents):
     chosen, got = mix(spark, documents.limit(0), [("alpha", 1.0, 2)])
     assert chosen.count() == 0 and got["alpha"].actual_share == 0.0
     assert mix(spark, documents, [])[0].count() == 0
+
+
+def test_mixing_equals_sql(spark):
+    import duckdb
+
+    from cinelake.llm.queries import _mix
+    from tests.compare import DATA, assert_equal
+
+    sized, rate = _mix(spark, DATA)
+    chosen = mixing.select(sized, rate)
+    db = duckdb.connect()
+    tokens, picked = sized.toPandas(), chosen.toPandas()
+    db.register("tokens", tokens), db.register("picked", picked)
+    encode = mixing._tokenizer(mixing.VOCABULARY).encode_ordinary
+    texts = {r.doc_id: len(encode(r.text)) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert texts == dict(zip(tokens.id.tolist(), tokens.tokens.tolist()))
+    rates = f"""WITH t AS (SELECT nullif(regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g'), '') AS source, sum(target_share) AS share, max(max_repeats) AS cap FROM '{DATA}/mix_targets.parquet' GROUP BY 1),
+h AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS available FROM tokens WHERE source IS NOT NULL GROUP BY 1), b AS (SELECT t.source, share, cap, coalesce(available, 0) AS available FROM t LEFT JOIN h USING (source)),
+w AS (SELECT sum(share) AS whole, min(available * cap / share) AS most FROM b WHERE available > 0)
+SELECT source, share AS target_share, available, CASE WHEN available > 0 THEN least(cap, most * share / available) ELSE 0 END AS rate FROM b, w"""
+    assert_equal(rate, db, rates)
+    report = f"""WITH r AS ({rates}), g AS (SELECT source, count(*) AS documents, CAST(sum(tokens * copies) AS BIGINT) AS selected FROM picked GROUP BY 1)
+SELECT r.*, coalesce(documents, 0) AS documents, coalesce(selected, 0) AS selected, coalesce(selected, 0) / (SELECT sum(selected) FROM g) AS actual_share FROM r LEFT JOIN g USING (source)"""
+    assert_equal(mixing.report(chosen, rate), db, report)
+    odd = db.execute(f"SELECT count(*) FROM tokens JOIN ({rates}) r USING (source) LEFT JOIN picked p ON p.id = tokens.id WHERE coalesce(p.copies, 0) NOT IN (floor(r.rate), floor(r.rate) + 1)").fetchall()
+    assert odd == [(0,)] and len(picked) > 0
+
+
+def typed(name, rng):
+    """One way in which a person may type a name."""
+    first, last = name.split(" ", 1)
+    pet = {"Robert": "Bob", "Margaret": "Peggy", "James": "Jim", "Richard": "Rick", "Susanna": "Susie"}
+    slip = last[:3] + last[4:]
+    return rng.choice([f"{last}, {first}", f"{first.upper()} {last.upper()}", f"{first}  {last} (official)", f"{pet.get(first, first)} {last}", f"{first} {slip}", f"{first} M. {last}", f"{last} {first} - clips", f"{first} {last.replace('e', 'é', 1)}"])
+
+
+def test_labelled_spellings(spark):
+    rng = random.Random(8)
+    part = lambda: "".join(rng.choice(["bral", "kund", "vest", "torm", "gelp", "wick", "dros", "hamf", "lund", "perz"]) for _ in range(3)).capitalize()
+    people = [f"{rng.choice(['Robert', 'Margaret', 'James', 'Richard', 'Susanna', 'Petra', 'Hugo'])} {part()}" for _ in range(120)]
+    rows, entity = [], {}
+    for k, name in enumerate(dict.fromkeys(people)):
+        for _ in range(rng.choice([1, 2, 3])):
+            entity[len(rows)] = k
+            rows.append((len(rows), name if rng.random() < 0.3 else typed(name, rng)))
+    got = {(r.id_a, r.id_b) for r in names.pairs(names.link([("p", spark.createDataFrame(rows, "id long, name string"), "person")])[0]).collect()}
+    want = {(a, b) for a in entity for b in entity if a < b and entity[a] == entity[b]}
+    assert len(got & want) >= 0.95 * len(want) > 80 and len(got - want) <= 0.02 * len(got)
