@@ -90,7 +90,7 @@ def test_good_sentences(text):
     assert moderation.Scorer().text(text)[1] < 1
 
 
-def test_held_out_half_of_the_samples(spark):
+def test_half_of_the_samples_not_learnt_from(spark):
     rows = sorted((r.text, r.label) for r in spark.read.parquet(f"{DATA}/moderation_samples.parquet").collect())
     part = lambda t: hashlib.md5(t.encode()).digest()[0] % 2
     scorer = moderation.Scorer(moderation.learn([r for r in rows if not part(r[0])]))
