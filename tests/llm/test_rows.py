@@ -85,7 +85,7 @@ STUDIOS = [(1, "Feilkgosk-Hullwamb Saffron Entertainment"), (2, "The Feilkgoskhu
 
 
 def linked(spark, rows, kind):
-    extra = [(1000 + k, f"{a} Zurn{b}drad{k}") for k, (a, b) in enumerate(itertools.product(("Benjamin", "Rosa", "Otto", "Saffron", "Granite"), "abcde"))]
+    extra = [(1000 + k, f"{a} Zurn{b}drad{k}") for k, (a, b) in enumerate(itertools.product(("Benjamin", "Rosa", "Otto", "Saffron", "Granite"), "abcdefghijkl"))]
     df = spark.createDataFrame([(i, n, "x") for i, n in rows + extra + rows[:3]], "id long, name string, form string")
     entity = {r.id: r.entity for r in names.link([("k", df, kind)])[0].collect()}
     return entity
