@@ -244,6 +244,34 @@ def t10_rule_order(lib):
     return lib.spark.createDataFrame([(r.id, k + 1) for k, r in enumerate(paths.in_order(rules))], "id int, place int")
 
 
+_SIZE, _DAY = r"'(?:^|[_\-\s])(4K|1080p|720p|480p|360p)(?:[_\-\s]|$)'", r"'(\d{4})[-_](\d{2})[-_](\d{2})'"
+
+
+@_query(f"""WITH n AS (SELECT id, CASE id % 4 WHEN 0 THEN 'clip_4K_' WHEN 1 THEN '2021-03-04_' WHEN 2 THEN 'a-hdr-b_720p_' ELSE '' END || file_name AS f FROM v_videos)
+SELECT id, CASE WHEN regexp_matches(f, {_SIZE}) THEN 'Resolution Tag' WHEN regexp_matches(f, {_DAY}) THEN 'Date Pattern' END AS pattern, CASE WHEN regexp_matches(f, {_SIZE}) THEN 'medium' ELSE 'low' END AS confidence,
+  concat_ws(',', nullif(upper(regexp_extract(f, {_SIZE}, 1)), ''), CASE WHEN regexp_matches(f, '(?i)[._\\-]hdr[._\\-]') THEN 'HDR' END, CASE WHEN regexp_matches(f, '(?i)[._\\-]vr[._\\-]') THEN 'VR' END) AS tags,
+  lower(regexp_extract(f, '\\.([^./]+)$', 1)) AS extension FROM n""")
+def pipe5_names(lib):
+    """What bare file names say: patterns of medium and low confidence, tags and extension."""
+    i = F.col("id") % 4
+    name = F.concat(F.when(i == 0, "clip_4K_").when(i == 1, "2021-03-04_").when(i == 2, "a-hdr-b_720p_").otherwise(""), F.col("file_name"))
+    p = paths.parse(name)
+    return lib.rows("videos", "file_name").select("id", *(p[k].alias(k) for k in ("pattern", "confidence", "tags", "extension")))
+
+
+@_query("SELECT id, list_extract(string_split(file_path, '/'), -3) AS grandparent, 'high' AS confidence, CASE WHEN regexp_matches(file_path, '/([^/]+)/([^/]+)/(?:[Ee]p?[-_]?(\\d+)|(\\d+))') THEN 'Creator Series Episode' ELSE 'Studio Creator Folder' END AS pattern FROM v_videos")
+def pipe5_folders(lib):
+    p = paths.parse(F.col("file_path"))
+    return lib.rows("videos", "file_path").select("id", *(p[k].alias(k) for k in ("grandparent", "confidence", "pattern")))
+
+
+@_query("SELECT DISTINCT id, timestamp_seconds FROM video_face_detections WHERE video_id = (SELECT min(video_id) FROM video_face_detections) ORDER BY timestamp_seconds, id")
+def t11_detections(lib):
+    rows = lib.raw("video_face_detections").select("id", "video_id", "timestamp_seconds").distinct()
+    first = rows.agg(F.min("video_id").alias("video_id"))
+    return rows.join(F.broadcast(first), "video_id", "left_semi").orderBy("timestamp_seconds", "id").select("id", "timestamp_seconds")  # one row
+
+
 @_query("")
 def u_file_fingerprints(lib):
     """Fingerprints of the directory's own files, three samples of the large ones, never a whole large file in memory."""
