@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.llm import clusters, leaks, mixing, moderation, names, neighbours, pairs, topn
@@ -26,9 +26,15 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
 
 def p2_pairs(spark: SparkSession, directory: str) -> DataFrame:
     """Every pair of tags and creators with at least five common videos, with its counts and lift."""
-    tag = table(spark, directory, "video_tags").select("video_id", F.concat(F.lit("t"), F.col("tag_id")).alias("item"))
-    creator = table(spark, directory, "video_creators").select("video_id", F.concat(F.lit("c"), F.col("creator_id")).alias("item"))
-    return pairs.together(tag.unionByName(creator), "video_id", "item", least=5)
+    tag = table(spark, directory, "video_tags").select("video_id", (F.col("tag_id").cast("long") * 2).alias("item"))
+    creator = table(spark, directory, "video_creators").select("video_id", (F.col("creator_id").cast("long") * 2 + 1).alias("item"))
+    found = pairs.together(tag.unionByName(creator), "video_id", "item", least=5)  # numbers are counted, names made for what comes out
+
+    def named(c: str) -> Column:
+        return F.when(F.pmod(F.col(c), F.lit(2)) == 0, F.concat(F.lit("t"), F.expr(f"{c} div 2"))).otherwise(F.concat(F.lit("c"), F.expr(f"({c} - 1) div 2")))
+
+    ends = F.array_sort(F.array(F.struct(named("item_a").alias("item"), F.col("n_a").alias("n")), F.struct(named("item_b").alias("item"), F.col("n_b").alias("n"))))
+    return found.withColumn("e", ends).select(F.col("e")[0]["item"].alias("item_a"), F.col("e")[1]["item"].alias("item_b"), "n_both", F.col("e")[0]["n"].alias("n_a"), F.col("e")[1]["n"].alias("n_b"), "baskets", "lift")
 
 
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
