@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,6 +103,7 @@ class Common:
 
     def __init__(self, words: list[str]):
         self.words = set(words)
+        self.known: dict[str, set[str]] = {}
         self.near: dict[str, set[str]] = {}
         for w in sorted(self.words):
             if len(w) >= 4:
@@ -111,6 +112,14 @@ class Common:
 
     def of(self, word: str) -> set[str]:
         """The common words that ``word`` is, or is one slip away from."""
+        found = self.known.get(word)
+        if found is None:
+            found = self._of(word)
+            if len(self.known) < 200_000:
+                self.known[word] = found
+        return found
+
+    def _of(self, word: str) -> set[str]:
         if word in self.words or len(word) < 4:
             return {word} & self.words
         found = set()
@@ -165,10 +174,15 @@ def organisation(name: str | None, common: Common) -> list[tuple[str, str]]:
     return [(c, "".join(lead)) for c in choices]
 
 
+TRADE_NEAR = {d: t for t in TRADE if len(t) >= 5 for d in dropped(t)}
+
+
+@lru_cache(maxsize=200_000)
 def _trade(word: str) -> bool:
+    """Whether a word is one of the trade, or one slip away from one."""
     if word in TRADE_WORDS:
         return True
-    return len(word) >= 5 and any(abs(len(word) - len(t)) <= 1 and set(dropped(word)) & set(dropped(t)) for t in TRADE if len(t) >= 5)
+    return len(word) >= 5 and any(d in TRADE_NEAR and abs(len(word) - len(TRADE_NEAR[d])) <= 1 for d in dropped(word))
 
 
 READERS = {"person": person, "organisation": organisation}
