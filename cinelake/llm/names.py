@@ -265,9 +265,9 @@ def link(tables: Sequence[tuple[str, DataFrame, str]], id: str = "id", name: str
     total = float(max(same.count(), 1))
     every = checkpoint(forms(same, readers, _common(same, readers)))
 
-    def stars(some: DataFrame) -> DataFrame:
+    def stars(some: DataFrame) -> DataFrame:  # a name has a form once
         rarity = F.log(F.lit(total) / F.col("n"))
-        heads = some.groupBy("form").agg(F.min("id").alias("b"), F.countDistinct("id").alias("n"), F.bool_and("slip").alias("slip")).filter("n > 1")
+        heads = some.groupBy("form").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n"), F.bool_and("slip").alias("slip")).filter("n > 1")
         heads = heads.withColumn("score", rarity).filter(F.col("score") >= F.when(F.col("slip"), RARE_SLIP).otherwise(RARE)).select("form", "b", "score")
         return some.join(heads, "form").filter("id <> b").select(F.col("id").alias("a"), "b", "form", "score")
 
