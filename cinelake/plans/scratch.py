@@ -34,7 +34,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Deletes the table behind a frame that ``checkpoint`` gave, once nothing will read it any more."""
+    if path := getattr(table, "_written_to", None):
+        _drop(table.sparkSession, path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
