@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.plans.scratch import checkpoint
+from cinelake.plans.scratch import checkpoint, release
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -18,7 +18,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Alternating large-star and small-star steps: each keeps connectivity and moves edges towards the smallest
     id of a component, in a number of rounds logarithmic in its size. A round costs two aggregations with
-    map-side combination and two joins, whose hot keys adaptive execution splits; every round is checkpointed.
+    map-side combination and two joins, whose hot keys adaptive execution splits; every round is a written table, and that of the round before is released.
     Edges with a null end or from an id to itself link nothing; no edges give no rows.
     """
     a, b = F.col(left).cast("long"), F.col(right).cast("long")
@@ -30,7 +30,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        now, last = checkpoint(small), state
+        before, now, last = now, checkpoint(small), state
+        release(before)
         state = _state(now)
         if state == last:
             break
