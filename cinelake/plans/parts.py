@@ -5,7 +5,6 @@ from __future__ import annotations
 import pickle
 import uuid
 from collections.abc import Callable
-from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -29,7 +28,7 @@ def store(df: DataFrame, id: str, rows: int, make: Callable[[pa.Table], Any]) ->
         where.create_dir(inside, recursive=True)
         whole = f"{inside}/{key[0].as_py()}.{uuid.uuid4().hex}"
         with where.open_output_stream(f"{whole}.part") as out:
-            out.write(pickle.dumps(make(table.drop_columns(["_part"])), protocol=5))
+            pickle.dump(make(table.drop_columns(["_part"])), out, protocol=5)
         where.move(f"{whole}.part", f"{whole}.whole")  # a task that dies leaves no file that looks complete
         return pa.table({"_part": pa.array([key[0].as_py()], pa.int32())})
 
@@ -38,9 +37,21 @@ def store(df: DataFrame, id: str, rows: int, make: Callable[[pa.Table], Any]) ->
     return folder, parts
 
 
-@lru_cache(maxsize=1)
+_HELD: dict[tuple[str, int], Any] = {}
+
+
 def load(folder: str, part: int) -> Any:
-    """A stored part, None where no row fell into it; of several complete files (a task may have run twice) any is right."""
+    """A stored part, None where no row fell into it; of several complete files (a task may have run twice) any is right.
+
+    A worker keeps one, and lets it go before it reads another.
+    """
+    if (folder, part) not in _HELD:
+        _HELD.clear()
+        _HELD[folder, part] = _read(folder, part)
+    return _HELD[folder, part]
+
+
+def _read(folder: str, part: int) -> Any:
     where, inside = fs.FileSystem.from_uri(folder)
     if where.get_file_info(inside).type == fs.FileType.NotFound:
         return None
@@ -48,4 +59,4 @@ def load(folder: str, part: int) -> Any:
     if not found:
         return None
     with where.open_input_stream(found[0]) as source:
-        return pickle.loads(source.read())
+        return pickle.load(source)

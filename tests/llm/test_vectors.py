@@ -73,6 +73,36 @@ def test_very_large_and_small_values_are_usable(spark):
     assert [(r.neighbour_id, r.similarity) for r in got] == [(2, 1.0)]
 
 
+def at_cosine(rng, n, cosine):
+    """Pairs of unit vectors of that similarity."""
+    q = vectors.unit64(rng.standard_normal((n, 64)))
+    o = rng.standard_normal((n, 64))
+    o = vectors.unit64(o - np.einsum("ij,ij->i", o, q)[:, None] * q)
+    return q.astype(np.float32), (cosine * q + np.sqrt(1 - cosine**2) * o).astype(np.float32)
+
+
+def test_nearest_finds_those_right_at_the_limit(spark):
+    q, c = at_cosine(np.random.default_rng(7), 2000, 0.8505)
+    got = neighbours.nearest(frame(spark, list(enumerate(q))), frame(spark, list(enumerate(c)))).filter("query_id = neighbour_id").count()
+    assert got >= 1996
+
+
+def test_a_query_meets_few_of_a_large_collection():
+    rng = np.random.default_rng(8)
+    c = vectors.unit64(rng.standard_normal((40_000, 64))).astype(np.float32)
+    met = neighbours.CollisionIndex(np.arange(len(c)), c, neighbours.bases()).meetings(c[:200] + np.float32(0.001))[1].sum(axis=0)
+    assert met.max() < len(c) / 100
+
+
+def test_nearest_where_very_many_are_alike(spark):
+    rng = np.random.default_rng(9)
+    x = faces(rng, 1, 1500, 0.2)
+    x[:300] = x[0]
+    rows = [(int(i), v) for i, v in zip(rng.permutation(len(x)), x)]
+    got = {(r.query_id, r.neighbour_id, r.similarity) for r in neighbours.nearest(frame(spark, rows[290:330]), frame(spark, rows)).collect()}
+    assert got == brute_top(rows[290:330], rows, 3, 0.85)
+
+
 def test_bit_sliced_counts():
     rng = np.random.default_rng(3)
     planes = rng.integers(0, 2, (24, 5, 64)).astype(np.uint8)
