@@ -42,6 +42,8 @@ ROUNDS = 3
 EQUAL = 1 - 1e-6
 #: Distinct vectors a task of the placing has at least.
 LEAST_PLACED = 2_000
+#: Similarities of vectors to centroids that a task holds at a time (16 MB), however many cells there are.
+SCORES = 1 << 22
 
 
 def feature_axes(names: list[str], buckets: int = BUCKETS) -> np.ndarray:
@@ -79,6 +81,41 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]).astype(np.float32)
 
 
+def _scores(x: np.ndarray, centres: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The similarities of rows of ``x`` to all centroids, about ``SCORES`` at a time."""
+    step = max(1, SCORES // max(1, len(centres)))
+    for at in range(0, len(x), step):
+        yield slice(at, at + step), x[at : at + step] @ centres.T
+
+
+def _best(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of every row, and its similarity."""
+    cell, near = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
+    for some, s in _scores(x, centres):
+        cell[some] = s.argmax(axis=1)
+        near[some] = s[np.arange(len(s)), cell[some]]
+    return cell, near
+
+
+def _cells(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): the ``COPIES`` nearest cells of every row and those hardly farther than the nearest, ``MOST_COPIES`` at most."""
+    rows, cells = [], []
+    for some, s in _scores(x, centres):
+        row = np.arange(len(s))
+        for copy in range(min(COPIES, len(centres))):
+            cell = s.argmax(axis=1)
+            if not copy:
+                least = s[row, cell] - np.float32(HARDLY)
+            s[row, cell] = -np.inf
+            rows.append(row + some.start), cells.append(cell)
+        r, c = np.nonzero(s >= least[:, None])
+        order = np.lexsort((-s[r, c], r))
+        r, c = r[order], c[order]
+        taken = np.arange(len(r)) - np.searchsorted(r, r) < MOST_COPIES - COPIES
+        rows.append(r[taken] + some.start), cells.append(c[taken])
+    return np.concatenate(rows), np.concatenate(cells)
+
+
 def _apart(centres: np.ndarray) -> np.ndarray:
     """The rows of ``centres`` that no earlier one equals."""
     kept = np.ones(len(centres), bool)
@@ -116,7 +153,7 @@ def fit_cells(rows: DataFrame, n: int, dim: int, axes: np.ndarray) -> tuple[np.n
                 if not len(good):
                     continue
                 x, ids = _unit(unit @ axes), batch.column(0).to_numpy()[good]
-                far = np.ones(len(x)) if sent.value is None else np.maximum(1e-9, 1 - (x @ sent.value.T).max(axis=1))
+                far = np.ones(len(x)) if sent.value is None else np.maximum(1e-9, 1 - _best(x, sent.value)[1])
                 u = np.array([(xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), seed) + 1) / 2**64 for i in ids])
                 key = -np.log(u) / far
                 best = np.argsort(key, kind="stable")[:many]
@@ -140,7 +177,7 @@ def fit_cells(rows: DataFrame, n: int, dim: int, axes: np.ndarray) -> tuple[np.n
                 x = _unit(matrix(batch.column(1), dim)[0] @ axes)
                 if not len(x):
                     continue
-                cell = (x @ sent.value.T).argmax(axis=1)
+                cell = _best(x, sent.value)[0]
                 order = np.argsort(cell, kind="stable")
                 there, first = np.unique(cell[order], return_index=True)
                 total = np.add.reduceat(x[order], first, axis=0)
@@ -159,7 +196,7 @@ def fit_cells(rows: DataFrame, n: int, dim: int, axes: np.ndarray) -> tuple[np.n
         size[at] = got["n"].to_numpy()
     sample.unpersist()
     kept = _apart(centres)
-    size = np.bincount((centres @ centres[kept].T).argmax(axis=1), size, len(kept)) if len(kept) < len(centres) else size
+    size = np.bincount(_best(centres, centres[kept])[0], size, len(kept)) if len(kept) < len(centres) else size
     return centres[kept], size * (n / max(1.0, size.sum()))
 
 
@@ -249,14 +286,8 @@ def links(rows: DataFrame, least: float = 0.85, dim: int = DIM) -> DataFrame:
             key = who = np.zeros(0, np.int64)
             if len(here):
                 x = _unit(unpack(vectors.take(pa.array(here)), dim) @ axes)
-                top = min(MOST_COPIES, len(centres))
-                s = x @ centres.T
-                cells = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                near = np.take_along_axis(s, cells, axis=1)
-                order = np.argsort(-near, axis=1, kind="stable")
-                cells, near = np.take_along_axis(cells, order, axis=1), np.take_along_axis(near, order, axis=1)
-                taken = (near >= near[:, :1] - HARDLY) | (np.arange(top) < COPIES)
-                who, cell = here[np.nonzero(taken)[0]], cells[taken].astype(np.int64)
+                who, cell = _cells(x, centres)
+                who = here[who]
                 many = blocks[cell]
                 mine = (_mixed(ids[who]) % many.astype(np.uint64)).astype(np.int64)  # the block of a row in its cell; it meets each of the cell's blocks
                 other = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)

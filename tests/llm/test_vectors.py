@@ -146,6 +146,23 @@ def test_groups(spark, monkeypatch, split):
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_memory_for_placing_does_not_grow_with_the_cells():
+    import tracemalloc
+
+    rng = np.random.default_rng(10)
+    x, centres = (vectors.unit64(rng.standard_normal((n, 64))).astype(np.float32) for n in (3_000, clusters.MOST_CELLS))
+    tracemalloc.start()
+    row, cell = clusters._cells(x, centres)
+    clusters._best(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    for i in (0, 1_500, 2_999):
+        s = x[i] @ centres.T
+        order = np.argsort(-s)[: clusters.MOST_COPIES]
+        assert set(cell[row == i].tolist()) == {int(c) for n, c in enumerate(order) if n < clusters.COPIES or s[c] >= s[order[0]] - clusters.HARDLY}
+
+
 def test_typical_members(spark):
     rng = np.random.default_rng(5)
     x = faces(rng, 3, 9, 0.2)
